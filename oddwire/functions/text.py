@@ -84,38 +84,56 @@ def all_values(values: Column) -> Column:
     return F.array_join(values, "")
 
 
-def character_profile(text: Column) -> Column:
-    """The four counts every ratio comes from, evaluated once per text."""
-    return F.struct(
-        text_length(text).alias("length"),
-        printable_count(text).alias("printable"),
-        letter_count(text).alias("letters"),
-        digit_count(text).alias("digits"),
+def profile_sql(text: str) -> str:
+    """The four counts every ratio comes from as one struct, for a text given in SQL."""
+    length = (
+        f"if(octet_length({text}) = char_length({text}), char_length({text}), "
+        f"cast(octet_length(encode({text}, 'UTF-16BE')) / 2 as int))"
     )
 
+    def kept(pattern: str) -> str:
+        return f"char_length(regexp_replace({text}, r'{pattern}', ''))"
 
-def two_decimals(count: Column, length: Column) -> Column:
-    """count / length rounded half up (away from zero) to two decimals, 0 without length.
+    return (
+        f"named_struct('length', {length}, 'printable', {kept(_NOT_PRINTABLE)}, "
+        f"'letters', {kept(_NOT_LETTER)}, 'digits', {kept(_NOT_DIGIT)})"
+    )
+
+
+def two_decimals_sql(count: str, length: str) -> str:
+    """count / length rounded half up to two decimals, 0 for an empty or absent text.
 
-    Exact in integers: a binary fraction never decides a tie, and no decimal objects are
-    built for the some 180 ratios of a request.
+    Exact in integers: a binary fraction never decides a tie, and no decimal object is built
+    for the some 180 ratios of a request. A negative count rounds away from zero.
     """
-    hundredths = F.floor((F.abs(count) * 200 + length) / F.nullif(length * 2, F.lit(0)))
-    signed = F.when(count < 0, -hundredths).otherwise(hundredths)
-    return F.coalesce(signed / F.lit(100.0), F.lit(0.0))
-
-
-def profile_ratios(profile: Column) -> list[Column]:
-    """The five rounded ratios of a profile, in feature order."""
-    length, printable = profile["length"], profile["printable"]
-    letters, digits = profile["letters"], profile["digits"]
-    return [
-        two_decimals(printable, length),
-        two_decimals(length - printable, length),
-        two_decimals(letters, length),
-        two_decimals(digits, length),
-        two_decimals(printable - letters - digits, length),
-    ]
+    return (
+        f"ifnull(sign({count}) * floor((abs({count}) * 200L + {length}) "
+        f"/ nullif({length} * 2L, 0L)) / 100D, 0D)"
+    )
+
+
+def text_block_sql(text: str) -> str:
+    """Length and the five rounded ratios of a text as one struct.
+
+    The profile is bound to a lambda variable, so each count is evaluated once per text.
+    """
+    p = "p"
+    counts = {
+        "printable_characters": f"{p}.printable",
+        "non_printable_characters": f"({p}.length - {p}.printable)",
+        "letter": f"{p}.letters",
+        "digit": f"{p}.digits",
+        "symbol": f"({p}.printable - {p}.letters - {p}.digits)",
+    }
+    ratios = ", ".join(
+        f"'{name}', {two_decimals_sql(count, f'{p}.length')}" for name, count in counts.items()
+    )
+    block = f"named_struct('length', ifnull({p}.length, 0), {ratios})"
+    return f"transform(array({profile_sql(text)}), {p} -> {block})[0]"
+
+
+def text_block(text: str) -> Column:
+    return F.expr(text_block_sql(text))
 
 
 def line_count(text: Column) -> Column:
