@@ -108,7 +108,7 @@ def two_decimals_sql(count: str, length: str) -> str:
     """
     return (
         f"ifnull(sign({count}) * floor((abs({count}) * 200L + {length}) "
-        f"/ nullif({length} * 2L, 0L)) / 100D, 0D)"
+        f"/ nullif({length} * 2L, 0L)) / 100D + 0D, 0D)"
     )
 
 

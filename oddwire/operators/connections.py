@@ -19,24 +19,29 @@ def quarantine_connections(lines: DataFrame) -> DataFrame:
     """Connection columns of a table of lines (``value``), and why a line is unusable.
 
     ``_corrupt_reason`` is ``field_count`` for any other number of fields than 42 and
-    ``number`` for a continuous field that is none.
+    ``number`` for a continuous field that is none; that field is null, and all fields are
+    where the count is wrong.
     """
-    fields = F.split("value", ",")
-    names = CONNECTIONS.fieldNames()
-    cut = lines.withColumn("_fields", fields)
-    complete = F.size("_fields") == len(names)
-    typed = {
-        f.name: F.get("_fields", F.lit(i)).try_cast(f.dataType) for i, f in enumerate(CONNECTIONS)
-    }
-    numbers = [f.name for f in CONNECTIONS if isinstance(f.dataType, T.DoubleType)]
-    parsed = cut.select(
+    schema = T.StructType([*CONNECTIONS, T.StructField("_corrupt_record", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    fields = F.size(F.split("value", ","))
+    parsed = lines.select(
         "value",
-        complete.alias("_complete"),
-        *[F.when(complete, column).alias(name) for name, column in typed.items()],
+        F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("_row"),
+        fields.alias("_fields"),
+    )
+    complete = F.col("_fields") == len(CONNECTIONS)
+    reason = F.when(~complete, "field_count").when(
+        F.col("_row._corrupt_record").isNotNull(), "number"
+    )
+    checked = parsed.select(
+        "value", reason.alias("_corrupt_reason"), F.when(complete, F.col("_row")).alias("_row")
+    )
+    return checked.select(
+        *[F.col(f"_row.{name}").alias(name) for name in CONNECTIONS.fieldNames()],
+        "value",
+        "_corrupt_reason",
     )
-    bad_number = F.array_contains(F.array(*[F.col(n).isNull() for n in numbers]), True)
-    reason = F.when(~F.col("_complete"), "field_count").when(bad_number, "number")
-    return parsed.select(*names, "value", reason.alias("_corrupt_reason"))
 
 
 def attack_class(label: Column) -> Column:

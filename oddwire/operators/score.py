@@ -90,10 +90,9 @@ def with_own_centre_distance(
     """Add ``distance`` to the centre of the given cluster of each row; the table itself is
     not shuffled."""
     lookup = F.map_from_entries(_all_centres(centres, cluster))
-    return table.withColumn(
-        "distance",
-        squared_distance(F.col(features).cast("array<double>"), F.element_at(lookup, F.col(cluster))),
-    )
+    placed = table.withColumn("_centre", F.element_at(lookup, F.col(cluster)))
+    distance = squared_distance(F.col(features).cast("array<double>"), F.col("_centre"))
+    return placed.withColumn("distance", distance).drop("_centre")
 
 
 def with_nearest_centre(
@@ -103,15 +102,16 @@ def with_nearest_centre(
     on a tie."""
     point = F.col(features).cast("array<double>")
     candidates = F.transform(
-        _all_centres(centres, cluster),
+        "_centres",
         lambda c: F.struct(
             squared_distance(point, c["centre"]).alias("distance"), c["cluster"].alias("cluster")
         ),
     )
-    nearest = table.withColumn("_nearest", F.array_min(candidates))
+    placed = table.withColumn("_centres", _all_centres(centres, cluster))
+    nearest = placed.withColumn("_nearest", F.array_min(candidates))
     return nearest.withColumns(
         {"prediction": F.col("_nearest.cluster"), "distance": F.col("_nearest.distance")}
-    ).drop("_nearest")
+    ).drop("_nearest", "_centres")
 
 
 def threshold_range(last: int = 10, per_unit: int = 10) -> list[float]:
