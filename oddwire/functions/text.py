@@ -100,24 +100,27 @@ def profile_sql(text: str) -> str:
     )
 
 
-def two_decimals_sql(count: str, length: str) -> str:
+def two_decimals_sql(count: str, length: str, signed: bool = False) -> str:
     """count / length rounded half up to two decimals, 0 for an empty or absent text.
 
     Exact in integers: a binary fraction never decides a tie, and no decimal object is built
     for the some 180 ratios of a request. A negative count rounds away from zero.
     """
-    return (
-        f"ifnull(sign({count}) * floor((abs({count}) * 200L + {length}) "
-        f"/ nullif({length} * 2L, 0L)) / 100D + 0D, 0D)"
-    )
+    size = f"abs({count})" if signed else count
+    ratio = f"floor(({size} * 200L + {length}) / ({length} * 2L)) / 100D"
+    if signed:
+        # Adding zero turns a negative zero into zero.
+        ratio = f"sign({count}) * {ratio} + 0D"
+    return f"if({length} > 0, {ratio}, 0D)"
 
 
-def text_block_sql(text: str) -> str:
-    """Length and the five rounded ratios of a text as one struct.
+def profile_ratios_sql(profile: str) -> dict[str, str]:
+    """The five rounded ratios of a profile column, by kind.
 
-    The profile is bound to a lambda variable, so each count is evaluated once per text.
+    To be selected from a table that already holds the profile: its counts are then computed
+    once and the ratios are plain arithmetic.
     """
-    p = "p"
+    p = profile
     counts = {
         "printable_characters": f"{p}.printable",
         "non_printable_characters": f"({p}.length - {p}.printable)",
@@ -125,15 +128,14 @@ def text_block_sql(text: str) -> str:
         "digit": f"{p}.digits",
         "symbol": f"({p}.printable - {p}.letters - {p}.digits)",
     }
-    ratios = ", ".join(
-        f"'{name}', {two_decimals_sql(count, f'{p}.length')}" for name, count in counts.items()
-    )
-    block = f"named_struct('length', ifnull({p}.length, 0), {ratios})"
-    return f"transform(array({profile_sql(text)}), {p} -> {block})[0]"
+    return {
+        kind: two_decimals_sql(count, f"{p}.length", signed=kind == "symbol")
+        for kind, count in counts.items()
+    }
 
 
-def text_block(text: str) -> Column:
-    return F.expr(text_block_sql(text))
+def profile(text: str) -> Column:
+    return F.expr(profile_sql(text))
 
 
 def line_count(text: Column) -> Column:

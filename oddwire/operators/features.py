@@ -1,9 +1,9 @@
 """Requests to the feature table: 270 flat columns per request.
 
-Every text (path, query, body and the value of each standard header) becomes one struct of
-its length and five ratios, and the flat columns are fields of those structs. The 34 header
-structs are the elements of one array, which keeps the plan small. Nothing shuffles, and a
-selection of fewer feature columns drops the structs it does not need.
+Two projections: the first counts the character classes of every text (path, query, body,
+and one array with the values of the 34 standard headers), the second is compiled arithmetic
+on those counts. Nothing shuffles, and a selection of fewer feature columns drops the counts
+it does not need.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from oddwire.functions import http, text
 from oddwire.schema import (
     FEATURES,
-    RATIOS,
     STANDARD_HEADERS,
     header_columns,
     parameter_columns,
@@ -22,23 +21,32 @@ from oddwire.schema import (
 )
 
 
-def _ratio_fields(block: str, part: str) -> dict[str, str]:
-    """Column name to SQL for the ratios of a text block."""
-    return {name: f"{block}.{field}" for name, field in zip(ratio_columns(part), RATIOS)}
+def _text_fields(profile: str, part: str) -> dict[str, str]:
+    """Column name to SQL: length and ratios of a text that is always there."""
+    ratios = text.profile_ratios_sql(profile).values()
+    return {f"length_{part}": f"{profile}.length", **dict(zip(ratio_columns(part), ratios))}
 
 
-def _block_fields(block: str, part: str) -> dict[str, str]:
-    return {f"length_{part}": f"{block}.length", **_ratio_fields(block, part)}
+def _value_fields(profile: str, length: str, ratios: list[str]) -> dict[str, str]:
+    """Column name to SQL: the columns of one key. Its "length" is its number of values:
+    only the last one is kept, so 1, or 0 for an absent key, as are then the ratios."""
+    return {
+        length: f"if({profile} IS NULL, 0, 1)",
+        **dict(zip(ratios, text.profile_ratios_sql(profile).values())),
+    }
 
 
-def _select(table: DataFrame, columns: dict[str, str], *keep: str) -> DataFrame:
-    return table.selectExpr(*keep, *[f"{sql} AS `{name}`" for name, sql in columns.items()])
+def _value_profiles_sql(container: str, keys: list[str]) -> str:
+    """Array of the profiles of some keys of a map, null for a key the map lacks."""
+    listed = ", ".join("'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'" for key in keys)
+    return (
+        f"transform(transform(array({listed}), key -> try_element_at({container}, key)), "
+        f"value -> if(value IS NULL, NULL, {text.profile_sql('value')}))"
+    )
 
 
-def _values_sql(container: str, keys: list[str]) -> str:
-    """Array of the values of some keys of a map, null for a key the map lacks."""
-    listed = ", ".join("'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'" for key in keys)
-    return f"transform(array({listed}), key -> try_element_at({container}, key))"
+def _select(table: DataFrame, columns: dict[str, str], *keep: str) -> DataFrame:
+    return table.selectExpr(*keep, *[f"{sql} AS `{name}`" for name, sql in columns.items()])
 
 
 def request_features(requests: DataFrame) -> DataFrame:
@@ -48,7 +56,7 @@ def request_features(requests: DataFrame) -> DataFrame:
     whether or not it went through a CSV file.
     """
     headers = F.col("headers")
-    blocks = requests.select(
+    counted = requests.select(
         "id",
         "method",
         "path",
@@ -63,18 +71,15 @@ def request_features(requests: DataFrame) -> DataFrame:
         http.is_file(F.col("path")).alias("is_file"),
         text.line_count(F.col("body")).alias("num_line"),
         text.word_gap_count(F.col("body")).alias("num_word"),
-        text.text_block("path").alias("_path"),
-        text.text_block("query").alias("_query"),
-        text.text_block("body").alias("_body"),
-        F.expr(
-            f"transform({_values_sql('headers', STANDARD_HEADERS)}, "
-            f"value -> struct(value IS NOT NULL AS present, {text.text_block_sql('value')} AS block))"
-        ).alias("_headers"),
+        text.profile("path").alias("_path"),
+        text.profile("query").alias("_query"),
+        text.profile("body").alias("_body"),
+        F.expr(_value_profiles_sql("headers", STANDARD_HEADERS)).alias("_headers"),
     )
     columns = {
-        **_block_fields("_path", "path"),
-        **_block_fields("_query", "query"),
-        **_block_fields("_body", "body"),
+        **_text_fields("_path", "path"),
+        **_text_fields("_query", "query"),
+        **_text_fields("_body", "body"),
         "standard_headers_ratio": text.two_decimals_sql("_standard", "num_headers"),
         "non_standard_headers_ratio": text.two_decimals_sql(
             "(num_headers - _standard)", "num_headers"
@@ -84,11 +89,9 @@ def request_features(requests: DataFrame) -> DataFrame:
         columns[name] = f"nullif({name}, '')"
     for i, name in enumerate(STANDARD_HEADERS):
         length, *ratios, is_standard = header_columns(name)
-        # The "length" of a header is its number of values, and only the last one is kept.
-        columns[length] = f"cast(_headers[{i}].present AS int)"
-        columns.update({r: f"_headers[{i}].block.{f}" for r, f in zip(ratios, RATIOS)})
+        columns.update(_value_fields(f"_headers[{i}]", length, ratios))
         columns[is_standard] = "1"
-    return blocks.selectExpr(
+    return counted.selectExpr(
         *[
             f"cast({columns.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in FEATURES
@@ -96,45 +99,38 @@ def request_features(requests: DataFrame) -> DataFrame:
     )
 
 
-def _entries(requests: DataFrame, container: str, name: str) -> tuple[DataFrame, list[str]]:
-    keys = [c for c in ("file", "request_no", "id") if c in requests.columns]
-    entries = requests.select(*keys, F.explode(container).alias(name, "value"))
-    return entries.select(*keys, name, text.text_block("value").alias("_value")), [*keys, name]
+def _request_keys(requests: DataFrame) -> list[str]:
+    return [c for c in ("file", "request_no", "id") if c in requests.columns]
 
 
 def parameter_features(requests: DataFrame) -> DataFrame:
     """Long form: one row per request and parameter with its number of values and ratios."""
-    entries, keep = _entries(requests, "params", "parameter")
-    return _select(
-        entries, {"length_parameter": "1", **_ratio_fields("_value", "parameter")}, *keep
-    )
+    keys = _request_keys(requests)
+    entries = requests.select(*keys, F.explode("params").alias("parameter", "value"))
+    counted = entries.select(*keys, "parameter", text.profile("value").alias("_value"))
+    columns = _value_fields("_value", "length_parameter", ratio_columns("parameter"))
+    return _select(counted, columns, *keys, "parameter")
 
 
 def header_features(requests: DataFrame) -> DataFrame:
     """Long form: one row per request and header, standard or not."""
-    entries, keep = _entries(requests, "headers", "header")
-    features = _select(
-        entries, {"length_header": "1", **_ratio_fields("_value", "header")}, *keep
-    )
+    keys = _request_keys(requests)
+    entries = requests.select(*keys, F.explode("headers").alias("header", "value"))
+    counted = entries.select(*keys, "header", text.profile("value").alias("_value"))
+    columns = _value_fields("_value", "length_header", ratio_columns("header"))
+    features = _select(counted, columns, *keys, "header")
     return features.withColumn("is_standard_header", http.is_standard_header(F.col("header")))
 
 
 def named_parameter_features(requests: DataFrame, parameters: list[str]) -> DataFrame:
     """Wide form for chosen parameters, named like the header columns; absent ones are 0."""
-    keys = [c for c in ("file", "request_no", "id") if c in requests.columns]
-    blocks = requests.select(
-        *keys,
-        F.expr(
-            f"transform({_values_sql('params', parameters)}, "
-            f"value -> struct(value IS NOT NULL AS present, {text.text_block_sql('value')} AS block))"
-        ).alias("_params"),
-    )
+    keys = _request_keys(requests)
+    counted = requests.select(*keys, F.expr(_value_profiles_sql("params", parameters)).alias("_params"))
     columns: dict[str, str] = {}
     for i, name in enumerate(parameters):
         length, *ratios = parameter_columns(name)
-        columns[length] = f"cast(_params[{i}].present AS int)"
-        columns.update({r: f"_params[{i}].block.{f}" for r, f in zip(ratios, RATIOS)})
-    return _select(blocks, columns, *keys)
+        columns.update(_value_fields(f"_params[{i}]", length, ratios))
+    return _select(counted, columns, *keys)
 
 
 def url_features(table: DataFrame, url: str, *keep: str) -> DataFrame:
@@ -142,7 +138,7 @@ def url_features(table: DataFrame, url: str, *keep: str) -> DataFrame:
     located = table.select(
         *keep, http.url_path(F.col(url)).alias("path"), http.url_query(F.col(url)).alias("query")
     )
-    blocks = located.select(
+    counted = located.select(
         *keep,
         "path",
         "query",
@@ -150,11 +146,17 @@ def url_features(table: DataFrame, url: str, *keep: str) -> DataFrame:
         http.is_file(F.col("path")).alias("is_file"),
         http.file_extension(F.col("path")).alias("file_extension"),
         F.size(http.parse_parameters(F.col("query"))).alias("num_parameters"),
-        text.text_block("path").alias("_path"),
-        text.text_block("query").alias("_query"),
+        text.profile("path").alias("_path"),
+        text.profile("query").alias("_query"),
     )
     return _select(
-        blocks,
-        {**_block_fields("_path", "path"), **_block_fields("_query", "query")},
+        counted,
+        {**_text_fields("_path", "path"), **_text_fields("_query", "query")},
         *keep, "path", "query", "num_segment", "is_file", "file_extension", "num_parameters",
     )
+
+
+def text_features(table: DataFrame, column: str, *keep: str) -> DataFrame:
+    """Length and the five ratios of any text column, named like the body columns."""
+    counted = table.select(*keep, text.profile(column).alias("_text"))
+    return _select(counted, _text_fields("_text", column), *keep)

@@ -65,19 +65,7 @@ def char_class_counts(spark, sf_dir):
 
 @query
 def char_class_ratios(spark, sf_dir):
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", text.text_block("text").alias("b"))
-        .selectExpr(
-            "doc_id",
-            "cast(b.length AS long) AS length_text",
-            "b.printable_characters AS printable_characters_ratio",
-            "b.non_printable_characters AS non_printable_characters_ratio",
-            "b.letter AS letter_ratio",
-            "b.digit AS digit_ratio",
-            "b.symbol AS symbol_ratio",
-        )
-    )
+    return features.text_features(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query

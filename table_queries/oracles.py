@@ -398,14 +398,13 @@ def oracles() -> dict[str, str]:
         "letter_ratio": "letter", "digit_ratio": "digit", "symbol_ratio": "symbol",
     }
     joined = counts("v")
-    block_names = [f"{r}_ratio" for r in RATIOS]
     return {
         "char_class_counts": f"""SELECT doc_id, length(text)::BIGINT AS n_length,
             {text_counts['printable_characters']} AS n_printable,
             {text_counts['non_printable_characters']} AS n_non_printable, {text_counts['letter']} AS n_letter,
             {text_counts['digit']} AS n_digit, {text_counts['symbol']} AS n_symbol FROM documents""",
-        "char_class_ratios": f"""SELECT doc_id, length(text)::BIGINT AS length_text,
-            {ratios('text', block_names)} FROM documents""",
+        "char_class_ratios": f"""SELECT doc_id, length(text)::INT AS length_text,
+            {ratios('text', ratio_columns('text'))} FROM documents""",
         "value_list_ratios": "SELECT conv_id, turn, " + ", ".join(
             f"CASE WHEN v = '' THEN 0 ELSE round({joined[kind]}::DOUBLE / length(v), 8) END AS {name}"
             for name, kind in value_ratio.items()
@@ -467,7 +466,7 @@ def oracles() -> dict[str, str]:
             SELECT l_orderkey, l_linenumber, {_one_hot('l_returnflag')}, {_one_hot('l_linestatus')}
             FROM lineitem JOIN l_returnflag_idx USING (l_returnflag) JOIN l_linestatus_idx USING (l_linestatus)""",
         "standard_scale": "SELECT l_orderkey, l_linenumber, " + ", ".join(
-            f"round((l_{c} - avg(l_{c}) OVER ()) / stddev_samp(l_{c}) OVER (), 4) AS scaled_{c}"
+            f"round((l_{c} - avg(l_{c}) OVER ()) / stddev_samp(l_{c}) OVER (), 4) + 0.0 AS scaled_{c}"
             for c in ("quantity", "extendedprice", "discount", "tax")
         ) + " FROM lineitem",
         "prepared_vectors": _prepared_vectors(),
