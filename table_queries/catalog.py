@@ -312,7 +312,7 @@ def nearest_centroid(spark, sf_dir):
     return rounded(nearest.select("vec_id", "prediction", "distance"), 6, "distance")
 
 
-DETECTION_THRESHOLD = 0.9
+DETECTION_THRESHOLD = 1.0
 
 
 @query
