@@ -4,6 +4,10 @@ A host or a service may take a large part of all connections, so no window spans
 host or service. Time windows are cut into time slices, windows of the last n connections
 into blocks of ranks; rows near a border are copied into the next slice or block as context
 and dropped again afterwards, so every frame is complete.
+
+A frame may hold very many rows of a hot service. Its sums are therefore differences of two
+running sums, each of which sees every row once, rather than a sliding frame that is added
+up anew for every row.
 """
 
 from __future__ import annotations
@@ -61,6 +65,15 @@ def _micros(table: DataFrame, ts: str) -> Column:
     return F.unix_micros(ts)
 
 
+def _trailing(value: Column, keys: list[str], order: str, span: int) -> Column:
+    """Sum of a column over the rows of the keys whose order value is at most ``span`` less
+    than the current one, equal ones included."""
+    rows = Window.partitionBy(*keys).orderBy(order)
+    until_here = F.sum(value).over(rows.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    too_early = F.sum(value).over(rows.rangeBetween(Window.unboundedPreceding, -(span + 1)))
+    return until_here - F.coalesce(too_early, F.lit(0))
+
+
 def _rate(part: Column, total: Column) -> Column:
     return part.cast("double") / total
 
@@ -96,22 +109,23 @@ def recent_traffic(
     copies = F.when(near_end, F.array(own, ahead)).otherwise(F.array(own))
     sliced = timed.withColumn("_copies", copies).drop("_slice").select("*", F.inline("_copies")).drop("_copies")
 
-    def past(*keys: str):
-        return Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-span, 0)
+    def past(value: str | Column, *keys: str) -> Column:
+        column = F.col(value) if isinstance(value, str) else value
+        return _trailing(column, [*keys, "_slice"], "_us", span)
 
-    same_host, same_both, same_service = past(host), past(host, service), past(service)
+    one = F.lit(1)
     by_host = sliced.select(
         "*",
-        F.count("*").over(same_host).alias("count"),
-        F.sum("_serror").over(same_host).alias("_host_serror"),
-        F.sum("_rerror").over(same_host).alias("_host_rerror"),
-        F.count("*").over(same_both).alias("_both"),
+        past(one, host).alias("count"),
+        past("_serror", host).alias("_host_serror"),
+        past("_rerror", host).alias("_host_rerror"),
+        past(one, host, service).alias("_both"),
     )
     by_service = by_host.select(
         "*",
-        F.count("*").over(same_service).alias("srv_count"),
-        F.sum("_serror").over(same_service).alias("_srv_serror"),
-        F.sum("_rerror").over(same_service).alias("_srv_rerror"),
+        past(one, service).alias("srv_count"),
+        past("_serror", service).alias("_srv_serror"),
+        past("_rerror", service).alias("_srv_rerror"),
     ).where("_subject")
     host_count, srv_count = F.col("count"), F.col("srv_count")
     same = F.col("_both")
@@ -138,15 +152,19 @@ def _ranked(
     repeated in the next one with ``_subject`` false. The rank is the number of rows in
     earlier time slices plus the rank inside the slice.
     """
-    counts = table.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    # As a struct the pair is never null itself, so rows without key or time keep their place.
+    grouped = table.withColumn("_group", F.struct(F.col(key).alias("key"), F.col("_slice").alias("slice")))
+    counts = grouped.groupBy("_group").agg(F.count("*").alias("_n"))
     earlier = (
-        Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_group.key")
+        .orderBy("_group.slice")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = counts.select(
-        key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
+        "_group", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(key, "_slice").orderBy(*order)
-    ranked = table.join(offsets, [key, "_slice"]).withColumn(
+    inside = Window.partitionBy("_group").orderBy(*order)
+    ranked = grouped.join(offsets, "_group").withColumn(
         "_rank", F.col("_offset") + F.row_number().over(inside)
     )
     block = F.floor((F.col("_rank") - 1) / block_rows)
@@ -155,7 +173,7 @@ def _ranked(
     near_end = (F.col("_rank") - 1) % block_rows > block_rows - n
     copies = F.when(near_end, F.array(own, ahead)).otherwise(F.array(own))
     return (
-        ranked.drop("_offset").withColumn("_copies", copies).select("*", F.inline("_copies")).drop("_copies")
+        ranked.drop("_group", "_offset").withColumn("_copies", copies).select("*", F.inline("_copies")).drop("_copies")
     )
 
 
@@ -188,30 +206,29 @@ def last_connections(
     ).withColumn("_slice", F.floor(F.col("_us") / (slice_seconds * 1_000_000)))
     order = ["_us", id]
 
-    def last(*keys: str):
-        """Rows of the keys among the last n ranks: a range of ranks, not of rows."""
-        return Window.partitionBy(*keys, "_block").orderBy("_rank").rangeBetween(-(n - 1), 0)
+    def last(value: str | Column, *keys: str) -> Column:
+        """Sum over the rows of the keys among the last n ranks."""
+        column = F.col(value) if isinstance(value, str) else value
+        return _trailing(column, [*keys, "_block"], "_rank", n - 1)
 
+    one = F.lit(1)
     by_host = _ranked(timed, host, order, n, slice_seconds, block_rows)
-    same_host, same_both = last(host), last(host, service)
-    same_port = (
-        F.count("*").over(last(host, src_port)) if src_port else F.lit(None).cast("long")
-    )
+    same_port = last(one, host, src_port) if src_port else F.lit(None).cast("long")
     host_part = by_host.select(
         "*",
-        F.count("*").over(same_host).alias("dst_host_count"),
-        F.sum("_serror").over(same_host).alias("_host_serror"),
-        F.sum("_rerror").over(same_host).alias("_host_rerror"),
-        F.count("*").over(same_both).alias("dst_host_srv_count"),
-        F.sum("_serror").over(same_both).alias("_both_serror"),
-        F.sum("_rerror").over(same_both).alias("_both_rerror"),
+        last(one, host).alias("dst_host_count"),
+        last("_serror", host).alias("_host_serror"),
+        last("_rerror", host).alias("_host_rerror"),
+        last(one, host, service).alias("dst_host_srv_count"),
+        last("_serror", host, service).alias("_both_serror"),
+        last("_rerror", host, service).alias("_both_rerror"),
         same_port.alias("_same_port"),
     ).where("_subject").drop("_rank", "_block", "_subject")
     by_service = _ranked(host_part, service, order, n, slice_seconds, block_rows)
     both_parts = by_service.select(
         "*",
-        F.count("*").over(last(service)).alias("_srv"),
-        F.count("*").over(last(service, host)).alias("_srv_host"),
+        last(one, service).alias("_srv"),
+        last(one, service, host).alias("_srv_host"),
     ).where("_subject")
     count, srv_count = F.col("dst_host_count"), F.col("dst_host_srv_count")
     return both_parts.select(

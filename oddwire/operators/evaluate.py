@@ -26,7 +26,11 @@ def score_and_label(predictions: DataFrame) -> DataFrame:
 
 
 def confusion_by_threshold(scores: DataFrame) -> DataFrame:
-    """(threshold, tp, fp, positives, negatives): rows at or above each distinct score."""
+    """(threshold, tp, fp, positives, negatives): rows at or above each distinct score.
+
+    The running sums see one row per distinct score. Cluster numbers are few; continuous
+    scores are to be rounded or binned first.
+    """
     positive = F.col("label") > 0.5
     counts = scores.groupBy(F.col("score").alias("threshold")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")

@@ -147,7 +147,7 @@ def threshold_sweep(
     table = scored.sparkSession.createDataFrame(
         list(enumerate(steps, start=1)), "step int, threshold double"
     )
-    upwards = Window.orderBy("step").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    upwards = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = table.join(counts, "step", "left").select(
         "threshold",
         F.coalesce(F.sum("n").over(upwards), F.lit(0)).alias("detected"),

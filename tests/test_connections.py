@@ -85,6 +85,25 @@ def test_last_connections(log, n, slice_seconds, block_rows):
         assert found[i] == pytest.approx(expected)
 
 
+def test_rows_without_host_or_service_are_kept(spark):
+    rows = [(1, "a", "s"), (2, None, "s"), (3, None, None), (4, None, "s")]
+    frame = spark.createDataFrame(rows, "id long, host string, service string").withColumn(
+        "ts", F.timestamp_seconds(F.col("id") * 10)
+    )
+    last = connections.last_connections(
+        frame, "host", "service", "ts", "id", F.lit(False), F.lit(False), n=2, slice_seconds=10, block_rows=2
+    )
+    assert {r["id"]: (r["dst_host_count"], r["dst_host_srv_count"]) for r in last.collect()} == {
+        1: (1, 1), 2: (1, 1), 3: (2, 1), 4: (2, 1)
+    }
+    recent = connections.recent_traffic(
+        frame, "host", "service", "ts", F.lit(False), F.lit(False), seconds=20, slice_seconds=20
+    )
+    assert {r["id"]: (r["count"], r["srv_count"]) for r in recent.collect()} == {
+        1: (1, 1), 2: (1, 2), 3: (2, 1), 4: (3, 2)
+    }
+
+
 def test_windows_must_fit(log):
     frame = log[1]
     with pytest.raises(ValueError):
