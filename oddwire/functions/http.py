@@ -37,7 +37,7 @@ def uri(request_line: Column) -> Column:
 
 def standard(request_line: Column) -> Column:
     """The protocol version: the last part that is not empty."""
-    return F.regexp_extract(request_line, r"([^ ]+) *$", 1)
+    return F.substring_index(F.rtrim(request_line), " ", -1)
 
 
 def url_path(address: Column) -> Column:
@@ -79,43 +79,39 @@ def last_wins_map(entries: Column) -> Column:
         numbered = F.transform(
             items, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value"))
         )
-        return _bind(
+        lasts = _bind(
             F.sort_array(numbered),
             lambda ordered: F.filter(
                 ordered,
                 lambda e, i: ~F.get(ordered, i + 1)["key"].eqNullSafe(e["key"]),
             ),
         )
+        return F.transform(
+            lasts, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))
+        )
 
-    keys = F.transform(entries, lambda e: e["key"])
-    unique = F.size(F.array_distinct(keys)) == F.size(entries)
-    pairs = F.when(unique, F.transform(entries, _pair)).otherwise(
-        F.transform(keep_last(entries), _pair)
-    )
-    return F.map_from_entries(pairs)
-
+    def build(items: Column) -> Column:
+        repeats = F.size(F.array_distinct(items["key"])) < F.size(items)
+        return F.map_from_entries(F.when(repeats, keep_last(items)).otherwise(items))
 
-def _pair(entry: Column) -> Column:
-    return F.struct(entry["key"].alias("key"), entry["value"].alias("value"))
+    return _bind(entries, build)
 
 
 def parameter_entries(query: Column) -> Column:
     """Array of (key, value) of a query string, in order, repeats included.
 
     A piece is cut at its first ``=`` unless that is its first character; without a cut the
-    whole piece is the key. Separators at the end do not open another piece.
+    whole piece is the key. Empty pieces are no parameters: those at the end are harmless,
+    ``has_empty_parameter`` finds the others.
     """
-    pieces = F.split(F.rtrim(query, F.lit("&")), "&")
+    pieces = F.filter(F.split(query, "&"), lambda piece: piece != "")
 
     def entry(piece: Column) -> Column:
-        cut = F.instr(piece, "=")
-        return F.struct(
-            F.when(cut > 1, F.substring(piece, F.lit(1), cut - 1)).otherwise(piece).alias("key"),
-            F.when(cut > 1, F.substring(piece, cut + 1, F.length(piece))).otherwise("").alias("value"),
-        )
+        key = F.when(piece.startswith("="), piece).otherwise(F.substring_index(piece, "=", 1))
+        value = F.substring(piece, F.length(key) + 2, F.length(piece))
+        return F.struct(key.alias("key"), value.alias("value"))
 
-    no_entries = F.filter(F.transform(pieces, entry), lambda e: F.lit(False))
-    return F.when(F.rtrim(query, F.lit("&")) == "", no_entries).otherwise(F.transform(pieces, entry))
+    return F.transform(pieces, entry)
 
 
 def has_empty_parameter(query: Column) -> Column:
@@ -136,11 +132,9 @@ def header_entries(lines: Column) -> Column:
     """
 
     def entry(line: Column) -> Column:
-        cut = F.instr(line, ":")
-        return F.struct(
-            F.when(cut > 0, F.substring(line, F.lit(1), cut - 1)).otherwise(line).alias("key"),
-            F.when(cut > 0, F.substring(line, cut + 2, F.length(line))).otherwise("").alias("value"),
-        )
+        key = F.substring_index(line, ":", 1)
+        value = F.substring(line, F.length(key) + 3, F.length(line))
+        return F.struct(key.alias("key"), value.alias("value"))
 
     return F.transform(lines, entry)
 
