@@ -6,10 +6,12 @@ it in the file. A window over a whole file would be one task per file, so the co
 taken in two steps: blank lines per split, summed over the splits of a file (one small row
 per split), then a running count inside each split.
 
-The lines cross the network once, hashed by (file, split). All that follows, up to the
-request table with its ids, is keyed by the same pair and stays where it is. Only the rest
-of a request cut by a split border, at most one per split, moves to the split in which the
-request began.
+The lines cross the network once, hashed by (file, split), to be numbered and put together
+in order. What a split border cuts has to meet again, so the assembled pieces cross it a
+second time, hashed by the file and the split in which their request began: one row per
+request instead of one per line, and all that follows, up to the request table with its ids,
+is keyed by the same pair and stays there. Joining the few cut pieces back instead would
+spare this exchange, but number and sort every line a second time.
 """
 
 from __future__ import annotations
@@ -112,38 +114,25 @@ def _values(pairs: Column) -> Column:
 def assemble_requests(lines: DataFrame) -> DataFrame:
     """Requests of a line table (file, split, seq, value).
 
-    One row per request: ``line_no`` of its request line, ``head`` (array of lines, the
-    request line first) and ``body_lines`` (array). A group is one request, never a file.
+    One row per request: ``split`` in which it began, ``line_no`` of its request line,
+    ``head`` (array of lines, the request line first) and ``body_lines`` (array). A group is
+    one request, never a file.
     """
     numbered = number_lines(lines)
     text = F.col("value") != ""
+    # Where the lines are: nearly every piece is already a whole request.
     pieces = numbered.groupBy(*SPLIT, "home", "request_no").agg(
         F.min("line_no").alias("line_no"),
         _numbered_lines(text & ~F.col("in_body")).alias("head"),
         _numbered_lines(text & F.col("in_body")).alias("body"),
     )
-    begun = pieces.where(F.col("home") == F.col("split")).drop("home")
-    rests = (
-        pieces.where(F.col("home") != F.col("split"))
-        .groupBy("file", F.col("home").alias("split"), F.col("request_no").alias("rest_no"))
-        .agg(
-            F.flatten(F.collect_list("head")).alias("rest_head"),
-            F.flatten(F.collect_list("body")).alias("rest_body"),
-        )
-    )
-
-    # Only the last request of a split can be cut, so a split has at most one rest and the
-    # join needs no other key than the one its left side is already hashed by.
-    def whole(part: str) -> Column:
-        cut = F.col("rest_no") == F.col("request_no")
-        return _values(F.when(cut, F.concat(part, f"rest_{part}")).otherwise(F.col(part)))
-
-    return begun.join(rests, SPLIT, "left").select(
-        *SPLIT,
-        "request_no",
-        "line_no",
-        whole("head").alias("head"),
-        whole("body").alias("body_lines"),
+    at_home = pieces.select(
+        "file", F.col("home").alias("split"), "request_no", "line_no", "head", "body"
+    ).repartition(*SPLIT)
+    return at_home.groupBy(*SPLIT, "request_no").agg(
+        F.min("line_no").alias("line_no"),
+        _values(F.flatten(F.collect_list("head"))).alias("head"),
+        _values(F.flatten(F.collect_list("body"))).alias("body_lines"),
     )
 
 
@@ -154,20 +143,20 @@ def assign_ids(requests: DataFrame) -> DataFrame:
     so the id falls behind the true line number once a file repeats a header or has a body
     of several lines. Ids begin at 1 in every file.
 
-    As with lines, the running sum is split in two: sums per split over a small table, and
-    a window inside each split.
+    As with lines, the running sum is split in two: a window inside each split, and offsets
+    from a small table that holds where the requests of each split end.
     """
     predicted = (1 + F.size("headers") + F.when(F.col("body") == "", 2).otherwise(3)).cast("long")
-    sized = requests.withColumn("_lines", predicted)
+    in_split = Window.partitionBy(*SPLIT).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.groupBy(*SPLIT).agg(F.sum("_lines").alias("_lines")).select(
-        *SPLIT, F.coalesce(F.sum("_lines").over(in_file), F.lit(0)).alias("_offset")
-    )
-    before = (
-        Window.partitionBy(*SPLIT).orderBy("request_no").rowsBetween(Window.unboundedPreceding, -1)
+    sized = requests.withColumn("_lines", predicted)
+    placed = sized.withColumn("_start", F.coalesce(F.sum("_lines").over(in_split), F.lit(0)))
+    ends = placed.groupBy(*SPLIT).agg(F.max(F.col("_start") + F.col("_lines")).alias("_end"))
+    offsets = ends.select(
+        *SPLIT, F.coalesce(F.sum("_end").over(in_file), F.lit(0)).alias("_offset")
     )
     return (
-        sized.join(offsets, SPLIT)
-        .withColumn("id", 1 + F.col("_offset") + F.coalesce(F.sum("_lines").over(before), F.lit(0)))
-        .drop("_lines", "_offset")
+        placed.join(offsets, SPLIT)
+        .withColumn("id", 1 + F.col("_offset") + F.col("_start"))
+        .drop("_lines", "_start", "_offset")
     )
