@@ -24,7 +24,7 @@ def quarantine_connections(lines: DataFrame) -> DataFrame:
 
     ``_corrupt_reason`` is ``field_count`` for any other number of fields than 42 and
     ``number`` for a continuous field that is none; that field is null, and all fields are
-    where the count is wrong.
+    where the count is wrong. An empty field is null and no error.
     """
     schema = T.StructType([*CONNECTIONS, T.StructField("_corrupt_record", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
