@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oddwire.llm import exact_dedup
+from oddwire.llm import chat, exact_dedup, language, quality
 from oddwire.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,3 +21,45 @@ def query(function):
 @query
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+@query
+def op4_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality.train(docs, labels)
+    return quality.score(docs.select("doc_id", "text"), machine).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", "predicted"
+    )
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.withColumn("held_out", quality.held_out())
+
+
+@query
+def op6_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.range(2).selectExpr(
+        "-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role"
+    )
+    rows = rows.unionByName(own.withColumn("text", F.lit(said)))
+    made = chat.conversations(chat.linear_trees(rows))
+    lines = F.transform(
+        "turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    )
+    return (
+        made.withColumn("turns", chat.turns_of(F.col("formatted")))
+        .withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+        .select(
+            F.col("tree").alias("conv_id"),
+            F.size("turns").cast("long").alias("n_turns"),
+            F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+            F.char_length("loss").cast("long").alias("loss_chars"),
+            F.sha2("loss", 256).alias("loss_sha256"),
+            F.char_length("formatted").cast("long").alias("formatted_chars"),
+        )
+    )

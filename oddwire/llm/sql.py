@@ -12,4 +12,22 @@ ORACLES = {
                row_number() OVER (PARTITION BY norm ORDER BY points DESC, doc_id) = 1 AS kept,
                sha256(norm) AS text_sha256
         FROM n""",
+    "op6_chat_formatting": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        marked AS (
+            SELECT *, replace(replace(replace(text, '\', '\\'), '##', '\d'), '</turn>', '\e') AS body
+            FROM rows)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+                   AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT)
+                   AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                   FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(role) + length(body) + 14) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id""",
 }
