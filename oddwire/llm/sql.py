@@ -30,4 +30,26 @@ ORACLES = {
                    FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + length(body) + 14) AS BIGINT) AS formatted_chars
         FROM marked GROUP BY conv_id""",
+    "op10_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        s AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS seq
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w
+                  WHERE len(words) >= 35)),
+        r AS (SELECT seq FROM s GROUP BY seq HAVING count(*) > 1),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i
+            FROM s JOIN r USING (seq)),
+        p AS (
+            SELECT doc_id, words[i] AS word, i
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+        k AS (
+            SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) FILTER (WHERE gone.i IS NULL) AS kept,
+                   count(gone.i) AS n_removed
+            FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i GROUP BY p.doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+               coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
 }
