@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddwire.llm import chat, exact_dedup, language, quality, substrings
+from oddwire.llm import chat, exact_dedup, jaccard, language, quality, substrings
 from oddwire.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,10 @@ def op10_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kept_sha256 = F.sha2("kept_text", 256).alias("kept_sha256")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", kept_sha256)
+
+
+@query
+def op3_jaccard_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = jaccard.similarity_classes(docs)
+    return found.select("doc_id", "n_shingles", "component_id")
