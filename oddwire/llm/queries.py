@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddwire.llm import chat, exact_dedup, jaccard, language, quality, substrings
+from oddwire.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    jaccard,
+    language,
+    quality,
+    substrings,
+)
 from oddwire.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +85,9 @@ def op3_jaccard_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = jaccard.similarity_classes(docs)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, items).drop("row_key")
