@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddwire.llm import (
+    archives,
     chat,
     decontaminate,
     exact_dedup,
@@ -91,3 +92,20 @@ def op3_jaccard_join(spark, sf_dir):
 def op5_decontamination(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, items).drop("row_key")
+
+
+@query
+def op2_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select(F.col("page_id").alias("number"), "url", F.col("html").alias("payload"))
+    records = archives.archive_pages(captures).drop("payload")
+    answers = records.where("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("number").alias("answer")
+    )
+    return records.join(answers, "refers_to", "left").select(
+        F.col("number").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("answer").alias("refers_to"),
+    )
