@@ -14,6 +14,7 @@ from oddwire.llm import (
     exact_dedup,
     jaccard,
     language,
+    pieces,
     quality,
     substrings,
 )
@@ -109,3 +110,15 @@ def op2_warc(spark, sf_dir):
         "record_type",
         F.col("answer").alias("refers_to"),
     )
+
+
+@query
+def op8_sentence_pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.decode(pieces.encode(docs)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "scores",
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"),
+    )
