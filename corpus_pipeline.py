@@ -5,20 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oddwire.llm import exact_dedup
+from oddwire.llm import decontaminate, exact_dedup, jaccard, pieces, quality
 from oddwire.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good."""
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, machine)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.distinct_documents(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar shingle sets."""
+    return jaccard.one_of_each_class(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as sentence pieces: ids, the N best scores, whether decoding restores it."""
+    encoded = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "scores",
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"),
+    )
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_quality),
     ("exact dedup", exact_copies),
+    ("n-gram jaccard join", near_copies),
+    ("benchmark decontamination", decontaminated),
+    ("sentence pieces", segmented),
 ]
 
 #: Fitted weights and the piece lattice have no SQL; tests compare with brute force.

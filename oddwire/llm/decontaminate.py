@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddwire.llm import words
-from oddwire.llm.members import bit_table, maybe_in
+from oddwire.llm.members import bit_table, maybe_in, without
 from oddwire.llm.shared import with_row_key, written
 
 MIN_MATCH = 5
@@ -229,6 +229,4 @@ def contaminated(
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without benchmark passages, all columns; ``docs`` must be a stored table."""
-    found = contaminated(docs, benchmark).select(F.col("row_key").alias("__row_key")).distinct()
-    keyed = docs.withColumn("__row_key", F.monotonically_increasing_id())
-    return keyed.join(found, "__row_key", "left_anti").drop("__row_key")
+    return without(docs, contaminated(docs, benchmark))

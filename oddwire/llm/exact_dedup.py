@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddwire.llm import words
+from oddwire.llm.members import without
 from oddwire.llm.shared import with_row_key, written
 
 #: Deleted before texts are compared.
@@ -212,6 +213,4 @@ def exact_dedup(
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; ``docs`` must be a stored table."""
-    kept = exact_dedup(docs).where("kept").select(F.col("row_key").alias("__row_key"))
-    keyed = docs.withColumn("__row_key", F.monotonically_increasing_id())
-    return keyed.join(kept, "__row_key", "left_semi").drop("__row_key")
+    return without(docs, exact_dedup(docs).where("NOT kept"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from oddwire.llm import words
 from oddwire.llm.components import components
-from oddwire.llm.members import bit_table, maybe_in
+from oddwire.llm.members import bit_table, maybe_in, without
 from oddwire.llm.shared import with_row_key, written
 
 SHINGLE_WORDS = 5
@@ -472,8 +472,4 @@ def _first_document() -> Column:
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """The representatives with all their columns; ``docs`` must be a stored table."""
-    kept = similarity_classes(docs).where("representative")
-    keyed = docs.withColumn("__row_key", F.monotonically_increasing_id())
-    return keyed.join(
-        kept.select(F.col("row_key").alias("__row_key")), "__row_key", "left_semi"
-    ).drop("__row_key")
+    return without(docs, similarity_classes(docs).where("NOT representative"))

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddwire.llm import words
+from oddwire.llm.shared import written
 
 LOG2_BITS = 26
 BLOCK = 1 << 18
@@ -87,3 +89,33 @@ def maybe_in(table: tuple[int, np.ndarray], values: np.ndarray) -> np.ndarray:
     log2_bits, bits = table
     cell = _cells(values, log2_bits)
     return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _maybe(table, number: Column) -> Column:
+    """Whether a number may be in the broadcast set; only the number goes to Python."""
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(table.value, values.to_numpy(dtype=np.int64)))
+
+    return test(number)
+
+
+def only(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``name`` (a long) is among the ids; others are left out before the shuffle."""
+    ids = written(ids.select(F.col(name).cast("long").alias(name)).dropna().distinct(), "ids")
+    near = rows.where(_maybe(bit_table(ids), F.coalesce(F.col(name), F.lit(0))))
+    return near.join(ids, name, "left_semi")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a stored table but those whose place is in the ``row_key`` of ``dropped``.
+
+    Rows that surely stay are not shuffled; the others are told apart by an exact join.
+    """
+    key = "__row_key"
+    dropped = written(dropped.select(F.col("row_key").alias(key)).distinct(), "dropped")
+    keyed = docs.withColumn(key, F.monotonically_increasing_id())
+    maybe = _maybe(bit_table(dropped), F.col(key))
+    near = keyed.where(maybe).join(dropped, key, "left_anti")
+    return keyed.where(~maybe).unionByName(near).drop(key)

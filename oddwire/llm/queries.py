@@ -14,11 +14,13 @@ from oddwire.llm import (
     exact_dedup,
     jaccard,
     language,
+    members,
     pieces,
     quality,
     substrings,
+    token_counts,
 )
-from oddwire.llm.shared import table
+from oddwire.llm.shared import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -122,3 +124,18 @@ def op8_sentence_pieces(spark, sf_dir):
         "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"),
     )
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    """All documents go in, toxic ones go out, those of low quality come again in single-spaced
+    form; the last two batches are then committed again, as after a lost confirmation."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ledger = token_counts.Ledger(spark, new_path(spark, "token-ledger"))
+    poor = members.only(docs, labels.where("quality = 0"), "doc_id")
+    revised = poor.withColumn("text", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    ledger.insert(1, token_counts.counted(docs))
+    for _ in range(2):
+        ledger.delete(2, labels.where("toxic = 1"))
+        ledger.revise(3, token_counts.counted(revised))
+    return ledger.totals()
