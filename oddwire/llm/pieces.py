@@ -207,14 +207,13 @@ class Encoder(dict):
         close = [i for _, i in heapq.nsmallest(self.count - 1, zip(gaps, range(len(cut))))]
         close = [i for i in close if known[i][2] < math.inf]
         options = [self.alternatives(cut[i]) for i in close]
+        ids = [k[0] for k in known]
         result = []
-        for loss, ranks in _smallest_sums([[o[0][0] - s for s, _ in o] for o in options], self.count):
-            chosen = {i: options[k][rank][1] for k, (i, rank) in enumerate(zip(close, ranks)) if rank}
-            if chosen:
-                ids = chain.from_iterable(chosen.get(i, k[0]) for i, k in enumerate(known))
-            else:
-                ids = chain.from_iterable(k[0] for k in known)
-            result.append((score - loss, list(ids)))
+        losses = [[o[0][0] - s for s, _ in o] for o in options]
+        for loss, ranks in _smallest_sums(losses, self.count):
+            for k, (i, rank) in enumerate(zip(close, ranks)):
+                ids[i] = options[k][rank][1]
+            result.append((score - loss, list(chain.from_iterable(ids))))
         return result
 
 
