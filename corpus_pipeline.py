@@ -16,8 +16,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, machine)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score(docs, machine, names=("__score", "__predicted"))
+    return scored.where("__predicted = 1").drop("__score", "__predicted")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

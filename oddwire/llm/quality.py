@@ -202,23 +202,28 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit([pairs[k] for k in order], known[order])
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of the documents with ``score`` and ``predicted``.
+def score(
+    docs: DataFrame,
+    machine: Machine,
+    threshold: float = THRESHOLD,
+    names: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
+    """All columns of the documents with score and prediction, under the given names.
 
     Null, empty and blank texts are scored by their statistics. Columns of these two names are
     replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
             for index, value in map(features, words.raw_texts(batch.column("text"))):
                 scores.append(model.value.scores(index, value, np.zeros(1, np.int64))[0])
-            table = batch.append_column("score", pa.array(scores, pa.float64()))
+            table = batch.append_column(names[0], pa.array(scores, pa.float64()))
             yes = pa.array([int(s >= threshold) for s in scores], pa.int32())
-            yield table.append_column("predicted", yes)
+            yield table.append_column(names[1], yes)
 
-    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    added = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
