@@ -2,15 +2,15 @@
 
 Two ways of skipping work by relations between sets make it linear in groups of near copies:
 
-* Answers from a similar set. Equal sets are one class. Classes that share a min-hash meet the
-  smallest class with it, their leader, and are compared with it alone; a link also records what
-  the set lost and gained against its leader. Linked sets form clusters, whose inner pairs need no
+* Answers from a similar set. Equal sets are one class. Classes of about one size that share a min-hash meet the
+  most central of them, their leader (the one with the most common shingles), and are compared
+  with it alone; a link also records what the set lost and gained against its leader. Linked sets form clusters, whose inner pairs need no
   further look. A pair (x, y) of two clusters starts from the computed intersection of x's leader
   with y: ``|x & y| = |r & y| - |lost & y| + |gained & y|``. The sizes of lost and gained decide
   most pairs without reading x or y.
 * Blocks of index lists. The prefix index holds the rarest shingles of every class, one list a
-  shingle, cut into blocks by set size and position. A pair of blocks whose sizes or positions
-  rule out the needed overlap is skipped as a whole.
+  shingle, cut into blocks by cluster, set size and position. A pair of blocks of one cluster, or
+  whose sizes or positions rule out the needed overlap, is skipped as a whole.
 
 The min-hash step is a shortcut only: the prefix index finds every link between clusters.
 Shingles are ordered by a counting sketch of all documents; any order gives the same links.
@@ -32,8 +32,10 @@ from oddwire.llm.shared import with_row_key, written
 
 SHINGLE_WORDS = 5
 MIN_HASHES = 6
-#: Counters of the sketch that orders the shingles.
-LOG2_COUNTERS = 20
+#: Min-hashes a class must share with a leader to be compared with it.
+SHARED_HASHES = 3
+#: Counters of the sketch that orders the shingles; a task counts to 255 in each.
+LOG2_COUNTERS = 22
 COUNTER_BLOCK = 1 << 16
 #: Entries of a block of an index list, about.
 BLOCK_ENTRIES = 256
@@ -65,7 +67,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, identity and min-hashes of each set; at the end the task's shingle counts."""
-    total = np.zeros(1 << LOG2_COUNTERS, dtype=np.uint32)
+    total = np.zeros(1 << LOG2_COUNTERS, dtype=np.uint8)
     names = [field.split()[0] for field in PROFILE.split(", ")]
     for batch in batches:
         sizes, first, second, keys = [], [], [], []
@@ -78,7 +80,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(np.array([words.mix(shingles * h).min() for h in _HASHES]))
             else:
                 keys.append(np.zeros(0, np.uint64))
-            np.add.at(total, _counters(shingles), 1)
+            counters = np.unique(_counters(shingles))
+            total[counters] += total[counters] < 255
         rows = len(batch)
         yield pa.RecordBatch.from_arrays(
             [
@@ -115,13 +118,13 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if current is not None:
                     yield summed()
                 current, total[:] = block, 0
-            total += np.frombuffer(counts.as_py(), np.uint32)
+            total += np.frombuffer(counts.as_py(), np.uint8)
     if current is not None:
         yield summed()
 
 
 def _rarity(profiles: DataFrame) -> np.ndarray:
-    """Class of frequency of each counter; shingles are ordered by it, then by their hash."""
+    """Rank of each counter's count, in steps of an eighth; shingles are ordered by it and hash."""
     rows = (
         profiles.where("block IS NOT NULL")
         .select("block", "counts")
@@ -133,8 +136,7 @@ def _rarity(profiles: DataFrame) -> np.ndarray:
     counts = np.zeros((max((1 << LOG2_COUNTERS) // COUNTER_BLOCK, 1), COUNTER_BLOCK))
     for block, row in zip(rows.column("block"), rows.column("counts")):
         counts[block.as_py()] = np.frombuffer(row.as_py(), np.uint64)
-    usual = max(counts.mean(), 1.0)
-    return np.floor(2 * np.log2(1 + counts.reshape(-1) / usual)).astype(np.uint8)
+    return np.floor(8 * np.log2(1 + counts.reshape(-1))).astype(np.uint8)
 
 
 def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -194,19 +196,56 @@ def _against_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def leader_links(classes: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(x, r, similarity, lost, gained): classes linked with a leader that shares a min-hash."""
-    keyed = keys.select("id", "n", F.posexplode("keys").alias("which", "key"))
+def _commonness(rows: DataFrame, ids: DataFrame, rarity) -> DataFrame:
+    """(id, common): mean rank of a set's shingles. Of near copies the least changed is highest."""
+    wanted = bit_table(ids)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = maybe_in(wanted.value, batch.column("row_key").to_numpy())
+            chosen = batch.filter(pa.array(keep))
+            means = []
+            for text in words.raw_texts(chosen.column("text")):
+                shingles = words.shingle_set(text, SHINGLE_WORDS)
+                ranks = rarity.value[_counters(shingles)]
+                means.append(float(ranks.mean()) if len(ranks) else 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [chosen.column("row_key"), pa.array(means, pa.float64())], ["id", "common"]
+            )
+
+    found = rows.select("row_key", "text").mapInArrow(task, "id long, common double")
+    return found.join(ids, "id", "left_semi")
+
+
+def leader_links(rows: DataFrame, keys: DataFrame, rarity) -> DataFrame:
+    """(x, r, similarity, lost, gained): classes linked with a leader that shares min-hashes.
+
+    Leaders are chosen among sets of one size range, or sets that hold a whole family and more
+    would lead it. Two grids of ranges, half a step apart, keep a family from being cut.
+    """
+    level = F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))
+    grids = F.array(F.floor(level) * 2, F.floor(level + 0.5) * 2 + 1)
+    own = ["which", "key", "size"]
+    keyed = keys.select("id", "n", F.explode(grids).alias("size"), "keys").select(
+        "id", "n", "size", F.posexplode("keys").alias("which", "key")
+    )
+    counts = keyed.groupBy(*own).agg(F.count("*").alias("m")).where("m > 1")
+    keyed = written(keyed.join(written(counts, "min-hashes"), own), "shared-keys")
+    central = _commonness(rows, written(keyed.select("id").distinct(), "ids"), rarity)
+    choice = F.max(F.struct("common", (-F.col("id")).alias("minus_id"), "n")).alias("first")
     leaders = (
-        keyed.groupBy("which", "key")
-        .agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("m"))
-        .where("m > 1")
-        .select("which", "key", F.col("first.id").alias("r"), F.col("first.n").alias("r_n"))
+        keyed.join(central, "id")
+        .groupBy(*own)
+        .agg(choice)
+        .select(*own, (-F.col("first.minus_id")).alias("r"), F.col("first.n").alias("r_n"))
     )
     pairs = written(
-        keyed.join(written(leaders, "leaders"), ["which", "key"])
+        keyed.join(written(leaders, "leaders"), own)
         .where((F.col("id") != F.col("r")) & linked(F.least("n", "r_n"), F.col("n"), F.col("r_n")))
-        .select(F.col("id").alias("x"), "r")
+        .groupBy(F.col("id").alias("x"), "r", "size")
+        .count()
+        .where(F.col("count") >= SHARED_HASHES)
+        .select("x", "r")
         .distinct(),
         "leader-pairs",
     )
@@ -255,8 +294,8 @@ def _entries(wanted):
             row = row[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat[keep]), pa.array(at[keep].astype(np.int32))]
-                + [pa.array(batch.column(k).to_numpy()[row]) for k in ("id", "cluster", "n")],
-                ["token", "at", "id", "cluster", "n"],
+                + [batch.column(k).take(pa.array(row)) for k in ("id", "cluster", "several", "n")],
+                ["token", "at", "id", "cluster", "several", "n"],
             )
 
     return task
@@ -273,8 +312,8 @@ def index_candidates(index: DataFrame) -> DataFrame:
         "shared-shingles",
     )
     wanted = bit_table(shared.select("token"))
-    entries = index.select("id", "cluster", "n", "prefix").mapInArrow(
-        _entries(wanted), "token long, at int, id long, cluster long, n long"
+    entries = index.select("id", "cluster", "several", "n", "prefix").mapInArrow(
+        _entries(wanted), "token long, at int, id long, cluster long, several boolean, n long"
     )
     parts = F.greatest(F.lit(1), F.floor(F.col("m") / BLOCK_ENTRIES))
     blocks = written(
@@ -282,7 +321,8 @@ def index_candidates(index: DataFrame) -> DataFrame:
         .withColumn("size_block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))))
         .withColumn("place", F.floor(F.col("at") * 16 / F.col("n")))
         .withColumn("part", F.pmod(F.xxhash64("id"), parts))
-        .groupBy("token", "size_block", "place", "part")
+        .withColumn("group", F.when(F.col("several"), F.col("cluster")).otherwise(F.lit(-1)))
+        .groupBy("token", "group", "size_block", "place", "part")
         .agg(
             F.min("n").alias("least_n"),
             F.max(F.col("n") - F.col("at")).alias("rest"),
@@ -290,7 +330,7 @@ def index_candidates(index: DataFrame) -> DataFrame:
         ),
         "index-blocks",
     )
-    name = F.struct("size_block", "place", "part")
+    name = F.struct("size_block", "place", "part", "group")
     left = blocks.select("token", name.alias("b1"), "least_n", "rest", "entries")
     right = blocks.select(
         "token",
@@ -302,6 +342,7 @@ def index_candidates(index: DataFrame) -> DataFrame:
     possible = (
         (F.col("b1") <= F.col("b2"))
         & (F.col("b2.size_block") - F.col("b1.size_block") <= 1)
+        & ((F.col("b1.group") == -1) | (F.col("b1.group") != F.col("b2.group")))
         & linked(F.least("rest", "rest2"), F.col("least_n"), F.col("least_n2"))
     )
     opened = left.join(right, "token").where(possible)
@@ -425,7 +466,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     keys = sets.join(classes.select("id"), F.col("row_key") == F.col("id"), "left_semi").select(
         F.col("row_key").alias("id"), "n", "keys"
     )
-    leaders = leader_links(classes, rows, keys)
+    leaders = leader_links(rows, keys, rarity)
     inner = leaders.select(F.col("x").alias("a"), F.col("r").alias("b"))
     clusters = written(components(inner), "clusters")
     labels = classes.select("id").join(
@@ -433,7 +474,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         "id",
         "left",
     )
-    labels = labels.select("id", F.coalesce("cluster", "id").alias("cluster"))
+    labels = labels.select(
+        "id", F.coalesce("cluster", "id").alias("cluster"), F.col("cluster").isNotNull().alias("several")
+    )
     index = written(
         rows.select("row_key", "text")
         .mapInArrow(_prefixes(rarity), "id long, n long, prefix array<long>")

@@ -88,7 +88,7 @@ def test_index_alone_finds_every_link(spark, tmp_path, monkeypatch):
     draw = random.Random(4)
     rows = list(enumerate(near_copies(draw, 25)))
 
-    def none(classes, sets_, keys):
+    def none(rows, keys, rarity):
         schema = "x long, r long, similarity double, lost array<long>, gained array<long>"
         return spark.createDataFrame([], schema)
 
