@@ -1,8 +1,8 @@
 """Removal of word passages that occur more than once, behind a count-min prefilter.
 
 Pass 1 sketches how often windows of ``size`` words may occur. The sketch counts a window by its
-anchor, the smallest hash among its runs of four words: two equal windows have equal anchors at
-different places, so an anchor's count is never below a window's, and there are only about two
+anchor, the smallest hash among its runs of a third as many words: two equal windows have equal anchors at
+different places, so an anchor's count is never below a window's, and there are only about three
 anchors in each window length. Tasks send their non-zero cells; merged cells are kept as one bit,
 "two or more", so the sketch that reaches every task has a fixed size whatever the input is.
 
@@ -25,7 +25,6 @@ from oddwire.llm import words
 from oddwire.llm.shared import with_row_key
 
 WINDOW = 35
-ANCHOR_WORDS = 4
 DEPTH = 3
 #: Cells in each of the sketch's rows; one bit of each is sent to the tasks.
 LOG2_CELLS = 25
@@ -48,8 +47,9 @@ def _sliding(values: np.ndarray, size: int, choose) -> np.ndarray:
 
 def anchors(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The anchor of each window, and the anchors at all places where some window has its own."""
-    grams = words.runs(hashes, min(ANCHOR_WORDS, size))
-    width = size - min(ANCHOR_WORDS, size) + 1
+    run = max(size // 3, 1)
+    grams = words.runs(hashes, run)
+    width = size - run + 1
     if len(grams) < width:
         return grams[:0], grams[:0]
     least = _sliding(grams, width, np.minimum)
