@@ -4,8 +4,9 @@ Texts are encoded over the lattice of all vocabulary pieces. A forward Viterbi p
 score up to every place; these scores are exact heuristics for an A-star search from the end back,
 which therefore meets complete segmentations in falling order of score.
 
-No piece crosses from a character other than a space to a space (checked when a vocabulary is
-read), so the lattice of a text is a chain of small ones, a space run and a word each. Words are
+No piece crosses from a character other than a space to a space, nor from a letter to most marks
+(found out when a vocabulary is read), so the lattice of a text is a chain of small ones, a space
+run and a word or the end of one each. Words are
 remembered by the task; the N best of a text are the N best sums over its words, and only the
 words with the N - 1 smallest gaps between best and second can take part in them.
 
@@ -18,10 +19,12 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -58,16 +61,20 @@ class Vocabulary:
         #: Trie of the surfaces: by character a node [score, ids or None, further characters].
         self.trie: dict[str, list] = {}
         self.surfaces: dict[int, bytes] = {k: bytes([b]) for b, k in enumerate(self.bytes)}
-        breaks = False
+        breaks, marks = False, set(".,!?;:%&#$*)")
         for rank, k in enumerate(plain):
             surface = processor.id_to_piece(k).replace("▁", " ")
             self._add(surface, -math.log(rank + ZIPF_OFFSET) - total, k)
             self.surfaces[k] = surface.encode()
             breaks |= "\n" in surface
+            marks -= {b for a, b in zip(surface, surface[1:]) if a.isalpha()}
             if " " in surface.lstrip(" "):
                 raise ValueError(f"piece {surface!r} crosses into a space")
         self.byte_score = -math.log(len(plain) + ZIPF_OFFSET) - total - BYTE_PENALTY
-        self.words = re.compile(" *[^ ]+| +" if breaks else " *[^ \n]+| +|\n")
+        ends = "".join(map(re.escape, sorted(marks)))
+        letters = rf" *[^\W\d_]+(?=[{ends}])|" if marks else ""
+        self.words = re.compile(letters + (" *[^ ]+| +" if breaks else " *[^ \n]+| +|\n"))
+        self.table = pa.array([self.surfaces.get(k, b"") for k in range(size)], pa.binary())
 
     def _add(self, surface: str, score: float, piece: int) -> None:
         nodes = self.trie
@@ -93,8 +100,8 @@ class Vocabulary:
         data = character.encode("utf-8", "surrogatepass")
         return self.byte_score * len(data), tuple(self.bytes[b] for b in data)
 
-    def forward(self, word: str) -> tuple[tuple[int, ...], float, float]:
-        """The best segmentation, its score, and how far the second is behind."""
+    def forward(self, word: str) -> tuple[bytes, float, float]:
+        """The best segmentation as packed ids, its score, and how far the second is behind."""
         size = len(word)
         best, second = [_LEAST] * (size + 1), [_LEAST] * (size + 1)
         back: list = [None] * (size + 1)
@@ -126,7 +133,8 @@ class Vocabulary:
         while at:
             at, piece = back[at]
             ids.append(piece)
-        return tuple(chain.from_iterable(reversed(ids))), best[size], best[size] - second[size]
+        ids.reverse()
+        return packed(chain.from_iterable(ids)), best[size], best[size] - second[size]
 
     def n_best(self, word: str, count: int) -> list[tuple[float, tuple[int, ...]]]:
         """The best segmentations of a word by A-star from its end, in falling order of score.
@@ -162,10 +170,20 @@ class Vocabulary:
                 agenda = heapq.nsmallest(count - len(found), agenda)
         return found
 
-    def decode(self, ids) -> str:
-        """The text of any ids this class made; the space put before a text is taken off."""
-        data = b"".join(map(self.surfaces.__getitem__, ids))
-        return data.decode("utf-8", "surrogatepass")[1:]
+    def decode(self, ids: pa.ListArray) -> list[str | None]:
+        """The texts of lists of ids; the space put before a text is taken off."""
+        flat = self.table.take(ids.values)
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset :]
+        data = memoryview(flat.buffers()[2]) if flat.buffers()[2] is not None else b""
+        at = ends[ids.offsets.to_numpy()]
+        return [
+            bytes(data[a + 1 : b]).decode("utf-8", "surrogatepass") if valid else None
+            for a, b, valid in zip(at, at[1:], ids.is_valid().to_pylist())
+        ]
+
+
+def packed(ids) -> bytes:
+    return array("i", ids).tobytes()
 
 
 class Encoder(dict):
@@ -186,35 +204,35 @@ class Encoder(dict):
             self[word] = found
         return found
 
-    def alternatives(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+    def alternatives(self, word: str) -> list[tuple[float, bytes]]:
         found = self.several.get(word)
         if found is None:
-            found = self.vocabulary.n_best(word, self.count)
+            found = [(s, packed(ids)) for s, ids in self.vocabulary.n_best(word, self.count)]
             if len(self.several) >= REMEMBERED // 10:
                 self.several.clear()
             if len(word) <= REMEMBERED_LENGTH:
                 self.several[word] = found
         return found
 
-    def encode(self, text: str) -> list[tuple[float, list[int]]]:
-        """The N best segmentations of a text; an empty text has one, without pieces."""
+    def encode(self, text: str, every: bool = True) -> tuple[list[float], list[bytes]]:
+        """Scores of the N best segmentations of a text, and the packed ids of each (of the best
+        alone without ``every``). An empty text has one, without pieces."""
         if not text:
-            return [(0.0, [])]
+            return [0.0], [b""]
         cut = self.vocabulary.words.findall(" " + text)
-        known = [self[word] for word in cut]
-        score = sum(k[1] for k in known)
-        gaps = [k[2] for k in known]
-        close = [i for _, i in heapq.nsmallest(self.count - 1, zip(gaps, range(len(cut))))]
-        close = [i for i in close if known[i][2] < math.inf]
+        ids, scores, gaps = map(list, zip(*[self[word] for word in cut]))
+        score = sum(scores)
+        close = [i for gap, i in heapq.nsmallest(self.count - 1, zip(gaps, range(len(cut))))]
+        close = [i for i in close if gaps[i] < math.inf]
         options = [self.alternatives(cut[i]) for i in close]
-        ids = [k[0] for k in known]
-        result = []
         losses = [[o[0][0] - s for s, _ in o] for o in options]
-        for loss, ranks in _smallest_sums(losses, self.count):
+        sums = _smallest_sums(losses, self.count)
+        made = []
+        for _, ranks in sums if every else sums[:1]:
             for k, (i, rank) in enumerate(zip(close, ranks)):
                 ids[i] = options[k][rank][1]
-            result.append((score - loss, list(chain.from_iterable(ids))))
-        return result
+            made.append(b"".join(ids))
+        return [score - loss for loss, _ in sums], made
 
 
 @lru_cache(maxsize=2)
@@ -259,25 +277,31 @@ def encode(docs: DataFrame, model: str = MODEL, count: int = N_BEST, all_ids: bo
         own = encoder(model, count)
         for batch in batches:
             for part in _slices(batch):
-                found = []
+                scores, ids = [], []
                 for text in words.raw_texts(part.column("text")):
-                    found.append(own.encode(text.tobytes().decode("utf-8", "surrogatepass")))
-                part = part.append_column("ids", pa.array([f[0][1] for f in found], _IDS))
-                scores = pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64()))
-                part = part.append_column("scores", scores)
+                    text = text.tobytes().decode("utf-8", "surrogatepass")
+                    own_scores, own_ids = own.encode(text, all_ids)
+                    scores.append(own_scores)
+                    ids.append(own_ids)
+                part = part.append_column("ids", _id_lists([i[0] for i in ids]))
+                part = part.append_column("scores", pa.array(scores, pa.list_(pa.float64())))
                 if all_ids:
-                    every = pa.array([[i for _, i in f] for f in found], pa.list_(_IDS))
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    every = _id_lists([i for own_ids in ids for i in own_ids])
+                    every = pa.ListArray.from_arrays(pa.array(ends), every)
                     part = part.append_column("alternatives", every)
                 yield part
 
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
 
 
-_IDS = pa.list_(pa.int32())
+def _id_lists(rows: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "i4")))
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time: ids as Python numbers take far more room than the text."""
+    """Few rows at a time, so that a batch and its ids are never held twice."""
     for start in range(0, len(batch), rows):
         yield batch.slice(start, rows)
 
@@ -290,10 +314,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         vocabulary = encoder(model, N_BEST).vocabulary
         for batch in batches:
             for part in _slices(batch):
-                ids = part.column("ids")
-                texts = [
-                    vocabulary.decode(row.values.to_pylist()) if row.is_valid else None for row in ids
-                ]
+                texts = vocabulary.decode(part.column("ids"))
                 yield part.append_column("decoded", pa.array(texts, pa.string()))
 
     field = T.StructField("decoded", T.StringType())

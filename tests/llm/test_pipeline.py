@@ -75,9 +75,9 @@ def test_stages_like_brute_force(spark, tmp_path):
     texts = {r.doc_id: r.text for r in clean.collect()}
     encoder = pieces.encoder(pieces.MODEL, pieces.N_BEST)
     for r in last.collect():
-        wanted = encoder.encode(texts[r.doc_id] or "")
-        assert r.ids == wanted[0][1] and r.restored
-        assert r.scores == pytest.approx([s for s, _ in wanted])
+        scores, ids = encoder.encode(texts[r.doc_id] or "")
+        assert pieces.packed(r.ids) == ids[0] and r.restored
+        assert r.scores == pytest.approx(scores)
     assert last.count() == clean.count() == len(texts)
 
 
