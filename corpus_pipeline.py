@@ -37,14 +37,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as sentence pieces: ids, the N best scores, whether decoding restores it."""
-    encoded = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        "scores",
-        "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"),
-    )
+    encoded = pieces.encode(docs.select("doc_id", "text"), verify=True)
+    n_pieces = F.size("ids").cast("long").alias("n_pieces")
+    return encoded.select("doc_id", n_pieces, "scores", "ids", "restored")
 
 
 STAGES: list[tuple[str, Stage]] = [

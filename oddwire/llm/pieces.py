@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ ZIPF_OFFSET = 2.7
 #: Less than the rarest piece, for each byte of a character without one.
 BYTE_PENALTY = 5.0
 #: Words a worker remembers at least, at most twice as many; and the longest of them.
-REMEMBERED = 180_000
+REMEMBERED = 100_000
 REMEMBERED_LENGTH = 64
 
 _LEAST = -math.inf
@@ -258,20 +259,29 @@ def _smallest_sums(losses: list[list[float]], count: int) -> list[tuple[float, t
     return found
 
 
-def encode(docs: DataFrame, model: str = MODEL, count: int = N_BEST, all_ids: bool = False):
+def encode(
+    docs: DataFrame,
+    model: str = MODEL,
+    count: int = N_BEST,
+    all_ids: bool = False,
+    verify: bool = False,
+) -> DataFrame:
     """All columns of the documents with ``ids`` (the best segmentation) and ``scores`` (N best,
-    falling); with ``all_ids`` also ``alternatives``, the ids of each of the N best.
+    falling); with ``all_ids`` also ``alternatives``, the ids of each of the N best; with
+    ``verify`` also ``restored``, whether decoding the ids in the same task gives the text back.
 
     Null and empty texts have no ids and the score 0. A short text has fewer segmentations than
     asked for. Columns of these names are replaced; rows are treated one by one.
     """
-    docs = docs.drop("ids", "scores", "alternatives")
+    docs = docs.drop("ids", "scores", "alternatives", "restored")
     added = [
         T.StructField("ids", T.ArrayType(T.IntegerType())),
         T.StructField("scores", T.ArrayType(T.DoubleType())),
     ]
     if all_ids:
         added.append(T.StructField("alternatives", T.ArrayType(T.ArrayType(T.IntegerType()))))
+    if verify:
+        added.append(T.StructField("restored", T.BooleanType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model, count)
@@ -290,6 +300,10 @@ def encode(docs: DataFrame, model: str = MODEL, count: int = N_BEST, all_ids: bo
                     every = _id_lists([i for own_ids in ids for i in own_ids])
                     every = pa.ListArray.from_arrays(pa.array(ends), every)
                     part = part.append_column("alternatives", every)
+                if verify:
+                    decoded = pa.array(own.vocabulary.decode(part.column("ids")), pa.string())
+                    texts = pc.fill_null(part.column("text").cast(pa.string()), "")
+                    part = part.append_column("restored", pc.equal(decoded, texts))
                 yield part
 
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))

@@ -217,7 +217,7 @@ def score(
     docs = docs.drop(*names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, len(b), 2000)):
             scores = []
             for index, value in map(features, words.raw_texts(batch.column("text"))):
                 scores.append(model.value.scores(index, value, np.zeros(1, np.int64))[0])

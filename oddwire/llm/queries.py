@@ -117,13 +117,9 @@ def op2_warc(spark, sf_dir):
 @query
 def op8_sentence_pieces(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.decode(pieces.encode(docs)).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        "scores",
-        "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"),
-    )
+    n_pieces = F.size("ids").cast("long").alias("n_pieces")
+    encoded = pieces.encode(docs, verify=True)
+    return encoded.select("doc_id", n_pieces, "scores", "ids", "restored")
 
 
 @query

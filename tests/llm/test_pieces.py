@@ -61,4 +61,6 @@ def test_odd_documents(spark, tmp_path):
     assert len(got) == len(rows)
     assert all(r.decoded == (r.text or "") for r in got)
     assert all(r.alternatives[0] == r.ids and r.scores == sorted(r.scores)[::-1] for r in got)
-    assert pieces.encode(docs.limit(0)).count() == 0
+    checked = pieces.encode(docs, verify=True).collect()
+    assert all(r.restored for r in checked) and len(checked) == len(rows)
+    assert pieces.encode(docs.limit(0), verify=True).count() == 0
