@@ -1,4 +1,4 @@
-"""``spark-submit``/``python -m oddwire <run> …``: one of the complete runs."""
+"""``python -m oddwire <run> …``, or ``oddwire_app.py`` with ``spark-submit``: one of the complete runs."""
 
 from __future__ import annotations
 

@@ -26,25 +26,22 @@ def quarantine_connections(lines: DataFrame) -> DataFrame:
     ``number`` for a continuous field that is none; that field is null, and all fields are
     where the count is wrong. An empty field is null and no error.
     """
-    schema = T.StructType([*CONNECTIONS, T.StructField("_corrupt_record", T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    fields = F.size(F.split("value", ","))
-    parsed = lines.select(
+    parts = lines.select("value", F.split("value", ",").alias("_parts"))
+    complete = F.size("_parts") == len(CONNECTIONS)
+
+    def field(at: int, kind: T.DataType) -> Column:
+        part = F.nullif(F.get("_parts", F.lit(at)), F.lit(""))
+        return part.try_cast("double") if isinstance(kind, T.DoubleType) else part
+
+    fields = [field(at, f.dataType) for at, f in enumerate(CONNECTIONS)]
+    broken = F.lit(False)
+    for at, f in enumerate(CONNECTIONS):
+        if isinstance(f.dataType, T.DoubleType):
+            broken |= (F.get("_parts", F.lit(at)) != "") & fields[at].isNull()
+    return parts.select(
+        *[F.when(complete, c).alias(f.name) for c, f in zip(fields, CONNECTIONS)],
         "value",
-        F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("_row"),
-        fields.alias("_fields"),
-    )
-    complete = F.col("_fields") == len(CONNECTIONS)
-    reason = F.when(~complete, "field_count").when(
-        F.col("_row._corrupt_record").isNotNull(), "number"
-    )
-    checked = parsed.select(
-        "value", reason.alias("_corrupt_reason"), F.when(complete, F.col("_row")).alias("_row")
-    )
-    return checked.select(
-        *[F.col(f"_row.{name}").alias(name) for name in CONNECTIONS.fieldNames()],
-        "value",
-        "_corrupt_reason",
+        F.when(~complete, "field_count").when(broken, "number").alias("_corrupt_reason"),
     )
 
 

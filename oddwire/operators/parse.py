@@ -52,14 +52,12 @@ def parse_requests(assembled: DataFrame, mode: str = "FAILFAST") -> DataFrame:
         "_corrupt_reason", corrupt_reason(F.col("_line"), F.col("_header_lines"), F.col("query"))
     )
     if mode == "FAILFAST":
-        # The check guards a column every use of the table needs.
-        checked = checked.withColumn(
-            "method",
-            F.when(F.col("_corrupt_reason").isNull(), F.col("method")).otherwise(
-                F.raise_error(
-                    F.concat(F.lit("malformed request, rule "), "_corrupt_reason", F.lit(": "), "_line")
-                )
-            ),
+        # A filter, because no use of the table can prune it away.
+        message = F.concat(F.lit("malformed request, rule "), "_corrupt_reason", F.lit(": "), "_line")
+        checked = checked.where(
+            F.when(F.col("_corrupt_reason").isNull(), F.lit(True)).otherwise(
+                F.raise_error(message).cast("boolean")
+            )
         )
     parsed = checked.select(
         *kept,

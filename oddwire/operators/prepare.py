@@ -30,35 +30,40 @@ def string_indexer(columns: list[str], handle_invalid: str = "skip") -> StringIn
     )
 
 
-def encodable_columns(
-    table: DataFrame, columns: list[str], max_categories: int = 100_000
-) -> list[str]:
-    """The categorical columns with at least two values; one cannot be one-hot encoded.
-
-    The index of a column is held on the driver and its vector is as wide as the column has
-    values, so a column beyond ``max_categories`` is an error rather than a lost driver.
-    """
-    counts = table.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-    for name, count in counts.items():
-        if count > max_categories:
-            raise ValueError(f"{name} has about {count} values, more than {max_categories}")
-    single = [name for name, count in counts.items() if count < 2]
+def encodable_columns(table: DataFrame, columns: list[str]) -> list[str]:
+    """The categorical columns with at least two values; one cannot be one-hot encoded."""
+    bounds = table.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in columns]).first()
+    single = [name for name in columns if bounds[name][0] == bounds[name][1]]
     if single:
         warnings.warn(f"left out of the features, fewer than two values: {single}", stacklevel=2)
     return [name for name in columns if name not in single]
 
 
+def varying_columns(table: DataFrame, columns: list[str]) -> list[str]:
+    """The numeric columns that hold more than one value."""
+    if not columns:
+        return []
+    differ = table.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).first().asDict()
+    return [name for name in columns if differ[name]]
+
+
 def preparation_pipeline(
-    table: DataFrame, handle_invalid: str = "skip", max_categories: int = 100_000
+    table: DataFrame, handle_invalid: str = "skip", drop_constant: bool = False
 ) -> Pipeline:
-    """Index and one-hot encode the categorical columns, assemble, standardise.
+    """Index and one-hot encode the categorical columns, assemble, divide by the deviation.
 
     The vector holds the numeric columns in table order, then the one-hot vectors. The last
-    category of each column is the all-zero one.
+    category of each column is the all-zero one. ``drop_constant`` leaves out numeric columns
+    with a single value, which are zero in every standardised vector.
+
+    Nothing is subtracted here: clusters and squared Euclidean distances are the same about any
+    origin, and vectors that are not centred stay as sparse as their one-hot part.
     """
     require_columns(table, CATEGORICAL_COLUMNS)
-    encoded = encodable_columns(table, CATEGORICAL_COLUMNS, max_categories)
+    encoded = encodable_columns(table, CATEGORICAL_COLUMNS)
     numeric = [c for c in table.columns if c not in ("id", "label", *CATEGORICAL_COLUMNS)]
+    if drop_constant:
+        numeric = varying_columns(table, numeric)
     stages = []
     if encoded:
         stages += [
@@ -72,7 +77,7 @@ def preparation_pipeline(
         VectorAssembler(
             inputCols=[*numeric, *[f"{c}_vector" for c in encoded]], outputCol="features"
         ),
-        StandardScaler(withMean=True, inputCol="features", outputCol="scaled_features"),
+        StandardScaler(withMean=False, inputCol="features", outputCol="scaled_features"),
     ]
     return Pipeline(stages=stages)
 
@@ -81,27 +86,35 @@ def fit_preparation(table: DataFrame, **options) -> PipelineModel:
     return preparation_pipeline(table, **options).fit(table)
 
 
-def prepared(model: PipelineModel, table: DataFrame) -> DataFrame:
-    """(id, label, scaled_features) of a feature table."""
-    return model.transform(table).select("id", "label", "scaled_features")
+def prepared(model: PipelineModel, table: DataFrame, centred: bool = False) -> DataFrame:
+    """(id, label, scaled_features) of a feature table; ``centred`` subtracts the fitted means,
+    which makes every vector dense."""
+    stages = list(model.stages)
+    if centred:
+        stages[-1] = stages[-1].copy({stages[-1].withMean: True})
+    for stage in stages:
+        table = stage.transform(table)
+    return table.select("id", "label", "scaled_features")
 
 
-def prepare(table: DataFrame, **options) -> DataFrame:
+def prepare(table: DataFrame, centred: bool = False, **options) -> DataFrame:
     """Fit on a table and transform the same table."""
-    return prepared(fit_preparation(table, **options), table)
+    return prepared(fit_preparation(table, **options), table, centred)
 
 
 def prepare_sets(
-    train: DataFrame, test: DataFrame, refit: bool = False, **options
+    train: DataFrame, test: DataFrame, refit: bool = False, centred: bool = False, **options
 ) -> tuple[DataFrame, DataFrame, PipelineModel]:
     """Prepared training and test set, and the model fitted on the training set.
 
     With ``refit`` the test set is fitted on its own, as when the two are prepared in two
-    independent runs. Vectors of different width cannot be compared, so that is an error.
+    independent runs; each is then centred about its own means, as the two have no common origin.
+    Vectors of different width cannot be compared, so that is an error.
     """
     model = fit_preparation(train, **options)
+    centred |= refit
     if not refit:
-        return prepared(model, train), prepared(model, test), model
+        return prepared(model, train, centred), prepared(model, test, centred), model
     own = fit_preparation(test, **options)
     widths = [_width(m) for m in (model, own)]
     if widths[0] != widths[1]:
@@ -109,7 +122,7 @@ def prepare_sets(
             f"training vectors have {widths[0]} elements, test vectors {widths[1]}: "
             "the sets have different categories, prepare them with refit=False"
         )
-    return prepared(model, train), prepared(own, test), model
+    return prepared(model, train, centred), prepared(own, test, centred), model
 
 
 def _width(model: PipelineModel) -> int:

@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from oddwire.schema import ANOMALY
 
-# A table of centres up to this many doubles (64 MB) is copied to every executor.
-BROADCAST_DOUBLES = 8_000_000
-# Centres that come from a query travel in the plan itself, so less.
-SUBQUERY_DOUBLES = 1_000_000
+#: Centres of a block that is compared with every row at once.
+CENTRES_PER_BLOCK = 256
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -36,10 +34,8 @@ def centres_table(spark: SparkSession, model: KMeansModel) -> DataFrame:
 
 def with_distance(predictions: DataFrame, model: KMeansModel, features: str = "scaled_features") -> DataFrame:
     """Add ``distance``, the squared distance to the centroid of the own cluster."""
-    centres = centres_table(predictions.sparkSession, model)
-    size = len(model.clusterCenters()) * len(model.clusterCenters()[0])
-    if size <= BROADCAST_DOUBLES:
-        centres = F.broadcast(centres)
+    # The model has put its centres on every executor already; they are as many as its k.
+    centres = F.broadcast(centres_table(predictions.sparkSession, model))
     joined = predictions.join(centres, "prediction")
     distance = squared_distance(vector_to_array(features), F.col("centre"))
     return joined.withColumn("distance", distance).drop("centre")
@@ -71,35 +67,38 @@ def mean_centres(table: DataFrame, features: str, cluster: str) -> DataFrame:
     return table.groupBy(cluster).agg(vector_to_array(Summarizer.mean(vector)).alias("centre"))
 
 
-def _all_centres(centres: DataFrame, cluster: str) -> Column:
-    """All centres as one array value, as a subquery instead of a join.
-
-    Refuses to grow beyond SUBQUERY_DOUBLES, the size is checked before it is sent.
-    """
-    too_many = F.raise_error(F.lit(f"centres hold more than {SUBQUERY_DOUBLES} numbers"))
-    entries = F.sort_array(
-        F.collect_list(F.struct(F.col(cluster).alias("cluster"), F.col("centre")))
-    )
-    bounded = F.when(F.sum(F.size("centre")) <= SUBQUERY_DOUBLES, entries).otherwise(too_many)
-    return centres.agg(bounded.alias("centres")).scalar()
-
-
 def with_own_centre_distance(
     table: DataFrame, centres: DataFrame, features: str, cluster: str
 ) -> DataFrame:
-    """Add ``distance`` to the centre of the given cluster of each row; the table itself is
-    not shuffled."""
-    lookup = F.map_from_entries(_all_centres(centres, cluster))
-    placed = table.withColumn("_centre", F.element_at(lookup, F.col(cluster)))
+    """Add ``distance`` to the centre of the given cluster of each row, null without a centre.
+
+    A plain join on the cluster: few centres are broadcast at run time, many are shuffled and
+    a large cluster is split.
+    """
+    own = centres.select(F.col(cluster), F.col("centre").alias("_centre"))
+    placed = table.join(own, cluster, "left")
     distance = squared_distance(F.col(features).cast("array<double>"), F.col("_centre"))
-    return placed.withColumn("distance", distance).drop("_centre")
+    return placed.withColumn("distance", distance).drop("_centre").select(*table.columns, "distance")
+
+
+def _centre_blocks(centres: DataFrame, cluster: str) -> DataFrame:
+    """Centres in arrays of about ``CENTRES_PER_BLOCK``, so that none grows with their number."""
+    blocks = max(1, -(-centres.count() // CENTRES_PER_BLOCK))
+    block = F.pmod(F.xxhash64(cluster), F.lit(blocks))
+    return centres.groupBy(block.alias("_block")).agg(
+        F.collect_list(F.struct(F.col(cluster).alias("cluster"), "centre")).alias("_centres")
+    )
 
 
 def with_nearest_centre(
     table: DataFrame, centres: DataFrame, features: str, cluster: str
 ) -> DataFrame:
     """Add ``prediction`` and ``distance`` of the nearest centre, the smaller cluster number
-    on a tie."""
+    on a tie.
+
+    Every row is compared with every block of centres; the best of each block goes into a
+    minimum per row, taken before the shuffle where a task sees several blocks.
+    """
     point = F.col(features).cast("array<double>")
     candidates = F.transform(
         "_centres",
@@ -107,11 +106,17 @@ def with_nearest_centre(
             squared_distance(point, c["centre"]).alias("distance"), c["cluster"].alias("cluster")
         ),
     )
-    placed = table.withColumn("_centres", _all_centres(centres, cluster))
-    nearest = placed.withColumn("_nearest", F.array_min(candidates))
-    return nearest.withColumns(
-        {"prediction": F.col("_nearest.cluster"), "distance": F.col("_nearest.distance")}
-    ).drop("_nearest", "_centres")
+    blocks = _centre_blocks(centres, cluster)
+    keyed = table.withColumn("_row", F.monotonically_increasing_id())
+    each = keyed.join(blocks, how="cross").withColumn("_best", F.array_min(candidates))
+    nearest = each.groupBy("_row").agg(
+        F.min("_best").alias("_nearest"), *[F.first(c).alias(c) for c in table.columns]
+    )
+    return nearest.select(
+        *table.columns,
+        F.col("_nearest.cluster").alias("prediction"),
+        F.col("_nearest.distance").alias("distance"),
+    )
 
 
 def threshold_range(last: int = 10, per_unit: int = 10) -> list[float]:

@@ -92,35 +92,43 @@ def write_distances(scored: DataFrame, path: str) -> None:
 
 
 def write_evaluation(by_threshold: DataFrame, path: str) -> None:
-    """Two tables below ``path``: precision_recall and f_measure (pivoted)."""
+    """Two tables below ``path``: precision_recall and f_measure (pivoted).
+
+    The small table of thresholds is kept, so that the scored rows are read once.
+    """
+    by_threshold = by_threshold.persist()
     ordered = by_threshold.orderBy(F.desc("threshold"))
     ordered.coalesce(1).write.mode("overwrite").csv(f"{path}/precision_recall", header=True)
     pivot = evaluate.f_beta_pivot(evaluate.f_beta(by_threshold))
     pivot.coalesce(1).write.mode("overwrite").csv(f"{path}/f_measure", header=True)
+    by_threshold.unpersist()
+
+
+def _show_all(report: DataFrame) -> None:
+    """Print a report whole: one row per threshold or grid point, not per row of traffic."""
+    report.show(max(report.count(), 1), truncate=False)
 
 
 def show_tuning_results(results: DataFrame, only_best: bool = True) -> None:
     if not only_best:
-        results.orderBy("grid_idx").show(10_000, truncate=False)
+        _show_all(results.orderBy("grid_idx"))
     cluster.best_by(results, "avg").show(truncate=False)
 
 
 def show_threshold_sweep(sweep: DataFrame, num_rows: int = 11) -> None:
     """The first lines of the sweep; the header counts as one of them, 0 shows all."""
     ordered = sweep.orderBy("threshold")
-    if num_rows == 0:
-        ordered.show(100_000, truncate=False)
-    else:
-        ordered.limit(num_rows - 1).show(num_rows, truncate=False)
+    _show_all(ordered if num_rows == 0 else ordered.limit(num_rows - 1))
 
 
-def show_distances(scored: DataFrame, num_rows: int = 20) -> None:
+def show_distances(scored: DataFrame, num_rows: int) -> None:
+    """The first distances, as many as asked for; ``write_distances`` carries them all."""
     score.distances(scored).show(num_rows, truncate=False)
 
 
 def show_evaluation(by_threshold: DataFrame) -> None:
-    by_threshold.orderBy(F.desc("threshold")).show(10_000, truncate=False)
-    evaluate.f_beta(by_threshold).orderBy("beta", F.desc("threshold")).show(10_000, truncate=False)
+    _show_all(by_threshold.orderBy(F.desc("threshold")))
+    _show_all(evaluate.f_beta(by_threshold).orderBy("beta", F.desc("threshold")))
 
 
 def show_anomalies(anomalies: DataFrame, num_rows: int = 3) -> None:

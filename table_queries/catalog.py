@@ -21,7 +21,7 @@ from oddwire.operators import (
     score,
     statistics,
 )
-from oddwire.schema import ANOMALY, NORMAL
+from oddwire.schema import ANOMALY, CONNECTIONS, NORMAL
 from oddwire.session import materialise
 from oddwire.sources.traffic import tag, union_sets
 from table_queries import derived
@@ -142,7 +142,7 @@ def parameter_features(spark, sf_dir):
 
 @query
 def named_parameter_features(spark, sf_dir):
-    requests = derived.page_requests(spark, sf_dir).where("method = 'GET'")
+    requests = derived.page_requests(spark, sf_dir)
     return features.named_parameter_features(requests, ["page", "utm_source"])
 
 
@@ -286,7 +286,7 @@ def prepared_vectors(spark, sf_dir):
     """The whole preparation on page traffic, seen through size and squared length."""
     table_ = materialise(features.request_features(derived.page_requests(spark, sf_dir)))
     values = vector_to_array("scaled_features")
-    return prepare.prepare(table_).select(
+    return prepare.prepare(table_, centred=True).select(
         "id",
         "label",
         F.size(values).cast("long").alias("num_features"),
@@ -365,10 +365,12 @@ def best_f_beta(spark, sf_dir):
 @query
 def f_beta_pivot(spark, sf_dir):
     by_threshold = evaluate.precision_recall(derived.document_scores(spark, sf_dir))
-    steps = [2.0, 1.0, 0.0]
-    pivot = evaluate.f_beta_pivot(evaluate.f_beta(by_threshold), steps)
-    names = ["threshold_2", "threshold_1", "threshold_0"]
-    return rounded(pivot.toDF("beta", *names), 8, *names)
+    pivot = evaluate.f_beta_pivot(evaluate.f_beta(by_threshold))
+    cells = [
+        F.concat(F.lit(f"{name}:"), F.format_string("%.10f", f"`{name}`"))
+        for name in pivot.columns[1:]
+    ]
+    return pivot.select("beta", F.concat_ws(" ", *cells).alias("f_by_threshold"))
 
 
 @query
@@ -410,7 +412,7 @@ def tuning_report(spark, sf_dir):
 
 @query
 def tuning_best(spark, sf_dir):
-    results = materialise(cluster.running_mean(derived.price_grid(spark, sf_dir)))
+    results = cluster.running_mean(derived.price_grid(spark, sf_dir))
     best = [
         cluster.best_by(results, metric).withColumn("by_metric", F.lit(metric))
         for metric in ("avg", "silhouette")
@@ -420,7 +422,7 @@ def tuning_best(spark, sf_dir):
 
 @query
 def tuning_pivot(spark, sf_dir):
-    results = materialise(cluster.running_mean(derived.price_grid(spark, sf_dir)))
+    results = cluster.running_mean(derived.price_grid(spark, sf_dir))
     pivot = cluster.tuning_pivot(results, list(range(1, 8)))
     names = [f"k_{k}" for k in range(1, 8)]
     return rounded(pivot.toDF("maxIter", *names), 6, *names)
@@ -513,9 +515,8 @@ def traffic_last100(spark, sf_dir):
 @query
 def connection_quarantine(spark, sf_dir):
     parsed = connections.quarantine_connections(derived.connection_lines(spark, sf_dir))
-    return parsed.groupBy(F.coalesce("_corrupt_reason", F.lit("none")).alias("reason")).agg(
-        F.count("*").alias("n"), F.sum("src_bytes").alias("src_bytes")
-    )
+    reason = F.coalesce("_corrupt_reason", F.lit("none")).alias("reason")
+    return parsed.select(*CONNECTIONS.fieldNames(), reason)
 
 
 @query

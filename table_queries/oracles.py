@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from oddwire.functions.http import URL_PATTERN
 from oddwire.schema import (
     ATTACK_CLASSES,
     CATEGORICAL_COLUMNS,
+    CONNECTION_FEATURES,
     FEATURE_COLUMNS,
     NORMAL,
     NUMERIC_FEATURES,
     RATIOS,
     STANDARD_HEADERS,
+    SYMBOLIC_CONNECTION_FEATURES,
     header_columns,
     parameter_columns,
     ratio_columns,
@@ -20,6 +21,36 @@ from table_queries.catalog import DETECTION_THRESHOLD
 STANDARD_LIST = ", ".join(f"'{name}'" for name in STANDARD_HEADERS)
 
 
+def _after_scheme(url: str) -> str:
+    """What follows :// without the fragment, empty for any other kind of address."""
+    scheme = f"lower(split_part({url}, '://', 1)) IN ('http', 'https', 'ftp', 'file')"
+    return (
+        f"CASE WHEN instr({url}, '://') > 0 AND {scheme} "
+        f"THEN split_part(substr({url}, instr({url}, '://') + 3), '#', 1) ELSE '' END"
+    )
+
+
+def url_path(url: str) -> str:
+    before = f"split_part({_after_scheme(url)}, '?', 1)"
+    return f"CASE WHEN instr({before}, '/') > 0 THEN substr({before}, instr({before}, '/')) ELSE '' END"
+
+
+def url_query(url: str) -> str:
+    rest = f"({_after_scheme(url)})"
+    return f"CASE WHEN instr({rest}, '?') > 0 THEN substr({rest}, instr({rest}, '?') + 1) ELSE '' END"
+
+
+def _connection_columns() -> str:
+    """Every field of the records ``connection_lines`` writes, null where it cannot be read."""
+    columns = []
+    for name in CONNECTION_FEATURES:
+        kind = "l_quantity::VARCHAR" if name in SYMBOLIC_CONNECTION_FEATURES else "l_quantity"
+        bad = "reason = 'field_count'" + (" OR reason = 'number'" if name == CONNECTION_FEATURES[0] else "")
+        columns.append(f"CASE WHEN {bad} THEN NULL ELSE {kind} END AS {name}")
+    return ", ".join(columns)
+
+
+
 def matches(pattern: str, value: str) -> str:
     """Number of matches of a pattern."""
     return f"len(regexp_extract_all({value}, '{pattern}'))::BIGINT"
@@ -147,8 +178,8 @@ REQUESTS = rf"""
         SELECT file, request_no, line_no, body, num_headers, num_standard,
             split_part(request_line, ' ', 1) AS method, split_part(request_line, ' ', 2) AS uri,
             split_part(request_line, ' ', 3) AS standard,
-            regexp_extract(split_part(request_line, ' ', 2), '{URL_PATTERN}', 1) AS path,
-            regexp_extract(split_part(request_line, ' ', 2), '{URL_PATTERN}', 2) AS query
+            {url_path("split_part(request_line, ' ', 2)")} AS path,
+            {url_query("split_part(request_line, ' ', 2)")} AS query
         FROM assembled JOIN header_counts USING (file, request_no)),
     params AS ({parameters('located', 'file, request_no', 'query')}),
     param_counts AS (SELECT file, request_no, count(*) AS num_parameters FROM params GROUP BY file, request_no),
@@ -210,7 +241,7 @@ def _named_parameter_features(names: list[str]) -> str:
     return f"""WITH {REQUESTS},
     p AS (SELECT file, request_no, parameter, {ratios('value', [f'p_{r}' for r in RATIOS])} FROM params)
     SELECT r.file, r.request_no, r.id, {', '.join(columns)}
-    FROM (SELECT * FROM requests WHERE method = 'GET') r LEFT JOIN p USING (file, request_no) GROUP BY ALL"""
+    FROM requests r LEFT JOIN p USING (file, request_no) GROUP BY ALL"""
 
 
 def _statistics() -> str:
@@ -385,12 +416,6 @@ ATTACK_LIST = ", ".join(f"'{name}'" for name in [*ATTACK_CLASSES, NORMAL])
 AS_QUERY = r"'k=' || regexp_replace(regexp_replace(text, '[ \n]+', '&', 'g'), '[.,]&', '=&', 'g')"
 
 
-def _threshold_columns() -> str:
-    return ", ".join(
-        f"round(max(f) FILTER (WHERE threshold = {t}), 8) AS threshold_{t}" for t in (2, 1, 0)
-    )
-
-
 def oracles() -> dict[str, str]:
     text_counts = counts("text")
     value_ratio = {
@@ -418,14 +443,14 @@ def oracles() -> dict[str, str]:
             )
         ),
         "url_features": f"""WITH u AS (
-            SELECT page_id, regexp_extract(url, '{URL_PATTERN}', 1) AS path, regexp_extract(url, '{URL_PATTERN}', 2) AS query FROM pages),
+            SELECT page_id, {url_path('url')} AS path, {url_query('url')} AS query FROM pages),
             p AS (SELECT page_id, count(*)::INT AS n FROM ({parameters('u', 'page_id', 'query')}) GROUP BY page_id)
             SELECT page_id, path, query, {occurrences('path', '/')}::INT AS num_segment, {is_file('path')} AS is_file,
                 {extension('path')} AS file_extension, coalesce(n, 0)::INT AS num_parameters,
                 length(path)::INT AS length_path, {ratios('path', ratio_columns('path'))},
                 length(query)::INT AS length_query, {ratios('query', ratio_columns('query'))}
             FROM u LEFT JOIN p USING (page_id)""",
-        "query_parameters": f"""WITH u AS (SELECT page_id, regexp_extract(url, '{URL_PATTERN}', 2) AS query FROM pages)
+        "query_parameters": f"""WITH u AS (SELECT page_id, {url_query('url')} AS query FROM pages)
             {parameters('u', 'page_id', 'query')}""",
         "text_parameters": f"""WITH u AS (SELECT conv_id, turn, {AS_QUERY} AS query FROM conversations)
             {parameters('u', 'conv_id, turn', 'query')}""",
@@ -449,7 +474,7 @@ def oracles() -> dict[str, str]:
             CASE WHEN {occurrences('line', ' ')} <> 2 OR length(line) = 2 THEN 'request_line'
                 WHEN len(list_filter(header_lines, lambda h: instr(h, ':') = 1)) > 0 THEN 'header_key'
                 WHEN len(list_filter(header_lines, lambda h: instr(h, ':') > 0 AND instr(h, ':') = length(h))) > 0 THEN 'header_value'
-                WHEN regexp_matches(rtrim(regexp_extract(split_part(line, ' ', 2), '{URL_PATTERN}', 2), '&'), '^&|&&') THEN 'parameter_key'
+                WHEN regexp_matches(rtrim({url_query("split_part(line, ' ', 2)")}, '&'), '^&|&&') THEN 'parameter_key'
                 ELSE 'none' END AS reason FROM split""",
         "request_features": _request_features(),
         "labelled_union": """SELECT doc_id AS id, 'normal' AS label, text FROM documents
@@ -490,7 +515,9 @@ def oracles() -> dict[str, str]:
         "f_beta": f"WITH {SCORES} SELECT beta, threshold, round(f, 8) AS f FROM fm",
         "best_f_beta": f"""WITH {SCORES} SELECT beta, threshold, round(f, 8) AS f FROM fm
             QUALIFY row_number() OVER (PARTITION BY beta ORDER BY f DESC, threshold DESC) = 1""",
-        "f_beta_pivot": f"WITH {SCORES} SELECT beta, {_threshold_columns()} FROM fm GROUP BY beta",
+        "f_beta_pivot": f"""WITH {SCORES} SELECT beta, string_agg(
+            threshold::VARCHAR || ':' || printf('%.10f', f), ' ' ORDER BY threshold DESC) AS f_by_threshold
+            FROM fm GROUP BY beta""",
         "roc_curve": f"WITH {SCORES}, {ROC} SELECT point, round(x, 8) AS x, round(y, 8) AS y FROM roc",
         "pr_curve": f"WITH {SCORES}, {PR} SELECT point, round(x, 8) AS x, round(y, 8) AS y FROM pr_curve",
         "areas_under_curves": f"""WITH {SCORES}, {ROC}, {PR}
@@ -523,10 +550,11 @@ def oracles() -> dict[str, str]:
         "traffic_6h": _recent(6 * 3600),
         "traffic_last100": LAST_100,
         "connection_quarantine": f"""WITH c AS (
-            SELECT l_quantity, CASE WHEN l_linenumber = 7 THEN 'field_count'
+            SELECT l_quantity, l_suppkey, CASE WHEN l_linenumber = 7 THEN 'field_count'
                 WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'number' ELSE 'none' END AS reason FROM lineitem)
-            SELECT reason, count(*) AS n, CASE WHEN reason = 'field_count' THEN NULL ELSE sum(l_quantity) END AS src_bytes
-            FROM c GROUP BY reason""",
+            SELECT {_connection_columns()},
+                CASE WHEN reason <> 'field_count' THEN [{ATTACK_LIST}][l_suppkey % 23 + 1] || '.' END AS label,
+                reason FROM c""",
         "attack_classes": f"""SELECT name || '.' AS label, class AS attack_class, count(*) AS n
             FROM lineitem JOIN (VALUES {ATTACK_VALUES}) a(name, class) ON name = [{ATTACK_LIST}][l_suppkey % 23 + 1]
             WHERE l_linenumber <> 7 AND NOT (l_returnflag = 'R' AND l_linestatus = 'F') GROUP BY ALL""",

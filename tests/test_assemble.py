@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from oddwire.operators import assemble, parse
+from oddwire.operators import assemble, features, parse, statistics
 from oddwire.sources.traffic import read_lines, read_requests, union_sets
 from traffic_samples import BROWSER, expected, request, shop_traffic
 
@@ -127,3 +127,30 @@ def test_lines_are_numbered_once(spark, tmp_path):
     assert plan.count("FileScan text") == 2
     assert plan.count("ReusedExchange") == 1
     assert plan.count("Exchange hashpartitioning(file") == plan.count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize(
+    "broken",
+    [
+        ["GET http://h/with space HTTP/1.1", "Host: h"],
+        ["GET http://h/a HTTP/1.1", ": no key"],
+        ["GET http://h/a HTTP/1.1", "Host:"],
+        ["GET http://h/a?x=1&&y=2 HTTP/1.1", "Host: h"],
+    ],
+)
+def test_failfast_fails_whatever_is_read(spark, tmp_path, broken):
+    good = ["GET http://h/b HTTP/1.1", "Host: h"]
+    path = tmp_path / "traffic.txt"
+    path.write_text("\n".join([*good, "", "", *broken, "", ""]) + "\n", encoding="utf-8")
+    requests = read_requests(spark, str(path), label="normal")
+    for use in (
+        statistics.request_count(requests),
+        statistics.distinct_counts(statistics.distinct_values(requests)),
+        features.header_features(requests),
+        features.parameter_features(requests),
+        requests.select("id", "path"),
+        requests.groupBy().count(),
+    ):
+        with pytest.raises(Exception, match="malformed request"):
+            use.collect()
+    assert read_requests(spark, str(path), label="n", mode="PERMISSIVE").count() == 2

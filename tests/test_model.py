@@ -42,7 +42,7 @@ def model(blobs):
 
 def test_preparation(feature_table):
     with pytest.warns(UserWarning, match="content_type"):
-        rows = prepare.prepare(feature_table).collect()
+        rows = prepare.prepare(feature_table, centred=True).collect()
     # The row with a null extension is skipped, and the single-valued column left out.
     assert len(rows) == 60
     assert set(rows[0].asDict()) == {"id", "label", "scaled_features"}
@@ -56,16 +56,14 @@ def test_preparation(feature_table):
 def test_preparation_needs_its_columns(spark, feature_table):
     with pytest.raises(ValueError, match="content_type"):
         prepare.preparation_pipeline(feature_table.drop("content_type"))
-    with pytest.raises(ValueError, match="more than 2"):
-        prepare.preparation_pipeline(feature_table, max_categories=2)
 
 
 def test_fit_on_train_and_refit(feature_table):
     usable = feature_table.where("file_extension IS NOT NULL AND method <> 'PUT'")
     test = usable.where("id < 40")
     with pytest.warns(UserWarning):
-        _, shared, _ = prepare.prepare_sets(usable, test)
-        _, own, _ = prepare.prepare_sets(usable, test, refit=True)
+        _, shared, _ = prepare.prepare_sets(usable, test, centred=True)
+        _, own, _ = prepare.prepare_sets(usable, test, refit=True, centred=True)
 
     def mean(frame):
         return np.array([r["scaled_features"].toArray() for r in frame.collect()]).mean(axis=0)
@@ -133,12 +131,29 @@ def test_centres_by_label(spark):
     assert [r["prediction"] for r in nearest] == [0, 0, 1, 0]
 
 
-def test_centres_beyond_the_bound_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(score, "SUBQUERY_DOUBLES", 3)
-    frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "label int, v array<double>")
-    centres = score.mean_centres(frame, "v", "label")
-    with pytest.raises(Exception, match="more than 3 numbers"):
-        score.with_own_centre_distance(frame, centres, "v", "label").collect()
+def test_centres_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(score, "CENTRES_PER_BLOCK", 2)
+    rows = [(k, k, [float(k * k), 0.0]) for k in range(9)] + [(9, 3, None)]
+    frame = spark.createDataFrame(rows, "id int, label int, v array<double>")
+    centres = spark.createDataFrame([(k, [float(k * k), 0.0]) for k in range(9)], "label int, centre array<double>")
+    nearest = score.with_nearest_centre(frame.where("v IS NOT NULL"), centres, "v", "label")
+    assert nearest.columns == ["id", "label", "v", "prediction", "distance"]
+    assert all((r["prediction"], r["distance"]) == (r["label"], 0.0) for r in nearest.collect())
+
+
+def test_distances_do_not_need_centred_vectors(feature_table):
+    usable = feature_table.where("file_extension IS NOT NULL")
+    with pytest.warns(UserWarning):
+        model = prepare.fit_preparation(usable)
+        fewer = prepare.fit_preparation(usable, drop_constant=True)
+    found = []
+    for centred in (False, True):
+        vectors = prepare.prepared(model, usable, centred)
+        fitted = cluster.fit_kmeans(vectors, k=3, max_iter=30, tol=1e-9, seed=5)
+        rows = score.score(fitted, vectors).orderBy("id").collect()
+        found.append(sorted(r["distance"] for r in rows))
+    np.testing.assert_allclose(found[0], found[1], atol=1e-6)
+    assert fewer.stages[-1].std.size == model.stages[-1].std.size - 1
 
 
 def test_grid_search(spark, blobs, tmp_path):
