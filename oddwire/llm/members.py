@@ -108,6 +108,12 @@ def only(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return near.join(ids, name, "left_semi")
 
 
+def split(rows: DataFrame, ids: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``name`` may be among the ids, and rows where it surely is not."""
+    maybe = _maybe(bit_table(ids.select(name)), F.col(name))
+    return rows.where(maybe), rows.where(~maybe)
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of a stored table but those whose place is in the ``row_key`` of ``dropped``.
 
@@ -115,7 +121,5 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """
     key = "__row_key"
     dropped = written(dropped.select(F.col("row_key").alias(key)).distinct(), "dropped")
-    keyed = docs.withColumn(key, F.monotonically_increasing_id())
-    maybe = _maybe(bit_table(dropped), F.col(key))
-    near = keyed.where(maybe).join(dropped, key, "left_anti")
-    return keyed.where(~maybe).unionByName(near).drop(key)
+    near, far = split(docs.withColumn(key, F.monotonically_increasing_id()), dropped, key)
+    return far.unionByName(near.join(dropped, key, "left_anti")).drop(key)

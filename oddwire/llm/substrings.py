@@ -9,6 +9,7 @@ anchors in each window length. Tasks send their non-zero cells; merged cells are
 Pass 2 groups exactly (by 96-bit hashes of their word sequences) only windows whose anchor the
 sketch estimates at two or more. The sketch never underestimates, so no repeated window is lost;
 where it is too small for the input it only lets more windows through to the exact pass.
+Only documents that lose words are shuffled with their text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddwire.llm import words
-from oddwire.llm.shared import with_row_key
+from oddwire.llm.members import split
+from oddwire.llm.shared import with_row_key, written
 
 WINDOW = 35
 DEPTH = 3
@@ -235,12 +237,15 @@ def remove_repeats(
         _batched(_candidates(size, log2_cells, shared)), "h1 long, h2 int, row_key long, at int"
     )
     repeated = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    starts = (
+    starts = written(
         windows.join(repeated, ["h1", "h2"])
         .groupBy("row_key")
-        .agg(F.collect_list("at").alias("starts"))
+        .agg(F.collect_list("at").alias("starts")),
+        "starts",
     )
-    return rows.join(starts, "row_key", "left").mapInArrow(
+    near, far = split(rows, starts, "row_key")
+    far = far.withColumn("starts", F.lit(None).cast("array<int>"))
+    return near.join(starts, "row_key", "left").unionByName(far).mapInArrow(
         _keep(size),
         "row_key long, doc_id long, n_words long, n_removed long, kept_text string",
     )
