@@ -141,17 +141,19 @@ def recent_traffic(
 
 
 def _ranked(
-    table: DataFrame, key: str, order: list[str], n: int, slice_seconds: int, block_rows: int
+    table: DataFrame, key: str, order: list[str], n: int, block_rows: int, counted: DataFrame
 ) -> DataFrame:
     """Rank the rows of each key in order, and place them in blocks of ranks.
 
     Adds ``_rank`` (from 1), ``_block`` and ``_subject``; the last n - 1 rows of a block are
     repeated in the next one with ``_subject`` false. The rank is the number of rows in
-    earlier time slices plus the rank inside the slice.
+    earlier time slices plus the rank inside the slice. ``counted`` has the same rows with key
+    and slice, at less cost than the table itself.
     """
     # As a struct the pair is never null itself, so rows without key or time keep their place.
-    grouped = table.withColumn("_group", F.struct(F.col(key).alias("key"), F.col("_slice").alias("slice")))
-    counts = grouped.groupBy("_group").agg(F.count("*").alias("_n"))
+    group = F.struct(F.col(key).alias("key"), F.col("_slice").alias("slice")).alias("_group")
+    grouped = table.select("*", group)
+    counts = counted.select(group).groupBy("_group").agg(F.count("*").alias("_n"))
     earlier = (
         Window.partitionBy("_group.key")
         .orderBy("_group.slice")
@@ -209,7 +211,7 @@ def last_connections(
         return _trailing(column, [*keys, "_block"], "_rank", n - 1)
 
     one = F.lit(1)
-    by_host = _ranked(timed, host, order, n, slice_seconds, block_rows)
+    by_host = _ranked(timed, host, order, n, block_rows, timed)
     same_port = last(one, host, src_port) if src_port else F.lit(None).cast("long")
     host_part = by_host.select(
         "*",
@@ -221,7 +223,7 @@ def last_connections(
         last("_rerror", host, service).alias("_both_rerror"),
         same_port.alias("_same_port"),
     ).where("_subject").drop("_rank", "_block", "_subject")
-    by_service = _ranked(host_part, service, order, n, slice_seconds, block_rows)
+    by_service = _ranked(host_part, service, order, n, block_rows, timed)
     both_parts = by_service.select(
         "*",
         last(one, service).alias("_srv"),
