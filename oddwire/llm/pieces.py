@@ -40,7 +40,7 @@ ZIPF_OFFSET = 2.7
 #: Less than the rarest piece, for each byte of a character without one.
 BYTE_PENALTY = 5.0
 #: Words a worker remembers at least, at most twice as many; and the longest of them.
-REMEMBERED = 100_000
+REMEMBERED = 220_000
 REMEMBERED_LENGTH = 64
 
 _LEAST = -math.inf
@@ -109,19 +109,19 @@ class Vocabulary:
         best[0] = 0.0
         trie = self.trie
         for start, character in enumerate(word):
-            first, other = best[start], second[start]
+            first, other, end = best[start], second[start], start
             found = trie.get(character)
             if found is None or found[1] is None:
                 found = [*self.as_bytes(character), found[2] if found else {}]
-            end = start
-            while found is not None:
+            while found:
                 score, ids, nodes = found
                 end += 1
                 if ids:
                     value = first + score
-                    if value > best[end]:
+                    top = best[end]
+                    if value > top:
                         rest = other + score
-                        second[end] = best[end] if best[end] > rest else rest
+                        second[end] = top if top > rest else rest
                         best[end] = value
                         back[end] = (start, ids)
                     elif value > second[end]:
@@ -223,8 +223,10 @@ class Encoder(dict):
         cut = self.vocabulary.words.findall(" " + text)
         ids, scores, gaps = map(list, zip(*[self[word] for word in cut]))
         score = sum(scores)
-        close = [i for gap, i in heapq.nsmallest(self.count - 1, zip(gaps, range(len(cut))))]
-        close = [i for i in close if gaps[i] < math.inf]
+        close = []
+        while len(close) < self.count - 1 and (gap := min(gaps)) < math.inf:
+            close.append(gaps.index(gap))
+            gaps[close[-1]] = math.inf
         options = [self.alternatives(cut[i]) for i in close]
         losses = [[o[0][0] - s for s, _ in o] for o in options]
         sums = _smallest_sums(losses, self.count)
