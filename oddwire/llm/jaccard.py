@@ -347,13 +347,17 @@ def index_candidates(index: DataFrame) -> DataFrame:
     )
     opened = left.join(right, "token").where(possible)
     opened = opened.select("b1", "b2", F.explode("entries").alias("p"), "entries2")
-    opened = opened.select("b1", "b2", "p", F.explode("entries2").alias("q"))
-    p, q = F.col("p"), F.col("q")
-    opened = opened.where(
-        (p["cluster"] != q["cluster"])
-        & ((F.col("b1") < F.col("b2")) | (p["id"] < q["id"]))
-        & linked(F.least(p["n"] - p["at"], q["n"] - q["at"]), p["n"], q["n"])
-    )
+    p, q, ordered = F.col("p"), F.col("q"), F.col("b1") < F.col("b2")
+
+    def fits(other: Column) -> Column:
+        rest = F.least(p["n"] - p["at"], other["n"] - other["at"])
+        return (
+            (p["cluster"] != other["cluster"])
+            & (ordered | (p["id"] < other["id"]))
+            & linked(rest, p["n"], other["n"])
+        )
+
+    opened = opened.select("p", F.explode(F.filter("entries2", fits)).alias("q"))
     x = F.when(p["id"] < q["id"], p).otherwise(q)
     y = F.when(p["id"] < q["id"], q).otherwise(p)
     matches = opened.select(x.alias("x"), y.alias("y")).groupBy(
