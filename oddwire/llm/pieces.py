@@ -40,7 +40,7 @@ ZIPF_OFFSET = 2.7
 #: Less than the rarest piece, for each byte of a character without one.
 BYTE_PENALTY = 5.0
 #: Words a worker remembers at least, at most twice as many; and the longest of them.
-REMEMBERED = 220_000
+REMEMBERED = 120_000
 REMEMBERED_LENGTH = 64
 
 _LEAST = -math.inf
