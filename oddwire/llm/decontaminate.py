@@ -1,8 +1,10 @@
 """Benchmark passages in documents by greedy string tiling.
 
 Seeds are the runs of ``min_match`` words of the benchmark. A document keeps only its stretches
-of seeds: a match of at least that many words lies wholly inside one. Documents and items that
-share enough seeds become pairs, and each pair is tiled: the longest common stretches are marked
+of seeds: a match of at least that many words lies wholly inside one. A tile of L words holds
+L - min_match + 1 seeds of the item, so a document and an item become a pair if the item's places
+with a shared seed, ``min_match`` words each, could make up the coverage; seeds that an item
+repeats count at each of their places. Each pair is tiled: the longest common stretches are marked
 first, without overlap, found by running Karp-Rabin over word hashes with a falling length.
 Tiles may lie in any order, so reordered passages count like whole ones. The share of an item's
 words under tiles is its coverage.
@@ -10,6 +12,7 @@ words under tiles is its coverage.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -64,27 +67,41 @@ def tile(item: Sequence[int], text: Sequence[int], min_match: int) -> list[tuple
         if longest > 2 * length:
             length = longest
             continue
-        for size, a, b in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            taken = left.marked[a : a + size]
-            if any(taken) or any(right.marked[b : b + size]):
+        found = bool(matches)
+        heapq.heapify(matches)
+        while matches:
+            size, a, b = heapq.heappop(matches)
+            size = -size
+            taken = [m or n for m, n in zip(left.marked[a : a + size], right.marked[b : b + size])]
+            if any(taken):
+                # What is left of the match starts behind its last marked word.
+                behind = size - taken[::-1].index(True)
+                if size - behind >= length:
+                    heapq.heappush(matches, (behind - size, a + behind, b + behind))
                 continue
             left.marked[a : a + size] = right.marked[b : b + size] = [True] * size
             tiles.append((a, b, size))
         if length == min_match:
-            if not matches:
+            if not found:
                 return tiles
         else:
             length = max(length // 2, min_match)
 
 
 def _matches(left: _Rolling, right: _Rolling, length: int):
-    """Matches of at least that length, as long as they can be extended to the right."""
+    """Matches (-size, place in left, place in right) of at least that length, as long as they can
+    be extended to either side, and the longest size."""
     places = defaultdict(list)
     for at, value in right.stretches(length):
         places[value].append(at)
     matches, longest = [], 0
+    before, last = {}, -1
     for a, value in left.stretches(length):
+        here = {}
         for b in places.get(value, ()):
+            if a == last + 1 and b - 1 in before:
+                here[b] = before[b - 1] - 1
+                continue
             size = 0
             while (
                 a + size < len(left.tokens)
@@ -95,8 +112,10 @@ def _matches(left: _Rolling, right: _Rolling, length: int):
             ):
                 size += 1
             if size >= length:
-                matches.append((size, a, b))
+                here[b] = size
+                matches.append((-size, a, b))
                 longest = max(longest, size)
+        before, last = here, a
     return matches, longest
 
 
@@ -107,10 +126,14 @@ def _item_words(min_match: int):
             for text in words.raw_texts(batch.column("text")):
                 text = words.lower(text)
                 found.append(words.hashes(text, *words.spans(text)))
-            seeds = [np.unique(words.runs(h, min_match)) for h in found]
+            runs = [np.unique(words.runs(h, min_match), return_counts=True) for h in found]
+            seeds, places = ([r[k] for r in runs] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_key"), batch.column("item_id"), _lists(found), _lists(seeds)],
-                ["item_key", "item_id", "item_words", "seeds"],
+                [
+                    *(batch.column(k) for k in ("item_key", "item_id")),
+                    *map(_lists, (found, seeds, places)),
+                ],
+                ["item_key", "item_id", "item_words", "seeds", "places"],
             )
 
     return task
@@ -190,12 +213,15 @@ def contaminated(
             "text",
         ).mapInArrow(
             _item_words(min_match),
-            "item_key long, item_id long, item_words array<long>, seeds array<long>",
+            "item_key long, item_id long, item_words array<long>, seeds array<long>, "
+            "places array<long>",
         ),
         "items",
     )
     seeds = items.select(
-        F.explode("seeds").alias("seed"), "item_key", F.size("item_words").alias("item_size")
+        F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("places"))),
+        "item_key",
+        F.size("item_words").alias("item_size"),
     )
     wanted = bit_table(seeds.select("seed"))
     rows = with_row_key(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"])
@@ -210,13 +236,13 @@ def contaminated(
         regions.select("row_key", F.explode("seeds").alias("seed"))
         .join(seeds, "seed")
         .groupBy("row_key", "item_key", "item_size")
-        .count()
+        .agg(F.sum("places").alias("places"))
     )
-    enough = F.col("count") * min_match >= F.col("item_size") * min_coverage
-    pairs = written(shared.where(enough).drop("count"), "seed-pairs")
+    enough = F.col("places") * min_match / F.col("item_size") >= min_coverage
+    pairs = written(shared.where(enough).drop("places"), "seed-pairs")
     tiled = (
         pairs.join(regions.drop("seeds"), "row_key")
-        .join(items.drop("seeds"), "item_key")
+        .join(items.drop("seeds", "places"), "item_key")
         .mapInArrow(
             _tiled(min_match),
             "row_key long, doc_id long, item_id long, item_size int, covered long, tiles long",

@@ -60,3 +60,22 @@ def test_reordered_partial_and_odd_texts(spark, tmp_path):
     assert left.count() == len(rows) - 4
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
+
+
+def test_items_that_repeat_their_words(spark, tmp_path):
+    sentence = " ".join(f"s{k}" for k in range(10))
+    said = [" ".join(["again"] * 30), " ".join([sentence] * 9), "a b c " * 20]
+    rows = [(k, f"before it {text} behind it") for k, text in enumerate(said)]
+    rows += [(7, " ".join([sentence] * 5)), (8, " ".join([sentence] * 6)), (9, "again " * 12)]
+    docs = messy.stored(spark, rows, tmp_path)
+    benchmark = spark.createDataFrame(list(enumerate(said)), "item_id long, text string")
+    found = pairs(decontaminate.contaminated(docs, benchmark))
+    assert found == [(0, 0, 30, 1), (1, 1, 90, 1), (2, 2, 60, 1), (8, 1, 60, 1)]
+    left = decontaminate.clean_documents(docs, benchmark)
+    assert sorted(r.doc_id for r in left.collect()) == [7, 9]
+
+
+def test_tiles_of_repeated_words_in_linear_space():
+    assert decontaminate.tile([1] * 60, [1] * 20_000, 5) == [(0, 0, 60)]
+    item, text = [1, 2, 3] * 10, [1, 2, 3] * 4 + [9] + [1, 2, 3] * 3
+    assert decontaminate.tile(item, text, 5) == [(0, 0, 12), (12, 13, 9)]
