@@ -36,10 +36,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as sentence pieces: ids, the N best scores, whether decoding restores it."""
-    encoded = pieces.encode(docs.select("doc_id", "text"), verify=True)
+    """Each document as sentence pieces: ids and scores of the N best segmentations, whether
+    decoding restores it from each."""
+    encoded = pieces.encode(docs.select("doc_id", "text"), all_ids=True, verify=True)
     n_pieces = F.size("ids").cast("long").alias("n_pieces")
-    return encoded.select("doc_id", n_pieces, "scores", "ids", "restored")
+    return encoded.select("doc_id", n_pieces, "scores", "ids", "alternatives", "restored")
 
 
 STAGES: list[tuple[str, Stage]] = [

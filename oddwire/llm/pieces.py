@@ -26,7 +26,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,14 +172,25 @@ class Vocabulary:
 
     def decode(self, ids: pa.ListArray) -> list[str | None]:
         """The texts of lists of ids; the space put before a text is taken off."""
+        return [
+            text.decode("utf-8", "surrogatepass") if valid else None
+            for text, valid in zip(self._surfaces(ids), ids.is_valid().to_pylist())
+        ]
+
+    def restored(self, ids: pa.ListArray, counts: list[int], texts: list[bytes]) -> list[bool]:
+        """Whether decoding gives each text back from every one of its next ``counts`` lists."""
+        found = self._surfaces(ids)
+        return [
+            all([next(found) == text for _ in range(count)]) for count, text in zip(counts, texts)
+        ]
+
+    def _surfaces(self, ids: pa.ListArray) -> Iterator[bytes]:
         flat = self.table.take(ids.values)
         ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset :]
         data = memoryview(flat.buffers()[2]) if flat.buffers()[2] is not None else b""
         at = ends[ids.offsets.to_numpy()]
-        return [
-            bytes(data[a + 1 : b]).decode("utf-8", "surrogatepass") if valid else None
-            for a, b, valid in zip(at, at[1:], ids.is_valid().to_pylist())
-        ]
+        for a, b in zip(at, at[1:]):
+            yield bytes(data[a + 1 : b])
 
 
 def packed(ids) -> bytes:
@@ -270,7 +280,8 @@ def encode(
 ) -> DataFrame:
     """All columns of the documents with ``ids`` (the best segmentation) and ``scores`` (N best,
     falling); with ``all_ids`` also ``alternatives``, the ids of each of the N best; with
-    ``verify`` also ``restored``, whether decoding the ids in the same task gives the text back.
+    ``verify`` also ``restored``, whether decoding in the same task gives the text back from the
+    ids and from all alternatives that are returned.
 
     Null and empty texts have no ids and the score 0. A short text has fewer segmentations than
     asked for. Columns of these names are replaced; rows are treated one by one.
@@ -290,22 +301,22 @@ def encode(
         for batch in batches:
             for part in _slices(batch):
                 scores, ids = [], []
-                for text in words.raw_texts(part.column("text")):
-                    text = text.tobytes().decode("utf-8", "surrogatepass")
-                    own_scores, own_ids = own.encode(text, all_ids)
+                texts = [text.tobytes() for text in words.raw_texts(part.column("text"))]
+                for text in texts:
+                    own_scores, own_ids = own.encode(text.decode("utf-8", "surrogatepass"), all_ids)
                     scores.append(own_scores)
                     ids.append(own_ids)
                 part = part.append_column("ids", _id_lists([i[0] for i in ids]))
                 part = part.append_column("scores", pa.array(scores, pa.list_(pa.float64())))
+                counts, made = [1] * len(ids), part.column("ids")
                 if all_ids:
-                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                    every = _id_lists([i for own_ids in ids for i in own_ids])
-                    every = pa.ListArray.from_arrays(pa.array(ends), every)
-                    part = part.append_column("alternatives", every)
+                    counts = [len(own_ids) for own_ids in ids]
+                    made = _id_lists([i for own_ids in ids for i in own_ids])
+                    ends = pa.array(np.cumsum([0, *counts], dtype=np.int32))
+                    part = part.append_column("alternatives", pa.ListArray.from_arrays(ends, made))
                 if verify:
-                    decoded = pa.array(own.vocabulary.decode(part.column("ids")), pa.string())
-                    texts = pc.fill_null(part.column("text").cast(pa.string()), "")
-                    part = part.append_column("restored", pc.equal(decoded, texts))
+                    restored = own.vocabulary.restored(made, counts, texts)
+                    part = part.append_column("restored", pa.array(restored, pa.bool_()))
                 yield part
 
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
@@ -316,7 +327,7 @@ def _id_lists(rows: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "i4")))
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that a batch and its ids are never held twice."""
     for start in range(0, len(batch), rows):
         yield batch.slice(start, rows)

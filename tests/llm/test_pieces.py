@@ -4,8 +4,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 import messy
 from oddwire.llm import pieces
+from oddwire.llm.queries import QUERIES
 
 pytestmark = pytest.mark.skipif(not Path(pieces.MODEL).exists(), reason="no vocabulary")
 
@@ -64,3 +66,33 @@ def test_odd_documents(spark, tmp_path):
     checked = pieces.encode(docs, verify=True).collect()
     assert all(r.restored for r in checked) and len(checked) == len(rows)
     assert pieces.encode(docs.limit(0), verify=True).count() == 0
+
+
+def test_query_and_stage_return_every_segmentation(spark, tmp_path):
+    rows = list(enumerate(messy.ODD)) + [(90, "another word, then the end.")]
+    docs = messy.stored(spark, rows, tmp_path)
+    stage = dict(corpus_pipeline.STAGES)["sentence pieces"]
+    encoder = pieces.encoder(pieces.MODEL, pieces.N_BEST)
+    texts = dict(rows)
+    for made in (QUERIES["op8_sentence_pieces"](spark, str(tmp_path)), stage(spark, docs, "")):
+        got = made.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            scores, ids = encoder.encode(texts[r.doc_id] or "")
+            assert [pieces.packed(i) for i in r.alternatives] == ids and r.scores == scores
+            decoded = encoder.vocabulary.decode(pieces._id_lists(ids))
+            assert set(decoded) == {texts[r.doc_id] or ""} and r.restored
+        assert max(len(r.alternatives) for r in got) == pieces.N_BEST
+
+
+def test_one_wrong_alternative_is_not_restored():
+    encoder = pieces.encoder(pieces.MODEL, 3)
+    texts = ["another", "", "third one"]
+    ids = [encoder.encode(t)[1] for t in texts]
+    counts = [len(i) for i in ids]
+    right = pieces._id_lists([i for own in ids for i in own])
+    data = [t.encode() for t in texts]
+    assert encoder.vocabulary.restored(right, counts, data) == [True] * 3
+    ids[0][1] = ids[0][1][:-4]
+    wrong = pieces._id_lists([i for own in ids for i in own])
+    assert encoder.vocabulary.restored(wrong, counts, data) == [False, True, True]
