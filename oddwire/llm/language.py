@@ -3,7 +3,8 @@
 Training counts byte 4-grams by language. A word of a document is drawn from one language with
 the product of its n-grams' probabilities there; the document's language proportions maximise the
 likelihood of its words. Of the nested sets of its 1, 2, ... most likely languages a document
-keeps the one with the best likelihood less ``log(words) / 2`` for each further language.
+keeps the one with the best likelihood less ``log(words) / 2`` for each further language. A set
+is left untried only if no mixture at all could make up for its penalty.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ ITERATIONS = 12
 CHUNK_BYTES = 1 << 19
 #: Words whose mixtures are fitted at once.
 CHUNK_WORDS = 200_000
-#: A language with a smaller share in the full mixture is not tried as a further one.
-LEAST_SHARE = 0.001
 UNKNOWN = "und"
 
 _PRIMES = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
@@ -130,6 +129,20 @@ def mixtures(
     return share, np.add.reduceat(np.log(np.maximum(total, 1e-30)), first)
 
 
+def best_likelihood(
+    likelihood: np.ndarray, first: np.ndarray, counts: np.ndarray, share: np.ndarray
+) -> np.ndarray:
+    """What no mixture's log likelihood exceeds, for each document, by its shares in one mixture.
+
+    Another mixture gains ``sum(log(other / this))`` over the words, at most ``words * log(mean(other
+    / this))``, and that mean is largest for a single language.
+    """
+    total = np.maximum((likelihood * np.repeat(share, counts, axis=0)).sum(axis=1), 1e-30)
+    ratio = np.add.reduceat(likelihood / total[:, None], first, axis=0) / counts[:, None]
+    found = np.add.reduceat(np.log(total), first)
+    return found + counts * np.log(ratio.max(axis=1))
+
+
 def detect(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Shares in the chosen set of languages of each document with words, and the set's size."""
     counts = np.array([len(t) for t in tables])
@@ -150,10 +163,11 @@ def detect(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     value = alone.max(axis=1)
     size = np.ones(len(counts), dtype=np.int64)
     penalty = np.log(np.maximum(counts, 2)) / 2
+    most = best_likelihood(likelihood, first, counts, full) + 1e-6
     for k in range(2, width + 1):
-        tried = np.flatnonzero(np.take_along_axis(full, order, 1)[:, k - 1] >= LEAST_SHARE)
+        tried = np.flatnonzero(most - (k - 1) * penalty > value)
         if not len(tried):
-            continue
+            break
         allowed = np.zeros((len(tried), width))
         np.put_along_axis(allowed, order[tried, :k], 1.0, axis=1)
         rows = np.concatenate([np.arange(first[d], first[d] + counts[d]) for d in tried])

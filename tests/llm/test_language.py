@@ -50,3 +50,24 @@ def test_no_training_rows(spark, tmp_path):
     rows = language.identify(docs, profiles).collect()
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)] * 2
     assert language.identify(docs.limit(0), profiles).count() == 0
+
+
+def test_a_few_words_among_many_earn_their_language():
+    logs = np.full((30_025, 3), -30.0)
+    logs[:30_000, 0] = logs[30_000:, 1] = 0.0
+    shares, size = language.detect([logs, logs[:30_000]])
+    assert size.tolist() == [2, 1]
+    assert shares[0] == pytest.approx([1 - 25 / 30_025, 25 / 30_025, 0], abs=1e-5)
+
+
+def test_no_mixture_exceeds_the_bound():
+    draw = np.random.default_rng(4)
+    for _ in range(20):
+        counts = draw.integers(1, 60, 5)
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        likelihood = np.exp(-draw.exponential(5, size=(counts.sum(), 4)))
+        full, _ = language.mixtures(likelihood, first, counts, np.ones((5, 4)))
+        most = language.best_likelihood(likelihood, first, counts, full)
+        for share in draw.dirichlet(np.full(4, 0.3), size=50):
+            found = np.add.reduceat(np.log(likelihood @ share), first)
+            assert (found <= most + 1e-9).all()
