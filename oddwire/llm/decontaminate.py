@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from oddwire.llm import words
 from oddwire.llm.members import bit_table, maybe_in, without
-from oddwire.llm.shared import with_row_key, written
+from oddwire.llm.shared import stored, with_row_key, written
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.6
@@ -149,7 +149,7 @@ def _regions(min_match: int, wanted):
     """Documents with seeds: their stretches of seeds, each ended by a zero, and the seeds."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.slices(batches):
             rows, stretches, seeds = [], [], []
             for row, text in enumerate(words.raw_texts(batch.column("text"))):
                 text = words.lower(text)
@@ -224,6 +224,7 @@ def contaminated(
         F.size("item_words").alias("item_size"),
     )
     wanted = bit_table(seeds.select("seed"))
+    docs = stored(docs)
     rows = with_row_key(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"])
     regions = written(
         rows.mapInArrow(
@@ -232,6 +233,7 @@ def contaminated(
         ),
         "regions",
     )
+    wanted.unpersist()
     shared = (
         regions.select("row_key", F.explode("seeds").alias("seed"))
         .join(seeds, "seed")
@@ -255,4 +257,5 @@ def contaminated(
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without benchmark passages, all columns; ``docs`` must be a stored table."""
+    docs = stored(docs)
     return without(docs, contaminated(docs, benchmark))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from oddwire.llm import words
 from oddwire.llm.members import without
-from oddwire.llm.shared import with_row_key, written
+from oddwire.llm.shared import stored, with_row_key, written
 
 #: Deleted before texts are compared.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -87,7 +87,7 @@ def _signed(number: int) -> int:
 def _first_copies(limit: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ContentTable()
-        for batch in batches:
+        for batch in words.slices(batches):
             rows: list[tuple] = []
             texts = words.raw_texts(batch.column("text"))
             for key, text in zip(batch.column("row_key").to_pylist(), texts):
@@ -172,6 +172,7 @@ def exact_dedup(
     Columns other than ``doc_id`` and ``text`` are not looked at; an empty table gives no rows.
     ``row_key`` is the place of the row in ``docs``, see ``with_row_key``.
     """
+    docs = stored(docs)
     rows = with_row_key(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"])
     first = written(rows.mapInArrow(_first_copies(bucket_bytes), FIRST), "grace-level-0")
     contents = first.where(F.col("content").isNotNull()).select(
@@ -213,4 +214,5 @@ def exact_dedup(
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; ``docs`` must be a stored table."""
+    docs = stored(docs)
     return without(docs, exact_dedup(docs).where("NOT kept"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from oddwire.llm import words
 from oddwire.llm.components import components
 from oddwire.llm.members import bit_table, maybe_in, without
-from oddwire.llm.shared import with_row_key, written
+from oddwire.llm.shared import stored, with_row_key, written
 
 SHINGLE_WORDS = 5
 MIN_HASHES = 6
@@ -69,7 +69,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, identity and min-hashes of each set; at the end the task's shingle counts."""
     total = np.zeros(1 << LOG2_COUNTERS, dtype=np.uint8)
     names = [field.split()[0] for field in PROFILE.split(", ")]
-    for batch in batches:
+    for batch in words.slices(batches):
         sizes, first, second, keys = [], [], [], []
         for text in words.raw_texts(batch.column("text")):
             shingles = words.shingle_set(text, SHINGLE_WORDS)
@@ -144,7 +144,7 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = bit_table(ids)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.slices(batches):
             keep = maybe_in(wanted.value, batch.column("row_key").to_numpy())
             chosen = batch.filter(pa.array(keep))
             texts = words.raw_texts(chosen.column("text"))
@@ -154,7 +154,9 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
             )
 
     found = rows.select("row_key", "text").mapInArrow(task, "id long, shingles array<long>")
-    return written(found.join(ids, "id", "left_semi"), "sets")
+    sets = written(found.join(ids, "id", "left_semi"), "sets")
+    wanted.unpersist()
+    return sets
 
 
 def _array(scalar: pa.Scalar) -> np.ndarray:
@@ -201,7 +203,7 @@ def _commonness(rows: DataFrame, ids: DataFrame, rarity) -> DataFrame:
     wanted = bit_table(ids)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.slices(batches):
             keep = maybe_in(wanted.value, batch.column("row_key").to_numpy())
             chosen = batch.filter(pa.array(keep))
             means = []
@@ -263,7 +265,7 @@ def leader_links(rows: DataFrame, keys: DataFrame, rarity) -> DataFrame:
 
 def _prefixes(rarity):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.slices(batches):
             sizes, found = [], []
             for text in words.raw_texts(batch.column("text")):
                 shingles = words.shingle_set(text, SHINGLE_WORDS)
@@ -330,6 +332,7 @@ def index_candidates(index: DataFrame) -> DataFrame:
         ),
         "index-blocks",
     )
+    wanted.unpersist()
     name = F.struct("size_block", "place", "part", "group")
     left = blocks.select("token", name.alias("b1"), "least_n", "rest", "entries")
     right = blocks.select(
@@ -456,6 +459,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     and of each empty text: the smallest doc_id, of repeated ids the first row. ``docs`` must give
     the same rows at each reading; columns other than doc_id and text are not looked at.
     """
+    docs = stored(docs)
     rows = with_row_key(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"])
     profiles = written(rows.mapInArrow(_profiles, PROFILE), "profiles")
     rarity = docs.sparkSession.sparkContext.broadcast(_rarity(profiles))
@@ -487,6 +491,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         .join(labels, "id"),
         "index",
     )
+    rarity.unpersist()
     candidates = index_candidates(index)
     between = cluster_links(candidates, leaders, rows)
     joined = components(clusters.toDF("a", "b").union(between))
@@ -519,4 +524,5 @@ def _first_document() -> Column:
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """The representatives with all their columns; ``docs`` must be a stored table."""
+    docs = stored(docs)
     return without(docs, similarity_classes(docs).where("NOT representative"))

@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddwire.llm import words
-from oddwire.llm.shared import written
+from oddwire.llm.shared import row_key, written
 
 LOG2_BITS = 26
 BLOCK = 1 << 18
@@ -94,9 +93,9 @@ def maybe_in(table: tuple[int, np.ndarray], values: np.ndarray) -> np.ndarray:
 def _maybe(table, number: Column) -> Column:
     """Whether a number may be in the broadcast set; only the number goes to Python."""
 
-    @F.pandas_udf("boolean")
-    def test(values: pd.Series) -> pd.Series:
-        return pd.Series(maybe_in(table.value, values.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("boolean")
+    def test(values: pa.Array) -> pa.Array:
+        return pa.array(maybe_in(table.value, values.to_numpy(zero_copy_only=False)))
 
     return test(number)
 
@@ -121,5 +120,5 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """
     key = "__row_key"
     dropped = written(dropped.select(F.col("row_key").alias(key)).distinct(), "dropped")
-    near, far = split(docs.withColumn(key, F.monotonically_increasing_id()), dropped, key)
+    near, far = split(docs.withColumn(key, row_key(docs)), dropped, key)
     return far.unionByName(near.join(dropped, key, "left_anti")).drop(key)

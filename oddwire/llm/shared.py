@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddwire.session import shared_folder
@@ -23,13 +25,52 @@ def written(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
-def with_row_key(docs: DataFrame, columns: list[str], key: str = "row_key") -> DataFrame:
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    meta = docs.metadataColumn("_metadata")
+    return meta["file_path"], meta["row_index"]
+
+
+def stored(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """The table itself if its rows lie in Parquet files, else a written copy of it."""
+    try:
+        docs.select(*_place(docs))
+    except AnalysisException:
+        return written(docs, name)
+    return docs
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A number of each row of a stored table, the same whatever splits its files are read in.
+
+    It is a hash of the file's path plus the row's index in the file. A file takes as many numbers
+    as it has rows; the hash gets another seed until no two files share a number. The driver holds
+    two numbers a file for this, the footers alone are read.
+    """
+    path, index = _place(docs)
+    files = docs.select(path.alias("path"), index.alias("at")).groupBy("path")
+    files = files.agg(F.max("at").alias("last"))
+
+    def start(seed: int, path: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), path), 2)
+
+    seeds = [F.array(*(start(seed, F.col("path")) for seed in range(8))).alias("starts")]
+    found = files.select(*seeds, "last").toArrow()
+    last = found.column("last").to_numpy()
+    starts = np.array(found.column("starts").to_pylist(), dtype=np.int64).reshape(-1, 8)
+    for seed in range(8):
+        order = np.argsort(starts[:, seed])
+        begin = starts[order, seed]
+        if (begin[1:] > begin[:-1] + last[order][:-1]).all():
+            return start(seed, path) + index
+    raise ValueError("no hash tells the files apart")
+
+
+def with_row_key(docs: DataFrame, columns: list, key: str = "row_key") -> DataFrame:
     """The columns and a key of each row that any later read of the same files computes again.
 
-    Ids may repeat or be null, so rows are told apart by where they were read. Tables that come
-    from other queries have no such place; write them first.
+    Ids may repeat or be null, so rows are told apart by where they are stored, see ``row_key``.
     """
-    return docs.select(F.monotonically_increasing_id().alias(key), *columns)
+    return docs.select(row_key(docs).alias(key), *columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

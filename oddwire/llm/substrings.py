@@ -6,7 +6,7 @@ different places, so an anchor's count is never below a window's, and there are
 anchors in each window length. Tasks send their non-zero cells; merged cells are kept as one bit,
 "two or more", so the sketch that reaches every task has a fixed size whatever the input is.
 
-Pass 2 groups exactly (by 96-bit hashes of their word sequences) only windows whose anchor the
+Pass 2 groups exactly (by 95-bit hashes of their word sequences) only windows whose anchor the
 sketch estimates at two or more. The sketch never underestimates, so no repeated window is lost;
 where it is too small for the input it only lets more windows through to the exact pass.
 Only documents that lose words are shuffled with their text.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from oddwire.llm import words
 from oddwire.llm.members import split
-from oddwire.llm.shared import with_row_key, written
+from oddwire.llm.shared import stored, with_row_key, written
 
 WINDOW = 35
 DEPTH = 3
@@ -32,7 +32,7 @@ DEPTH = 3
 LOG2_CELLS = 25
 BLOCK = 1 << 16
 #: Anchors a task gathers before it sends its cells.
-FLUSH = 2_000_000
+FLUSH = 250_000
 
 _ROWS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -87,7 +87,7 @@ def _sketch(size: int, log2_cells: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, count = [], 0
-        for batch in batches:
+        for batch in words.slices(batches):
             for text in words.raw_texts(batch.column("text")):
                 own = anchors(words.hashes(text, *words.spans(text)), size)[1]
                 if len(own):
@@ -145,7 +145,7 @@ def sketch(docs: DataFrame, size: int, log2_cells: int) -> np.ndarray:
 def _candidates(size: int, log2_cells: int, shared):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in words.slices(batches):
             texts = words.raw_texts(batch.column("text"))
             for key, text in zip(batch.column("row_key").to_pylist(), texts):
                 hashes = words.hashes(text, *words.spans(text))
@@ -189,7 +189,7 @@ def _batched(task, rows: int = 200_000):
 
 def _keep(size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.slices(batches):
             n_words, n_removed, kept = [], [], []
             starts = batch.column("starts")
             texts = words.raw_texts(batch.column("text"))
@@ -232,6 +232,7 @@ def remove_repeats(
     each reading (see ``with_row_key``); columns other than doc_id and text are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, log2_cells))
+    docs = stored(docs)
     rows = with_row_key(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"])
     windows = rows.select("row_key", "text").mapInArrow(
         _batched(_candidates(size, log2_cells, shared)), "h1 long, h2 int, row_key long, at int"
@@ -243,6 +244,7 @@ def remove_repeats(
         .agg(F.collect_list("at").alias("starts")),
         "starts",
     )
+    shared.unpersist()
     near, far = split(rows, starts, "row_key")
     far = far.withColumn("starts", F.lit(None).cast("array<int>"))
     return near.join(starts, "row_key", "left").unionByName(far).mapInArrow(

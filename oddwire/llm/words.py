@@ -27,31 +27,45 @@ _BASE = _odd(8)
 _MIX = _odd(2)
 
 
+#: Values hashed at a time; tables of powers are as long, whatever the texts are.
+CHUNK = 1 << 18
+
+
 class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as far as they were needed."""
+    """Powers of an odd number modulo 2**64 and of its inverse, one chunk of each."""
 
     def __init__(self, base: np.uint64):
         self.base = int(base)
-        self.inverse = pow(self.base, -1, 2**64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def reach(self, length: int) -> None:
-        if len(self.up) < length:
-            size = max(length, 2 * len(self.up), 4096)
-            self.up, self.down = self._row(self.base, size), self._row(self.inverse, size)
+        self.up, self.down = self._row(self.base), self._row(pow(self.base, -1, 2**64))
 
     @staticmethod
-    def _row(base: int, size: int) -> np.ndarray:
-        row = np.full(size, base, dtype=np.uint64)
+    def _row(base: int) -> np.ndarray:
+        row = np.full(CHUNK + 1, base, dtype=np.uint64)
         row[0] = 1
         return np.multiply.accumulate(row)
 
-    def sums(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Polynomial hash of each slice of the values, in time linear in the values."""
-        self.reach(len(values) + 1)
-        total = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=total[1:])
-        return (total[ends] - total[starts]) * self.down[starts]
+    def sums(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, of=None) -> np.ndarray:
+        """Polynomial hash of each slice of the values, or of what the table ``of`` makes of them.
+
+        Starts and ends rise. Time is linear in the values and memory that of a chunk: a slice
+        over several chunks is the sum of its parts, each times the power of its place.
+        """
+        found = np.zeros(len(starts), dtype=np.uint64)
+        for begin in range(0, len(values), CHUNK):
+            part = values[begin : begin + CHUNK]
+            part = part if of is None else of[part]
+            first = np.searchsorted(ends, begin, "right")
+            last = np.searchsorted(starts, begin + len(part), "left")
+            total = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(part * self.up[: len(part)], out=total[1:])
+            low = np.maximum(starts[first:last] - begin, 0)
+            high = np.minimum(ends[first:last] - begin, len(part))
+            own = (total[high] - total[low]) * self.down[low]
+            for k in range(np.searchsorted(starts[first:last], begin, "left")):
+                power = pow(self.base, int(begin - starts[first + k]), 2**64)
+                own[k] = int(own[k]) * power % 2**64
+            found[first:last] += own
+        return found
 
 
 _OF_BYTES = Powers(_BASE[0])
@@ -79,19 +93,40 @@ def raw_texts(column: pa.Array) -> Iterator[np.ndarray]:
         yield bytes_[ends[k] : ends[k + 1]] if known[k] else bytes_[:0]
 
 
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``size`` bytes of a column, so that little is held at once."""
+    for batch in batches:
+        rows = max(1, len(batch) * size // max(batch.column(column).nbytes, size))
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+        if not len(batch):
+            yield batch
+    pa.default_memory_pool().release_unused()
+
+
 def spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of each word."""
-    inside = np.zeros(len(text) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[text]
-    change = np.diff(inside)
-    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    edges = [[], []]
+    inside = False
+    for begin in range(0, len(text), CHUNK):
+        space = _SPACE[text[begin : begin + CHUNK]]
+        change = np.flatnonzero(np.diff(space, prepend=not inside))
+        edges[0].append(begin + change[int(inside) :: 2])
+        edges[1].append(begin + change[1 - int(inside) :: 2])
+        inside = not space[-1]
+    if inside:
+        edges[1].append(np.array([len(text)]))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *edges[0]]), np.concatenate([none, *edges[1]])
 
 
 def hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 64-bit hash a word; equal words have equal hashes everywhere."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    return mix(_OF_BYTES.sums(_BYTES[text], starts, ends) + (ends - starts).astype(np.uint64))
+    return mix(_OF_BYTES.sums(text, starts, ends, _BYTES) + (ends - starts).astype(np.uint64))
 
 
 def lower(text: np.ndarray) -> np.ndarray:
