@@ -11,7 +11,9 @@ from oddwire.llm import (
     archives,
     chat,
     decontaminate,
+    divergence,
     exact_dedup,
+    hard_negatives,
     jaccard,
     language,
     members,
@@ -19,8 +21,9 @@ from oddwire.llm import (
     quality,
     substrings,
     token_counts,
+    url_filter,
 )
-from oddwire.llm.shared import new_path, table
+from oddwire.llm.shared import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,7 +104,7 @@ def op5_decontamination(spark, sf_dir):
 def op2_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     captures = pages.select(F.col("page_id").alias("number"), "url", F.col("html").alias("payload"))
-    records = archives.archive_pages(captures).drop("payload")
+    records = written(archives.archive_pages(captures).drop("payload"), "page-records")
     answers = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("number").alias("answer")
     )
@@ -135,3 +138,33 @@ def op7_token_counts(spark, sf_dir):
         ledger.delete(2, labels.where("toxic = 1"))
         ledger.revise(3, token_counts.counted(revised))
     return ledger.totals()
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """Every seventh label is moved on, so labels and directions do not fall together."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), label.alias("label")
+    )
+    return hard_negatives.mine(vectors, F.col("id") % 50 == 0)
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op13_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, "page_id").drop("row_key")
