@@ -3,15 +3,15 @@
 Blank lines alternate: the first ends a head (request line and headers), the second ends a
 body, and so on. The request of a line thus follows from the number of blank lines before
 it in the file. A window over a whole file would be one task per file, so the count is
-taken in two steps: blank lines per split, summed over the splits of a file (one small row
-per split), then a running count inside each split.
-
-The lines cross the network once, hashed by (file, split), to be numbered and put together
-in order. What a split border cuts has to meet again, so the assembled pieces cross it a
-second time, hashed by the file and the split in which their request began: one row per
-request instead of one per line, and all that follows, up to the request table with its ids,
-is keyed by the same pair and stays there. Joining the few cut pieces back instead would
-spare this exchange, but number and sort every line a second time.
+taken in two steps: counts per split, summed over the splits of a file (one small row per
+split), then a running count where a request is put together.
+
+The text crosses the network once. A request is put together in its home, the split that
+holds the blank line behind its head, and the home of a line is known before the exchange:
+only what stands before the first or behind the last blank line of a split can belong to a
+request of another split, and the number of blank lines up to there tells whether it does.
+Lines are therefore hashed by file and home, numbered and grouped there, and all that
+follows, up to the request table with its ids, is keyed by the same pair and stays.
 """
 
 from __future__ import annotations
@@ -19,120 +19,121 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddwire.session import materialise
+
 SPLIT = ["file", "split"]
+#: Splits up to which their table, a hundred bytes each, is sent to every task.
+BROADCAST_SPLITS = 1_000_000
 
 
 def split_offsets(lines: DataFrame) -> DataFrame:
-    """One row per split: lines and blank lines of the file before it, and whether (and
-    since which split) it begins inside a request."""
+    """One row per split: lines and blank lines of the file before it, where its first and
+    last blank lines are, and the homes of what stands before and behind them.
+
+    A home is a struct of a split and the number of the first request put together there.
+    """
     blank = F.col("value") == ""
+    blank_at = F.when(blank, F.col("seq"))
     counts = lines.groupBy(*SPLIT).agg(
+        F.min("seq").alias("first_seq"),
         F.count("*").alias("lines"),
         F.count_if(blank).alias("blanks"),
-        F.max_by(blank, "seq").alias("ends_blank"),
+        F.min(blank_at).alias("first_blank"),
+        F.max(blank_at).alias("last_blank"),
     )
-    in_file = Window.partitionBy("file").orderBy("split")
-    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file")
+    earlier = in_file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    later = in_file.orderBy(F.desc("split")).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select(
-        *SPLIT,
+        "*",
         F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("line_offset"),
         F.coalesce(F.sum("blanks").over(earlier), F.lit(0)).alias("blank_offset"),
-        "blanks",
-        "ends_blank",
-    ).select(
-        *SPLIT,
-        "line_offset",
-        "blank_offset",
-        F.floor(F.col("blank_offset") / 2).alias("first_request"),
-        F.floor(
-            (F.col("blank_offset") + F.col("blanks") - F.col("ends_blank").cast("int")) / 2
-        ).alias("last_request"),
     )
-    continues = F.lag("last_request").over(in_file).eqNullSafe(F.col("first_request"))
-    marked = placed.withColumn("continues", continues).withColumn(
-        "opens", F.when(~F.col("continues") | (F.col("last_request") > F.col("first_request")), F.col("split"))
-    )
-    return marked.select(
+    home = F.struct("split", F.ceil(F.col("blank_offset") / 2).alias("first_request"))
+    with_blanks = F.when(F.col("blanks") > 0, home)
+    return placed.select(
         *SPLIT,
+        "first_seq",
+        "lines",
         "line_offset",
         "blank_offset",
-        "first_request",
-        F.when(
-            F.col("continues"), F.last("opens", ignorenulls=True).over(earlier)
-        ).alias("continued_from"),
+        "blanks",
+        "first_blank",
+        "last_blank",
+        home.alias("own_home"),
+        F.last(with_blanks, ignorenulls=True).over(earlier).alias("home_before"),
+        # Without any blank line to come, the rest of the file is one request in its last split.
+        F.coalesce(
+            F.last(with_blanks, ignorenulls=True).over(later), F.max(home).over(in_file)
+        ).alias("home_after"),
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Every line with its number in the file, its request and its section.
-
-    Adds ``line_no`` (from 1), ``request_no`` (from 0), ``in_body``, and ``home``: the split
-    in which the request of the line began.
-    """
-    offsets = split_offsets(lines)
-    in_split = Window.partitionBy(*SPLIT).orderBy("seq")
-    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    blank_here = (F.col("value") == "").cast("long")
-    # Both sides scan the same splits. Should a scan ever be cut differently, fail rather
-    # than number lines from the wrong offset.
-    line_offset = F.coalesce(
-        F.col("line_offset"),
-        F.raise_error(F.lit("input splits changed between two scans of the same files")).cast("long"),
-    )
-    counted = lines.join(offsets, SPLIT, "left").select(
-        *SPLIT,
-        "value",
-        (line_offset + F.row_number().over(in_split)).alias("line_no"),
-        (
-            F.col("blank_offset") + F.coalesce(F.sum(blank_here).over(before), F.lit(0))
-        ).alias("section"),
-        "first_request",
-        "continued_from",
+def _home() -> Column:
+    """Where the request of a line is put together."""
+    in_body = F.col("blank_offset") % 2 == 1
+    leads = F.col("first_blank").isNull() | (F.col("seq") <= F.col("first_blank"))
+    trails = F.col("last_blank").isNull() | (F.col("seq") > F.col("last_blank"))
+    ends_in_body = (F.col("blank_offset") + F.col("blanks")) % 2 == 1
+    return (
+        F.when(in_body & leads, F.col("home_before"))
+        .when(~ends_in_body & trails, F.col("home_after"))
+        .otherwise(F.col("own_home"))
     )
-    request_no = F.floor(F.col("section") / 2)
-    return counted.select(
-        *SPLIT,
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Every line with its number in the file (``line_no``, from 1), and ``home``."""
+    offsets = materialise(split_offsets(lines))
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    # Both reads cut the files alike. Should one ever be cut differently, some line is in no
+    # split or outside its lines: fail rather than number it from the wrong offset.
+    place = F.col("seq") - F.col("first_seq")
+    fits = F.coalesce((place >= 0) & (place < F.col("lines")), F.lit(False))
+    message = F.lit("input splits changed between two scans of the same files")
+    place = F.when(fits, place).otherwise(F.raise_error(message).cast("long"))
+    return lines.join(offsets, SPLIT, "left").select(
+        "file",
         "value",
-        "line_no",
-        request_no.alias("request_no"),
-        (F.col("section") % 2 == 1).alias("in_body"),
-        F.when(request_no == F.col("first_request"), F.coalesce("continued_from", "split"))
-        .otherwise(F.col("split"))
-        .alias("home"),
+        (place + F.col("line_offset") + 1).alias("line_no"),
+        _home().alias("home"),
     )
 
 
 def _numbered_lines(condition: Column) -> Column:
-    """The lines of a group that meet the condition, as (line_no, value) pairs."""
-    return F.collect_list(F.when(condition, F.struct("line_no", "value")))
-
-
-def _values(pairs: Column) -> Column:
-    return F.transform(F.sort_array(pairs), lambda pair: pair["value"])
+    """The lines of a group that meet the condition, in order."""
+    pairs = F.sort_array(F.collect_list(F.when(condition, F.struct("line_no", "value"))))
+    return F.transform(pairs, lambda pair: pair["value"])
 
 
 def assemble_requests(lines: DataFrame) -> DataFrame:
-    """Requests of a line table (file, split, seq, value).
+    """Requests of a line table (file, split, seq, value); seq counts the lines of a split.
 
-    One row per request: ``split`` in which it began, ``line_no`` of its request line,
-    ``head`` (array of lines, the request line first) and ``body_lines`` (array). A group is
-    one request, never a file.
+    One row per request: ``request_no`` (from 0) in the file, ``split`` that ends its head,
+    ``line_no`` of its request line, ``head`` (array of lines, the request line first) and
+    ``body_lines`` (array). A group is one request, never a file.
     """
-    numbered = number_lines(lines)
-    text = F.col("value") != ""
-    # Where the lines are: nearly every piece is already a whole request.
-    pieces = numbered.groupBy(*SPLIT, "home", "request_no").agg(
-        F.min("line_no").alias("line_no"),
-        _numbered_lines(text & ~F.col("in_body")).alias("head"),
-        _numbered_lines(text & F.col("in_body")).alias("body"),
+    numbered = number_lines(lines).select(
+        "file",
+        # Never null, and seen to be: no filter comes between the two reads of the exchange.
+        F.coalesce("home.split", F.lit(-1).cast("long")).alias("split"),
+        F.col("home.first_request").alias("first_request"),
+        "line_no",
+        "value",
+    )
+    before = (
+        Window.partitionBy(*SPLIT).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     )
-    at_home = pieces.select(
-        "file", F.col("home").alias("split"), "request_no", "line_no", "head", "body"
-    ).repartition(*SPLIT)
-    return at_home.groupBy(*SPLIT, "request_no").agg(
+    blanks = F.coalesce(F.sum((F.col("value") == "").cast("long")).over(before), F.lit(0))
+    sections = numbered.select(*SPLIT, "first_request", "line_no", "value", blanks.alias("section"))
+    text = F.col("value") != ""
+    in_body = F.col("section") % 2 == 1
+    request_no = F.col("first_request") + F.floor(F.col("section") / 2)
+    return sections.groupBy(*SPLIT, request_no.alias("request_no")).agg(
         F.min("line_no").alias("line_no"),
-        _values(F.flatten(F.collect_list("head"))).alias("head"),
-        _values(F.flatten(F.collect_list("body"))).alias("body_lines"),
+        _numbered_lines(text & ~in_body).alias("head"),
+        _numbered_lines(text & in_body).alias("body_lines"),
     )
 
 

@@ -8,30 +8,49 @@ from pyspark.sql import functions as F
 from oddwire.operators.assemble import assemble_requests, assign_ids
 from oddwire.operators.parse import parse_requests
 
+#: Lines of a split, at most; a file that cannot be split by bytes is cut by them.
+SPLIT_LINES = 1 << 18
+_LEAST_PARTITIONS = "spark.sql.files.minPartitionNum"
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+
+def read_lines(spark: SparkSession, *paths: str, split_lines: int = SPLIT_LINES) -> DataFrame:
     """One row per line: (file, split, seq, value).
 
-    ``split`` is where the input split begins in its file, ``seq`` rises with the lines of a
-    split. A file is read in as many splits as its size asks for.
+    ``split`` says where the block of the line begins in its file, and which stretch of about
+    ``split_lines`` lines of it the line is in, so that a compressed file, which is one block, is
+    cut as well. ``seq`` counts the lines of a block without gaps; where it begins is told by the
+    counts per split, and a line that does not fit them ends the job.
+
+    Blocks follow ``spark.sql.files.maxPartitionBytes`` and the number of cores. The latter may
+    change while a job runs, so it is fixed for the session at the first call, unless
+    ``spark.sql.files.minPartitionNum`` is set.
     """
-    return spark.read.text(list(paths)).select(
+    if spark.conf.get(_LEAST_PARTITIONS, None) is None:
+        spark.conf.set(_LEAST_PARTITIONS, str(spark.sparkContext.defaultParallelism))
+    in_task = F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
+    stretch = F.floor(in_task / split_lines)
+    lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         "value",
     )
+    return lines.select("file", (F.shiftleft("block", 20) + stretch).alias("split"), "seq", "value")
 
 
 def read_requests(
-    spark: SparkSession, *paths: str, label: str = "", mode: str = "FAILFAST"
+    spark: SparkSession,
+    *paths: str,
+    label: str = "",
+    mode: str = "FAILFAST",
+    split_lines: int = SPLIT_LINES,
 ) -> DataFrame:
     """Requests of traffic files, every one tagged with the same label.
 
     ``mode`` works like that of the Spark readers: FAILFAST ends the job at the first
     malformed request, PERMISSIVE keeps it with its reason in ``_corrupt_reason``.
     """
-    assembled = assemble_requests(read_lines(spark, *paths))
+    assembled = assemble_requests(read_lines(spark, *paths, split_lines=split_lines))
     return tag(assign_ids(parse_requests(assembled, mode=mode)), label)
 
 

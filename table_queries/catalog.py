@@ -149,9 +149,8 @@ def named_parameter_features(spark, sf_dir):
 # Requests
 
 
-@query
-def request_assembly(spark, sf_dir):
-    return derived.page_requests(spark, sf_dir).select(
+def _assembled(requests):
+    return requests.select(
         "file",
         "request_no",
         "line_no",
@@ -168,6 +167,17 @@ def request_assembly(spark, sf_dir):
     )
 
 
+@query
+def request_assembly(spark, sf_dir):
+    return _assembled(derived.page_requests(spark, sf_dir))
+
+
+@query
+def request_files(spark, sf_dir):
+    """The same traffic written as text files, part of them compressed, and read back."""
+    return _assembled(derived.file_requests(spark, sf_dir))
+
+
 @query
 def request_headers(spark, sf_dir):
     return derived.page_requests(spark, sf_dir).select(

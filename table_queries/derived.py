@@ -2,26 +2,30 @@
 
 The tables hold no HTTP traffic, so requests are written from ``pages``: every page is
 fetched with a GET and stored with a POST that carries its whole HTML. One file per web
-host, input splits of eight pages.
+host, each page in two input splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddwire.operators import score
 from oddwire.operators.assemble import assemble_requests, assign_ids
 from oddwire.operators.parse import parse_requests
 from oddwire.schema import ANOMALY, ATTACK_CLASSES, CONNECTION_FEATURES, NORMAL
+from oddwire.session import shared_folder
+from oddwire.sources.traffic import read_requests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line table (file, split, seq, value) of the traffic of all pages."""
+def page_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, lines) of the two requests of every page."""
     pages = table(spark, sf_dir, "pages").selectExpr(
         "page_id",
         "url",
@@ -50,22 +54,67 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         concat('Warning: ', title),
         'Connection: close',
         ''), filter(split(html, '\n'), line -> line <> ''), array(''))"""
-    both = pages.selectExpr(
-        "page_id", "host AS file", "page_id DIV 8 AS split", f"concat({get}, {post}) AS lines"
+    return pages.selectExpr("page_id", "host", f"concat({get}, {post}) AS lines")
+
+
+#: Where the traffic of a page is cut: in the headers of its POST.
+CUT = 15
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line table (file, split, seq, value) of the traffic of all pages, one file a host."""
+    each = page_traffic(spark, sf_dir).select(
+        "page_id", F.col("host").alias("file"), F.posexplode("lines").alias("pos", "value")
     )
-    return both.select("page_id", "file", "split", F.posexplode("lines").alias("pos", "value")).select(
+    behind = F.col("pos") >= CUT
+    return each.select(
         "file",
-        "split",
-        (F.col("page_id") * 1_000_000 + F.col("pos")).alias("seq"),
+        (2 * F.col("page_id") + behind.cast("int")).alias("split"),
+        F.when(behind, F.col("pos") - CUT).otherwise(F.col("pos")).cast("long").alias("seq"),
         "value",
     )
 
 
+def _label() -> Column:
+    return F.when(F.col("file").rlike("spam|cheap"), ANOMALY).otherwise(NORMAL)
+
+
+#: Pages of a traffic file, so that no host is written by one task alone.
+FILE_PAGES = 64
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> str:
+    """The traffic of all pages as text in the shared folder, the files of blogs compressed.
+
+    A file holds the traffic of one host, up to ``FILE_PAGES`` page ids of it.
+    """
+    traffic = page_traffic(spark, sf_dir)
+    name = F.concat_ws("-", "host", F.floor(F.col("page_id") / FILE_PAGES))
+    lines = (
+        traffic.withColumn("traffic", name)
+        .repartition("traffic")
+        .sortWithinPartitions("traffic", "page_id")
+        .select("host", "traffic", F.explode("lines").alias("value"))
+    )
+    blog = F.col("host").startswith("blog")
+    root = f"{shared_folder(spark)}/traffic-{uuid.uuid4().hex}"
+    for part, rows, compression in (("plain", ~blog, "none"), ("packed", blog, "gzip")):
+        text = lines.where(rows).drop("host").write.partitionBy("traffic")
+        text.option("compression", compression).text(f"{root}/form={part}")
+    return root
+
+
+def file_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests read back from the traffic files."""
+    requests = read_requests(spark, page_files(spark, sf_dir), split_lines=100)
+    name = F.regexp_extract("file", "/traffic=([^/]*)/", 1)
+    return requests.withColumn("file", name).withColumn("label", _label())
+
+
 def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request table of the pages; traffic of spam hosts is the anomaly."""
     requests = assign_ids(parse_requests(assemble_requests(page_lines(spark, sf_dir))))
-    spam = F.col("file").rlike("spam|cheap")
-    return requests.withColumn("label", F.when(spam, ANOMALY).otherwise(NORMAL))
+    return requests.withColumn("label", _label())
 
 
 def text_heads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from oddwire.schema import (
     ratio_columns,
 )
 from table_queries.catalog import DETECTION_THRESHOLD
+from table_queries.derived import FILE_PAGES
 
 STANDARD_LIST = ", ".join(f"'{name}'" for name in STANDARD_HEADERS)
 
@@ -423,6 +424,7 @@ def oracles() -> dict[str, str]:
         "letter_ratio": "letter", "digit_ratio": "digit", "symbol_ratio": "symbol",
     }
     joined = counts("v")
+    file_requests = REQUESTS.replace("host AS file", f"host || '-' || (page_id // {FILE_PAGES}) AS file")
     return {
         "char_class_counts": f"""SELECT doc_id, length(text)::BIGINT AS n_length,
             {text_counts['printable_characters']} AS n_printable,
@@ -459,6 +461,9 @@ def oracles() -> dict[str, str]:
         "named_parameter_features": _named_parameter_features(["page", "utm_source"]),
         "request_assembly": f"""WITH {REQUESTS} SELECT file, request_no, line_no, id, method, uri, standard, path, query,
             num_parameters, num_headers, body, label FROM requests""",
+        "request_files": f"""WITH {file_requests}
+            SELECT file, request_no, line_no, id, method, uri, standard, path, query,
+            num_parameters, num_headers, body, label FROM requests""",
         "request_headers": f"WITH {REQUESTS} SELECT file, request_no, header, value FROM headers",
         "header_lookup": f"""WITH {REQUESTS} SELECT file, request_no,
             coalesce(max(split_part(value, ',', 1)) FILTER (WHERE header = 'Accept'), 'no_content') AS accept,

@@ -1,3 +1,6 @@
+import gzip
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,7 +105,7 @@ def test_unknown_mode(spark):
 
 
 def test_offsets_missing_for_a_split_fail(spark, monkeypatch):
-    lines = spark.createDataFrame([("f", 0, 1, "x"), ("f", 9, 2, "y")], "file string, split long, seq long, value string")
+    lines = spark.createDataFrame([("f", 0, 0, "x"), ("f", 9, 0, "y")], "file string, split long, seq long, value string")
     whole = assemble.split_offsets(lines)
     monkeypatch.setattr(assemble, "split_offsets", lambda _: whole.where("split = 0"))
     with pytest.raises(Exception, match="input splits changed"):
@@ -114,8 +117,8 @@ def test_union_keeps_duplicates(spark):
     assert union_sets(one, one, one).count() == 3
 
 
-def test_lines_are_numbered_once(spark, tmp_path):
-    """The ids read the assembled pieces again, not the lines."""
+def test_text_is_exchanged_once(spark, tmp_path):
+    """The ids read the exchanged lines again, not the files."""
     path = write(tmp_path, "a.txt", shop_traffic(1, 5))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -123,10 +126,116 @@ def test_lines_are_numbered_once(spark, tmp_path):
         plan = requests._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # One scan for the counts per split, one for the lines.
-    assert plan.count("FileScan text") == 2
+    assert plan.count("FileScan text") == 1
     assert plan.count("ReusedExchange") == 1
-    assert plan.count("Exchange hashpartitioning(file") == plan.count("Exchange hashpartitioning")
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    with_text = [line for line in exchanges if "Reused" not in line]
+    # The text, and the small table of where the requests of a split end.
+    assert len(with_text) == 2 and "_end" not in with_text[0]
+
+
+def assembled(spark, rows):
+    lines = spark.createDataFrame(rows, "file string, split long, seq long, value string")
+    return assemble.assemble_requests(lines.repartition(4, "value"))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_any_cut_gives_the_same_requests(spark, seed):
+    """Random blank lines, cut into splits of random length, also of one line."""
+    draw = random.Random(seed)
+    rows, wanted = [], []
+    for file in "abc":
+        values = [draw.choice(["", f"{file}{k}", f"{file}{k}", f"{file}{k}"]) for k in range(draw.randint(1, 60))]
+        split, seq = draw.randint(0, 5), 0
+        for value in values:
+            if seq and draw.random() < 0.3:
+                split, seq = split + draw.randint(1, 9), 0
+            rows.append((file, split, seq, value))
+            seq += 1
+        request, blanks = {}, 0
+        for number, value in enumerate(values, 1):
+            own = request.setdefault(blanks // 2, (number, [], []))
+            if value:
+                own[1 + blanks % 2].append(value)
+            blanks += value == ""
+        wanted += [(file, no, *own) for no, own in request.items()]
+    found = [
+        (r["file"], r["request_no"], r["line_no"], r["head"], r["body_lines"])
+        for r in assembled(spark, rows).collect()
+    ]
+    assert sorted(found) == sorted(wanted)
+
+
+def test_homes_of_one_request_over_many_splits(spark):
+    values = ["POST", "A: 1", "B: 2", "", "x", "y", "z", "", "GET", "C: 3"]
+    rows = [("f", split, 0, value) for split, value in enumerate(values)]
+    found = sorted(tuple(r) for r in assembled(spark, rows).collect())
+    assert found == [
+        ("f", 3, 0, 1, ["POST", "A: 1", "B: 2"], ["x", "y", "z"]),
+        ("f", 9, 1, 9, ["GET", "C: 3"], []),
+    ]
+
+
+def test_empty_line_table(spark):
+    assert assembled(spark, []).count() == 0
+
+
+@pytest.fixture
+def partitions(spark):
+    key = "spark.sql.files.minPartitionNum"
+    saved = spark.conf.get(key, None)
+    yield lambda number: spark.conf.set(key, str(number))
+    spark.conf.unset(key) if saved is None else spark.conf.set(key, saved)
+
+
+@pytest.mark.parametrize("number", [2, 7, 8])
+@pytest.mark.parametrize("split_lines", [3, 1 << 18])
+def test_compressed_and_plain_files(spark, tmp_path, partitions, small_splits, number, split_lines):
+    """Lines are known by their place in the file, however the scan packs files into tasks."""
+    sets = {f"{k}.txt": shop_traffic(k, 15 + 4 * k) for k in range(6)}
+    for name, lines in sets.items():
+        text = "\n".join(lines) + "\n"
+        if name < "3":
+            (tmp_path / f"{name}.gz").write_bytes(gzip.compress(text.encode()))
+        else:
+            (tmp_path / name).write_text(text, encoding="utf-8")
+    small_splits("20000")
+    partitions(number)
+    requests = read_requests(spark, str(tmp_path), split_lines=split_lines).withColumn(
+        "name", F.regexp_extract("file", r"(\d\.txt)", 1)
+    )
+    for name, lines in sets.items():
+        assert found(requests.where(F.col("name") == name)) == expected(lines)
+    if split_lines == 3:
+        lines = read_lines(spark, str(tmp_path), split_lines=3)
+        sizes = lines.groupBy("file", "split").agg(
+            F.count("*").alias("n"), (F.max("seq") - F.min("seq") + 1).alias("reach")
+        )
+        assert sizes.where("n > 3 OR n <> reach").count() == 0 and sizes.count() > 100
+
+
+@pytest.mark.parametrize("shift", [-1, 1])
+def test_a_scan_packed_otherwise_fails(spark, tmp_path, monkeypatch, shift):
+    lines = read_lines(spark, write(tmp_path, "a.txt", shop_traffic(2, 30)))
+    offsets = assemble.split_offsets(lines)
+    monkeypatch.setattr(assemble, "split_offsets", lambda _: offsets)
+    with pytest.raises(Exception, match="input splits changed"):
+        assemble.number_lines(lines.withColumn("seq", F.col("seq") + shift)).collect()
+
+
+def test_cores_lost_between_two_scans(spark, tmp_path, small_splits):
+    """The first load fixes how files are cut, so a later scan of them is cut alike."""
+    path = write(tmp_path, "a.txt", shop_traffic(2, 60))
+    key = "spark.sql.files.minPartitionNum"
+    spark.conf.unset(key)
+    small_splits("128m")
+    requests = read_requests(spark, path)
+    assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+    try:
+        assert found(requests) == expected(shop_traffic(2, 60))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
 
 
 @pytest.mark.parametrize(
