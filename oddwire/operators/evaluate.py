@@ -1,52 +1,74 @@
 """Precision, recall, F-measures and curves by threshold.
 
-A prediction is scored by its cluster number, and normal traffic is the positive class. A
-table of counts per distinct score, at most one row per cluster, carries all the reports.
+A prediction is scored by its cluster number or by any number, and normal traffic is the positive
+class. All reports come from one table with a row per distinct score. Continuous scores are as
+many as the rows, so the table is sorted by range partitions: sums run inside a partition, and
+begin at the sums of the partitions before it, one row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddwire.schema import NORMAL
+from oddwire.session import materialise
 
 # The betas of the F-measure report.
 BETAS = [0.5, 1.0, 2.0, 3.0]
 
 
-def score_and_label(predictions: DataFrame) -> DataFrame:
-    """(score, label): cluster number and 1.0 for normal traffic, 0.0 otherwise."""
+def score_and_label(
+    predictions: DataFrame, score: str = "prediction", positive: str | Column = NORMAL
+) -> DataFrame:
+    """(score, label): the cluster number, or another column, and 1.0 for the positive class.
+
+    ``positive`` is a label or a condition.
+    """
+    is_positive = F.col("label") == positive if isinstance(positive, str) else positive
     return predictions.select(
-        F.col("prediction").cast("double").alias("score"),
-        (F.col("label") == NORMAL).cast("double").alias("label"),
+        F.col(score).cast("double").alias("score"), is_positive.cast("double").alias("label")
     )
 
 
 def confusion_by_threshold(scores: DataFrame) -> DataFrame:
-    """(threshold, tp, fp, positives, negatives): rows at or above each distinct score.
+    """(threshold, point, pos, neg, tp, fp, positives, negatives) of each distinct score.
 
-    The running sums see one row per distinct score. Cluster numbers are few; continuous
-    scores are to be rounded or binned first.
+    ``point`` counts the scores from the highest, ``pos`` and ``neg`` are the rows at the score,
+    ``tp`` and ``fp`` those at or above it. The table is written once and serves every report.
     """
     positive = F.col("label") > 0.5
     counts = scores.groupBy(F.col("score").alias("threshold")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    above = Window.orderBy(F.desc("threshold")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    falling = F.desc("threshold")
+    placed = materialise(
+        counts.repartitionByRange(falling)
+        .sortWithinPartitions(falling)
+        .select("*", F.spark_partition_id().alias("part"))
     )
-    whole = Window.orderBy(F.desc("threshold")).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+    sums = [F.count("*"), F.sum("pos"), F.sum("neg")]
+    # A row for each partition of the sort, however many scores there are.
+    parts = sorted(tuple(r) for r in placed.groupBy("part").agg(*sums).collect())
+    before = list(accumulate((p[1:] for p in parts), lambda a, b: tuple(map(sum, zip(a, b))), initial=(0, 0, 0)))
+    rows = [(p[0], *b, *before[-1][1:]) for p, b in zip(parts, before)]
+    offsets = scores.sparkSession.createDataFrame(
+        rows, "part int, points long, tp0 long, fp0 long, positives long, negatives long"
     )
-    return counts.select(
+    so_far = Window.partitionBy("part").orderBy(falling)
+    until_here = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(F.broadcast(offsets), "part").select(
         "threshold",
-        F.sum("pos").over(above).alias("tp"),
-        F.sum("neg").over(above).alias("fp"),
-        F.sum("pos").over(whole).alias("positives"),
-        F.sum("neg").over(whole).alias("negatives"),
+        (F.col("points") + F.row_number().over(so_far)).alias("point"),
+        "pos",
+        "neg",
+        (F.col("tp0") + F.sum("pos").over(until_here)).alias("tp"),
+        (F.col("fp0") + F.sum("neg").over(until_here)).alias("fp"),
+        "positives",
+        "negatives",
     )
 
 
@@ -54,11 +76,20 @@ def _ratio(part: Column, total: Column, empty: float) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), total), F.lit(empty))
 
 
+def _precision(tp: Column, fp: Column) -> Column:
+    return _ratio(tp, tp + fp, 1.0)
+
+
+def _rates(tp: Column, fp: Column) -> tuple[Column, Column]:
+    """False and true positive rate."""
+    return _ratio(fp, F.col("negatives"), 0.0), _ratio(tp, F.col("positives"), 0.0)
+
+
 def precision_recall(scores: DataFrame) -> DataFrame:
     """(threshold, precision, recall)."""
     return confusion_by_threshold(scores).select(
         "threshold",
-        _ratio(F.col("tp"), F.col("tp") + F.col("fp"), 1.0).alias("precision"),
+        _precision(F.col("tp"), F.col("fp")).alias("precision"),
         _ratio(F.col("tp"), F.col("positives"), 0.0).alias("recall"),
     )
 
@@ -97,13 +128,10 @@ def best_f_beta(f_table: DataFrame) -> DataFrame:
 
 def roc_curve(scores: DataFrame) -> DataFrame:
     """(point, x, y): false and true positive rate, from (0, 0) to (1, 1)."""
-    rates = confusion_by_threshold(scores).select(
-        F.row_number().over(Window.orderBy(F.desc("threshold"))).alias("point"),
-        _ratio(F.col("fp"), F.col("negatives"), 0.0).alias("x"),
-        _ratio(F.col("tp"), F.col("positives"), 0.0).alias("y"),
-    )
-    spark = scores.sparkSession
-    first = spark.createDataFrame([(0, 0.0, 0.0)], "point int, x double, y double")
+    confusion = confusion_by_threshold(scores)
+    x, y = _rates(F.col("tp"), F.col("fp"))
+    rates = confusion.select(F.col("point").cast("int").alias("point"), x.alias("x"), y.alias("y"))
+    first = scores.sparkSession.createDataFrame([(0, 0.0, 0.0)], "point int, x double, y double")
     last = rates.agg((F.coalesce(F.max("point"), F.lit(0)) + 1).alias("point")).select(
         "point", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")
     )
@@ -112,19 +140,36 @@ def roc_curve(scores: DataFrame) -> DataFrame:
 
 def pr_curve(scores: DataFrame) -> DataFrame:
     """(point, x, y): recall and precision, begun at recall 0 with the first precision."""
-    points = precision_recall(scores).select(
-        F.row_number().over(Window.orderBy(F.desc("threshold"))).alias("point"),
-        F.col("recall").alias("x"),
-        F.col("precision").alias("y"),
+    points = confusion_by_threshold(scores).select(
+        F.col("point").cast("int").alias("point"),
+        _ratio(F.col("tp"), F.col("positives"), 0.0).alias("x"),
+        _precision(F.col("tp"), F.col("fp")).alias("y"),
     )
     first = points.where("point = 1").select(F.lit(0).alias("point"), F.lit(0.0).alias("x"), "y")
     return first.unionByName(points)
 
 
-def area_under(curve: DataFrame) -> DataFrame:
-    """One row with the trapezoid area of a curve."""
-    order = Window.orderBy("point")
-    slices = curve.select(
-        ((F.col("x") - F.lag("x").over(order)) * (F.col("y") + F.lag("y").over(order)) / 2).alias("a")
+def areas_under_curves(scores: DataFrame) -> DataFrame:
+    """(curve, area) of ``roc`` and ``pr``, both from one aggregation.
+
+    Each score adds the trapezoid between the point before it and its own; what was before it
+    follows from its own counts, so no row looks at another.
+    """
+    tp, fp = F.col("tp"), F.col("fp")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+
+    def slice_(before: tuple[Column, Column], here: tuple[Column, Column]) -> Column:
+        return (here[0] - before[0]) * (here[1] + before[1]) / 2
+
+    roc = slice_(_rates(tp0, fp0), _rates(tp, fp))
+    here = (_ratio(tp, F.col("positives"), 0.0), _precision(tp, fp))
+    first = F.when(tp0 + fp0 == 0, here[1]).otherwise(_precision(tp0, fp0))
+    pr = slice_((_ratio(tp0, F.col("positives"), 0.0), first), here)
+    # The curve ends at (1, 1), where the last point is unless a class is empty.
+    ends = [(F.coalesce(F.max(c), F.lit(0)) > 0).cast("double") for c in ("negatives", "positives")]
+    to_end = (1 - ends[0]) * (1 + ends[1]) / 2
+    areas = confusion_by_threshold(scores).agg(
+        (F.coalesce(F.sum(roc), F.lit(0.0)) + to_end).alias("roc"),
+        F.coalesce(F.sum(pr), F.lit(0.0)).alias("pr"),
     )
-    return slices.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
+    return areas.select(F.explode(F.create_map(F.lit("roc"), "roc", F.lit("pr"), "pr")).alias("curve", "area"))

@@ -1,15 +1,24 @@
-"""Feature table to standardised vectors, with the ML pipeline stages of Spark."""
+"""Feature table to standardised vectors: fitted on one table, applied to any.
+
+What is fitted is plain data: means and deviations of the numeric columns, and a stored table of
+categories with their ranks and frequencies. Vectors are built from these by expressions and
+joins, so a table of any width, and a stream, is prepared the same way.
+"""
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddwire.operators import categories
 from oddwire.schema import CATEGORICAL_COLUMNS
+from oddwire.session import materialise
 
 
 def require_columns(table: DataFrame, names: list[str]) -> None:
@@ -18,27 +27,6 @@ def require_columns(table: DataFrame, names: list[str]) -> None:
         raise ValueError(f"table must contain the columns {missing}")
 
 
-def string_indexer(columns: list[str], handle_invalid: str = "skip") -> StringIndexer:
-    """Index by falling frequency, ties in alphabetical order; one fit for all columns.
-
-    ``skip`` drops rows whose category is null or was not seen when fitting.
-    """
-    return StringIndexer(
-        inputCols=columns,
-        outputCols=[f"{c}_index" for c in columns],
-        handleInvalid=handle_invalid,
-    )
-
-
-def encodable_columns(table: DataFrame, columns: list[str]) -> list[str]:
-    """The categorical columns with at least two values; one cannot be one-hot encoded."""
-    bounds = table.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in columns]).first()
-    single = [name for name in columns if bounds[name][0] == bounds[name][1]]
-    if single:
-        warnings.warn(f"left out of the features, fewer than two values: {single}", stacklevel=2)
-    return [name for name in columns if name not in single]
-
-
 def varying_columns(table: DataFrame, columns: list[str]) -> list[str]:
     """The numeric columns that hold more than one value."""
     if not columns:
@@ -47,54 +35,156 @@ def varying_columns(table: DataFrame, columns: list[str]) -> list[str]:
     return [name for name in columns if differ[name]]
 
 
-def preparation_pipeline(
-    table: DataFrame, handle_invalid: str = "skip", drop_constant: bool = False
-) -> Pipeline:
-    """Index and one-hot encode the categorical columns, assemble, divide by the deviation.
+@dataclass(frozen=True)
+class Statistics:
+    """Mean and sample deviation of numeric columns."""
+
+    columns: list[str]
+    means: list[float]
+    deviations: list[float]
 
-    The vector holds the numeric columns in table order, then the one-hot vectors. The last
-    category of each column is the all-zero one. ``drop_constant`` leaves out numeric columns
-    with a single value, which are zero in every standardised vector.
+    @property
+    def scales(self) -> list[float]:
+        return [1 / d if d > 0 else 0.0 for d in self.deviations]
 
-    Nothing is subtracted here: clusters and squared Euclidean distances are the same about any
-    origin, and vectors that are not centred stay as sparse as their one-hot part.
+
+def _numbers(columns: Sequence[str]) -> Column:
+    """The columns as an array of doubles; a null or NaN ends the job."""
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    bad = F.exists(values, lambda x: x.isNull() | F.isnan(x))
+    message = F.lit("numeric features must not be null or NaN")
+    return F.when(~bad, values).otherwise(F.raise_error(message).cast("array<double>"))
+
+
+def numeric_statistics(table: DataFrame, columns: list[str]) -> Statistics:
+    """One row of sums per task reaches the driver, as wide as there are columns."""
+    if not columns:
+        return Statistics([], [], [])
+    summary = Summarizer.metrics("mean", "std").summary(array_to_vector(_numbers(columns)))
+    row = table.select(summary.alias("s")).select(
+        vector_to_array("s.mean").alias("mean"), vector_to_array("s.std").alias("std")
+    ).first()
+    if row is None or row["mean"] is None or len(row["mean"]) != len(columns):
+        return Statistics(list(columns), [0.0] * len(columns), [0.0] * len(columns))
+    return Statistics(list(columns), list(row["mean"]), list(row["std"]))
+
+
+def standardised(statistics: Statistics, centred: bool = False) -> Column:
+    """Array of the columns divided by their deviations, constant ones zero."""
+    values = _numbers(statistics.columns)
+    if centred:
+        values = F.zip_with(values, F.lit(statistics.means), lambda x, m: x - m)
+    return F.zip_with(values, F.lit(statistics.scales), lambda x, s: x * s)
+
+
+@dataclass(frozen=True)
+class Preparation:
+    """Fitted statistics and categories.
+
+    ``index`` has (column, value, index, share, scale): rank, share of the fitted rows, and one
+    over the deviation of the column's indicator. Elements are the numeric columns in table
+    order, then the indicators of each encoded column, all but its last one (with ``keep``, all).
+    """
+
+    numeric: Statistics
+    encoded: list[str]
+    widths: list[int]
+    handle_invalid: str
+    index: DataFrame
+
+    @property
+    def width(self) -> int:
+        return len(self.numeric.columns) + sum(self.widths)
+
+    def offsets(self) -> list[int]:
+        start = len(self.numeric.columns)
+        return [start + sum(self.widths[:k]) for k in range(len(self.widths))]
+
+
+def fit_preparation(
+    table: DataFrame, handle_invalid: str = "skip", drop_constant: bool = False
+) -> Preparation:
+    """Ranks of the categories, and statistics of what is left of the rows.
+
+    Ranks count all rows; means and deviations those that ``skip`` keeps. A categorical column
+    with a single value is left out, ``drop_constant`` leaves out numeric ones as well.
     """
     require_columns(table, CATEGORICAL_COLUMNS)
-    encoded = encodable_columns(table, CATEGORICAL_COLUMNS)
+    if handle_invalid not in categories.HANDLE_INVALID:
+        raise ValueError(f"handle_invalid must be one of {categories.HANDLE_INVALID}")
+    index = categories.category_index(table, CATEGORICAL_COLUMNS)
+    sizes = categories.widths(index)
+    encoded = [c for c in CATEGORICAL_COLUMNS if sizes.get(c, 0) > 1]
+    if single := [c for c in CATEGORICAL_COLUMNS if c not in encoded]:
+        warnings.warn(f"left out of the features, fewer than two values: {single}", stacklevel=2)
+    known = table if handle_invalid == "keep" else table.where(categories.all_known(encoded))
     numeric = [c for c in table.columns if c not in ("id", "label", *CATEGORICAL_COLUMNS)]
     if drop_constant:
-        numeric = varying_columns(table, numeric)
-    stages = []
-    if encoded:
-        stages += [
-            string_indexer(encoded, handle_invalid),
-            OneHotEncoder(
-                inputCols=[f"{c}_index" for c in encoded],
-                outputCols=[f"{c}_vector" for c in encoded],
-            ),
-        ]
-    stages += [
-        VectorAssembler(
-            inputCols=[*numeric, *[f"{c}_vector" for c in encoded]], outputCol="features"
-        ),
-        StandardScaler(withMean=False, inputCol="features", outputCol="scaled_features"),
-    ]
-    return Pipeline(stages=stages)
+        numeric = varying_columns(known, numeric)
+    rows = known.count()
+    kept = categories.value_counts(known, encoded) if encoded else index.limit(0).drop("index")
+    share = F.coalesce("kept", F.lit(0)) / F.lit(float(max(rows, 1)))
+    variance = F.col("share") * (1 - F.col("share")) * F.lit(rows / max(rows - 1, 1))
+    shares = (
+        index.where(F.col("column").isin(encoded))
+        .join(kept.withColumnRenamed("count", "kept"), ["column", "value"], "left")
+        .select("column", "value", "index", share.alias("share"))
+    )
+    scaled = shares.select("*", F.when(variance > 0, 1 / F.sqrt(variance)).otherwise(F.lit(0.0)).alias("scale"))
+    last = 0 if handle_invalid == "keep" else 1
+    return Preparation(
+        numeric_statistics(known, numeric),
+        encoded,
+        [sizes[c] - last for c in encoded],
+        handle_invalid,
+        materialise(scaled),
+    )
 
 
-def fit_preparation(table: DataFrame, **options) -> PipelineModel:
-    return preparation_pipeline(table, **options).fit(table)
+def _indicators(absent: list[float], rank: Column, scale: Column) -> Column:
+    return F.transform(F.lit(absent), lambda x, i: F.when(i == rank, x + scale).otherwise(x))
 
 
-def prepared(model: PipelineModel, table: DataFrame, centred: bool = False) -> DataFrame:
-    """(id, label, scaled_features) of a feature table; ``centred`` subtracts the fitted means,
-    which makes every vector dense."""
-    stages = list(model.stages)
-    if centred:
-        stages[-1] = stages[-1].copy({stages[-1].withMean: True})
-    for stage in stages:
-        table = stage.transform(table)
-    return table.select("id", "label", "scaled_features")
+def _dense(model: Preparation) -> Column:
+    """Centred elements: all indicators at their absent value, but for the row's own."""
+    parts = [standardised(model.numeric, True)] if model.numeric.columns else []
+    for column, width in zip(model.encoded, model.widths):
+        own = model.index.where((F.col("column") == column) & (F.col("index") < width)).orderBy("index")
+        # As wide as the vectors themselves.
+        absent = [-r["share"] * r["scale"] for r in own.select("share", "scale").collect()]
+        parts.append(_indicators(absent, F.col(f"{column}_index"), F.col(f"{column}_scale")))
+    return array_to_vector(F.concat(*parts))
+
+
+def _sparse(model: Preparation) -> Column:
+    parts = []
+    if model.numeric.columns:
+        numbers = standardised(model.numeric)
+        parts.append(
+            F.transform(numbers, lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x")))
+        )
+    if model.encoded:
+        entries = [
+            categories.one_hot_entry(F.col(f"{c}_index"), width, F.col(f"{c}_scale"), offset)
+            for c, width, offset in zip(model.encoded, model.widths, model.offsets())
+        ]
+        parts.append(F.array(*entries))
+    return categories.sparse_vector(F.lit(model.width), F.concat(*parts))
+
+
+def prepared(model: Preparation, table: DataFrame, centred: bool = False) -> DataFrame:
+    """(id, label, scaled_features) of a feature table.
+
+    Vectors are divided by the deviations. Clusters and squared Euclidean distances are the same
+    about any origin, and vectors that are not centred stay as sparse as their one-hot part;
+    ``centred`` subtracts the fitted means, which makes every vector dense.
+    """
+    require_columns(table, [*model.numeric.columns, *model.encoded])
+    table = categories.with_category_index(
+        table, model.index, model.encoded, model.handle_invalid, also=["scale"]
+    )
+    vector = _dense(model) if centred else _sparse(model)
+    return table.select("id", "label", vector.alias("scaled_features"))
 
 
 def prepare(table: DataFrame, centred: bool = False, **options) -> DataFrame:
@@ -104,8 +194,8 @@ def prepare(table: DataFrame, centred: bool = False, **options) -> DataFrame:
 
 def prepare_sets(
     train: DataFrame, test: DataFrame, refit: bool = False, centred: bool = False, **options
-) -> tuple[DataFrame, DataFrame, PipelineModel]:
-    """Prepared training and test set, and the model fitted on the training set.
+) -> tuple[DataFrame, DataFrame, Preparation]:
+    """Prepared training and test set, and what was fitted on the training set.
 
     With ``refit`` the test set is fitted on its own, as when the two are prepared in two
     independent runs; each is then centred about its own means, as the two have no common origin.
@@ -116,14 +206,9 @@ def prepare_sets(
     if not refit:
         return prepared(model, train, centred), prepared(model, test, centred), model
     own = fit_preparation(test, **options)
-    widths = [_width(m) for m in (model, own)]
-    if widths[0] != widths[1]:
+    if model.width != own.width:
         raise ValueError(
-            f"training vectors have {widths[0]} elements, test vectors {widths[1]}: "
+            f"training vectors have {model.width} elements, test vectors {own.width}: "
             "the sets have different categories, prepare them with refit=False"
         )
     return prepared(model, train, centred), prepared(own, test, centred), model
-
-
-def _width(model: PipelineModel) -> int:
-    return model.stages[-1].mean.size

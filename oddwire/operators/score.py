@@ -5,19 +5,24 @@ Every report is one aggregation over the scored table, not one job per threshold
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddwire.schema import ANOMALY
+from oddwire.session import materialise
 
-#: Centres of a block that is compared with every row at once.
-CENTRES_PER_BLOCK = 256
+#: Centres of neighbouring norm that are ruled out together.
+CENTRES_PER_BLOCK = 64
+#: Numbers of the centres that one pass over the rows carries along.
+PASS_NUMBERS = 500_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -81,41 +86,99 @@ def with_own_centre_distance(
     return placed.withColumn("distance", distance).drop("_centre").select(*table.columns, "distance")
 
 
-def _centre_blocks(centres: DataFrame, cluster: str) -> DataFrame:
-    """Centres in arrays of about ``CENTRES_PER_BLOCK``, so that none grows with their number."""
-    blocks = max(1, -(-centres.count() // CENTRES_PER_BLOCK))
-    block = F.pmod(F.xxhash64(cluster), F.lit(blocks))
-    return centres.groupBy(block.alias("_block")).agg(
-        F.collect_list(F.struct(F.col(cluster).alias("cluster"), "centre")).alias("_centres")
-    )
+def _centre_blocks(centres: DataFrame, cluster: str) -> Iterator[list[dict]]:
+    """The centres in blocks of rising norm, a pass over the rows each of at most
+    ``PASS_NUMBERS`` numbers. Centres are read from a written table, one block at a time."""
+    norm = F.sqrt(F.aggregate("centre", F.lit(0.0), lambda t, x: t + x * x))
+    named = centres.select(F.col(cluster).alias("cluster"), "centre", norm.alias("norm"))
+    stored = materialise(named.where("centre IS NOT NULL"))
+    passes: list[list[dict]] = [[]]
+    held, block = 0, []
+    for row in stored.orderBy("norm", "cluster").toLocalIterator():
+        block.append(row.asDict())
+        held += len(row["centre"]) + 1
+        if len(block) == CENTRES_PER_BLOCK or held >= PASS_NUMBERS:
+            passes[-1].append(_block(block))
+            block = []
+        if held >= PASS_NUMBERS:
+            yield passes.pop()
+            passes.append([])
+            held = 0
+    if block:
+        passes[-1].append(_block(block))
+    if passes[-1]:
+        yield passes[-1]
+
+
+def _block(centres: list[dict]) -> dict:
+    return {"low": centres[0]["norm"], "high": centres[-1]["norm"], "centres": centres}
+
+
+def _nearer(best: Column, point: Column, norm: Column, blocks: Column) -> Column:
+    """The best of so far and a pass of blocks; what the norms rule out is not looked at.
+
+    ``(|x| - |c|)^2`` is never above the distance, less a little for rounding.
+    """
+
+    def bound(low: Column, high: Column) -> Column:
+        gap = F.greatest(low - norm, norm - high, F.lit(0.0))
+        return gap * gap * (1 - 1e-9) - 1e-9 * norm * norm
+
+    def over_centres(best: Column, centre: Column) -> Column:
+        found = F.struct(
+            squared_distance(point, centre["centre"]).alias("distance"), centre["cluster"].alias("cluster")
+        )
+        ruled_out = bound(centre["norm"], centre["norm"]) > best["distance"]
+        return F.when(ruled_out, best).otherwise(F.least(best, found))
+
+    def over_blocks(best: Column, block: Column) -> Column:
+        ruled_out = bound(block["low"], block["high"]) > best["distance"]
+        return F.when(ruled_out, best).otherwise(F.aggregate(block["centres"], best, over_centres))
+
+    return F.aggregate(blocks, best, over_blocks)
 
 
 def with_nearest_centre(
     table: DataFrame, centres: DataFrame, features: str, cluster: str
 ) -> DataFrame:
     """Add ``prediction`` and ``distance`` of the nearest centre, the smaller cluster number
-    on a tie.
+    on a tie; both null for a null vector and without centres.
 
-    Every row is compared with every block of centres; the best of each block goes into a
-    minimum per row, taken before the shuffle where a task sees several blocks.
+    Rows keep the best centre so far while blocks of centres go by, as constants of the plan: no
+    join, and no vector is shuffled. More centres than a pass holds are further passes, with
+    the rows written in between.
     """
-    point = F.col(features).cast("array<double>")
-    candidates = F.transform(
-        "_centres",
-        lambda c: F.struct(
-            squared_distance(point, c["centre"]).alias("distance"), c["cluster"].alias("cluster")
-        ),
+    kind = centres.schema[cluster].dataType
+    best = T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("cluster", kind)])
+    centre = T.StructType(
+        [
+            T.StructField("cluster", kind),
+            T.StructField("centre", T.ArrayType(T.DoubleType())),
+            T.StructField("norm", T.DoubleType()),
+        ]
     )
-    blocks = _centre_blocks(centres, cluster)
-    keyed = table.withColumn("_row", F.monotonically_increasing_id())
-    each = keyed.join(blocks, how="cross").withColumn("_best", F.array_min(candidates))
-    nearest = each.groupBy("_row").agg(
-        F.min("_best").alias("_nearest"), *[F.first(c).alias(c) for c in table.columns]
+    block = T.StructType(
+        [
+            T.StructField("low", T.DoubleType()),
+            T.StructField("high", T.DoubleType()),
+            T.StructField("centres", T.ArrayType(centre)),
+        ]
     )
-    return nearest.select(
+    far = F.struct(F.lit(math.inf).alias("distance"), F.lit(None).cast(kind).alias("cluster"))
+    point = F.col(features).cast("array<double>")
+    norm = F.sqrt(F.aggregate("_point", F.lit(0.0), lambda t, x: t + x * x))
+    rows = table.withColumn("_point", point).withColumns({"_norm": norm, "_best": far.cast(best)})
+    for number, blocks in enumerate(_centre_blocks(centres, cluster)):
+        if number:
+            rows = materialise(rows)
+        constant = F.from_json(F.lit(json.dumps(blocks)), T.ArrayType(block))
+        nearer = _nearer(F.col("_best"), F.col("_point"), F.col("_norm"), constant)
+        rows = rows.withColumn("_best", F.when(F.col("_point").isNotNull(), nearer).otherwise(F.col("_best")))
+    found = F.col("_best.distance") < math.inf
+    return rows.select(
         *table.columns,
-        F.col("_nearest.cluster").alias("prediction"),
-        F.col("_nearest.distance").alias("distance"),
+        F.when(found, F.col("_best.cluster")).alias("prediction"),
+        F.when(found, F.col("_best.distance")).alias("distance"),
     )
 
 

@@ -53,8 +53,8 @@ def load_sets(
     tables.write_features_csv(train_features, f"{out}/train.csv")
     tables.write_features_csv(test_features, f"{out}/test.csv")
     tables.write_column_names(spark, f"{out}/column_names")
-    train, testing, pipeline = prepare.prepare_sets(train_features, test_features, refit=refit)
-    tables.save_pipeline(pipeline, f"{out}/pipeline")
+    train, testing, preparation = prepare.prepare_sets(train_features, test_features, refit=refit)
+    tables.save_preparation(preparation, f"{out}/preparation")
     return Sets(
         union_sets(*requests), train_features, test_features, materialise(train), materialise(testing)
     )

@@ -1,13 +1,16 @@
 """Feature tables, models and reports: read, write, show.
 
-Every writer is distributed and overwrites its target; a path names a directory of part
-files, as always with Spark.
+Every writer of a table or report is distributed and overwrites its target; a path names a
+directory of part files, as always with Spark. Models are kept in versions: a path holds all
+that were saved to it and loads the last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.tuning import TrainValidationSplitModel
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddwire.operators import cluster, evaluate, score
+from oddwire.operators.prepare import Preparation, Statistics
 from oddwire.schema import FEATURE_COLUMNS, FEATURES
 
 
@@ -49,24 +53,87 @@ def write_parquet(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(path)
 
 
+def _stored(path: str, write: Callable[[str], None]) -> None:
+    """Write a version below a fresh name, then point to it.
+
+    The pointer is a row appended to a small table, so a write that fails leaves the version
+    before it in place, and readers see a whole version at any time.
+    """
+    spark = SparkSession.active()
+    name = f"{path}/{uuid.uuid4().hex}"
+    write(name)
+    number = max((r["number"] for r in _versions(spark, path)), default=0) + 1
+    pointer = spark.createDataFrame([(number, name)], "number long, version string")
+    pointer.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    try:
+        return spark.read.schema("number long, version string").parquet(f"{path}/pointer").collect()
+    except AnalysisException:
+        return []
+
+
+def current_version(path: str) -> str:
+    """Where the last version that was written whole lies."""
+    versions = _versions(SparkSession.active(), path)
+    if not versions:
+        raise FileNotFoundError(f"nothing was saved to {path}")
+    return max((r["number"], r["version"]) for r in versions)[1]
+
+
 def save_model(model: KMeansModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    _stored(path, lambda name: model.write().save(name))
 
 
 def load_model(path: str) -> KMeansModel:
-    return KMeansModel.load(path)
+    return KMeansModel.load(current_version(path))
 
 
 def save_pipeline(pipeline: Pipeline | PipelineModel, path: str) -> None:
-    pipeline.write().overwrite().save(path)
+    _stored(path, lambda name: pipeline.write().save(name))
 
 
 def load_pipeline(path: str) -> Pipeline:
-    return Pipeline.load(path)
+    return Pipeline.load(current_version(path))
 
 
 def load_pipeline_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    return PipelineModel.load(current_version(path))
+
+
+_PREPARATION = (
+    "columns array<string>, means array<double>, deviations array<double>, "
+    "encoded array<string>, widths array<long>, handle_invalid string"
+)
+
+
+def save_preparation(model: Preparation, path: str) -> None:
+    """A row of statistics, and the categories as a table."""
+    spark = SparkSession.active()
+
+    def write(name: str) -> None:
+        model.index.write.parquet(f"{name}/categories")
+        numeric = model.numeric
+        row = (
+            numeric.columns,
+            [float(x) for x in numeric.means],
+            [float(x) for x in numeric.deviations],
+            model.encoded,
+            model.widths,
+            model.handle_invalid,
+        )
+        spark.createDataFrame([row], _PREPARATION).coalesce(1).write.parquet(f"{name}/statistics")
+
+    _stored(path, write)
+
+
+def load_preparation(path: str) -> Preparation:
+    spark, name = SparkSession.active(), current_version(path)
+    row = spark.read.parquet(f"{name}/statistics").first()
+    statistics = Statistics(row["columns"], row["means"], row["deviations"])
+    index = spark.read.parquet(f"{name}/categories")
+    return Preparation(statistics, row["encoded"], row["widths"], row["handle_invalid"], index)
 
 
 def write_tuning_results(spark: SparkSession, model: TrainValidationSplitModel, path: str) -> None:

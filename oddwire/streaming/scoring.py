@@ -6,25 +6,24 @@ stream needs neither state nor watermark.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from oddwire.operators.features import request_features
-from oddwire.operators.prepare import prepared
+from oddwire.operators.prepare import Preparation, prepared
 from oddwire.operators.score import detect, score
 
 
-def score_requests(requests: DataFrame, pipeline: PipelineModel, model: KMeansModel) -> DataFrame:
+def score_requests(requests: DataFrame, preparation: Preparation, model: KMeansModel) -> DataFrame:
     """Scored rows (id, label, prediction, distance) of a batch or streaming request table."""
-    scored = score(model, prepared(pipeline, request_features(requests)))
+    scored = score(model, prepared(preparation, request_features(requests)))
     return scored.select("id", "label", "prediction", "distance")
 
 
 def write_anomalies(
     requests: DataFrame,
-    pipeline: PipelineModel,
+    preparation: Preparation,
     model: KMeansModel,
     threshold: float,
     path: str,
@@ -32,7 +31,7 @@ def write_anomalies(
     **trigger,
 ) -> StreamingQuery:
     """Append the anomalies of a stream of requests to a Parquet table."""
-    writer = detect(score_requests(requests, pipeline, model), threshold).writeStream
+    writer = detect(score_requests(requests, preparation, model), threshold).writeStream
     if trigger:
         writer = writer.trigger(**trigger)
     return (

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddwire.functions import http, text
 from oddwire.operators import (
+    categories,
     cluster,
     connections,
     evaluate,
@@ -252,26 +251,27 @@ def sorted_values(spark, sf_dir):
 
 @query
 def string_index(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    indexer = prepare.string_indexer(["lang", "source"])
-    return indexer.fit(documents).transform(documents)
+    columns = ["lang", "source"]
+    documents = table(spark, sf_dir, "documents").select("doc_id", *columns)
+    index = categories.category_index(documents, columns)
+    indexed = categories.with_category_index(documents, index, columns)
+    return indexed.withColumns({f"{c}_index": F.col(f"{c}_index").cast("double") for c in columns})
 
 
 @query
 def one_hot(spark, sf_dir):
     columns = ["l_returnflag", "l_linestatus"]
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *columns)
-    indexed = prepare.string_indexer(columns).fit(items).transform(items)
-    encoder = OneHotEncoder(
-        inputCols=[f"{c}_index" for c in columns], outputCols=[f"{c}_vector" for c in columns]
-    )
-    encoded = encoder.fit(indexed).transform(indexed)
-    return encoded.select(
+    index = categories.category_index(items, columns)
+    widths = categories.widths(index)
+    indexed = categories.with_category_index(items, index, columns)
+    vectors = {c: categories.one_hot(F.col(f"{c}_index"), widths[c] - 1) for c in columns}
+    return indexed.select(
         "l_orderkey",
         "l_linenumber",
         *[
-            F.concat_ws(",", vector_to_array(f"{c}_vector").cast("array<int>").cast("array<string>")).alias(c)
-            for c in columns
+            F.concat_ws(",", vector_to_array(v).cast("array<int>").cast("array<string>")).alias(c)
+            for c, v in vectors.items()
         ],
     )
 
@@ -280,14 +280,13 @@ def one_hot(spark, sf_dir):
 def standard_scale(spark, sf_dir):
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *columns)
-    assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(items)
-    scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled_features")
-    scaled = scaler.fit(assembled).transform(assembled)
-    values = vector_to_array("scaled_features")
+    statistics = prepare.numeric_statistics(items, columns)
+    values = prepare.standardised(statistics, centred=True)
+    scaled = items.select("l_orderkey", "l_linenumber", values.alias("scaled"))
     return scaled.select(
         "l_orderkey",
         "l_linenumber",
-        *[F.round(values[i], 4).alias(f"scaled_{c[2:]}") for i, c in enumerate(columns)],
+        *[F.round(F.get("scaled", F.lit(i)), 4).alias(f"scaled_{c[2:]}") for i, c in enumerate(columns)],
     )
 
 
@@ -395,10 +394,15 @@ def pr_curve(spark, sf_dir):
 
 @query
 def areas_under_curves(spark, sf_dir):
-    scores = derived.document_scores(spark, sf_dir)
-    roc = evaluate.area_under(evaluate.roc_curve(scores)).withColumn("curve", F.lit("roc"))
-    pr = evaluate.area_under(evaluate.pr_curve(scores)).withColumn("curve", F.lit("pr"))
-    return rounded(roc.unionByName(pr), 8, "area")
+    return rounded(evaluate.areas_under_curves(derived.document_scores(spark, sf_dir)), 8, "area")
+
+
+@query
+def distance_curves(spark, sf_dir):
+    """Distances as scores, nearly all of them different; the first label is the positive class."""
+    scored = derived.embedding_distances(spark, sf_dir)
+    scores = evaluate.score_and_label(scored, "distance", F.col("label") == 0)
+    return rounded(evaluate.areas_under_curves(scores), 7, "area")
 
 
 # Clustering
@@ -410,7 +414,7 @@ def silhouette(spark, sf_dir):
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
         F.col("label").alias("prediction"),
     )
-    value = ClusteringEvaluator(featuresCol="features").evaluate(vectors)
+    value = cluster.silhouette(vectors, "features")
     return spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 

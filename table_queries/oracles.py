@@ -528,6 +528,15 @@ def oracles() -> dict[str, str]:
         "areas_under_curves": f"""WITH {SCORES}, {ROC}, {PR}
             SELECT round(({_area('roc')}), 8) AS area, 'roc' AS curve
             UNION ALL SELECT round(({_area('pr_curve')}), 8), 'pr'""",
+        "distance_curves": f"""WITH {DISTANCES},
+            s AS (SELECT distance AS d, (count(*) FILTER (WHERE label = 0))::DOUBLE AS pos,
+                    (count(*) FILTER (WHERE label <> 0))::DOUBLE AS neg FROM distances GROUP BY d),
+            c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n
+                FROM s WINDOW w AS (ORDER BY d DESC)),
+            r AS (SELECT *, tp / p AS y, fp / n AS x, tp / (tp + fp) AS pr, (tp - pos) / p AS y0, (fp - neg) / n AS x0,
+                CASE WHEN tp + fp = pos + neg THEN tp / (tp + fp) ELSE (tp - pos) / (tp + fp - pos - neg) END AS pr0 FROM c)
+            SELECT 'roc' AS curve, round(sum((x - x0) * (y + y0) / 2), 7) AS area FROM r
+            UNION ALL SELECT 'pr', round(sum((y - y0) * (pr + pr0) / 2), 7) FROM r""",
         "silhouette": """WITH points AS (
                 SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
             sizes AS (SELECT label, count(*)::DOUBLE AS n FROM embeddings GROUP BY label),

@@ -3,12 +3,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.evaluation import BinaryClassificationMetrics
 from pyspark.sql import functions as F
 
-from oddwire.operators import cluster, evaluate, prepare, score
+from oddwire.operators import categories, cluster, evaluate, prepare, score
 from oddwire.sources import tables
 
 
@@ -55,7 +57,7 @@ def test_preparation(feature_table):
 
 def test_preparation_needs_its_columns(spark, feature_table):
     with pytest.raises(ValueError, match="content_type"):
-        prepare.preparation_pipeline(feature_table.drop("content_type"))
+        prepare.fit_preparation(feature_table.drop("content_type"))
 
 
 def test_fit_on_train_and_refit(feature_table):
@@ -131,14 +133,34 @@ def test_centres_by_label(spark):
     assert [r["prediction"] for r in nearest] == [0, 0, 1, 0]
 
 
-def test_centres_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(score, "CENTRES_PER_BLOCK", 2)
-    rows = [(k, k, [float(k * k), 0.0]) for k in range(9)] + [(9, 3, None)]
-    frame = spark.createDataFrame(rows, "id int, label int, v array<double>")
-    centres = spark.createDataFrame([(k, [float(k * k), 0.0]) for k in range(9)], "label int, centre array<double>")
-    nearest = score.with_nearest_centre(frame.where("v IS NOT NULL"), centres, "v", "label")
-    assert nearest.columns == ["id", "label", "v", "prediction", "distance"]
-    assert all((r["prediction"], r["distance"]) == (r["label"], 0.0) for r in nearest.collect())
+@pytest.mark.parametrize("per_block, numbers", [(64, 500_000), (2, 500_000), (2, 7), (1, 1)])
+def test_centres_in_several_blocks(spark, monkeypatch, per_block, numbers):
+    monkeypatch.setattr(score, "CENTRES_PER_BLOCK", per_block)
+    monkeypatch.setattr(score, "PASS_NUMBERS", numbers)
+    draw = np.random.default_rng(6)
+    centres = draw.normal(0, 3, (9, 2)).round(1)
+    centres[4] = centres[2]
+    points = np.concatenate([draw.normal(0, 3, (40, 2)), centres, [[0.0, 0.0]]])
+    rows = [(k, [float(x) for x in p]) for k, p in enumerate(points)] + [(99, None)]
+    frame = spark.createDataFrame(rows, "id int, v array<double>")
+    table = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "label int, centre array<double>")
+    nearest = score.with_nearest_centre(frame, table, "v", "label")
+    assert nearest.columns == ["id", "v", "prediction", "distance"]
+    found = {r["id"]: (r["prediction"], r["distance"]) for r in nearest.collect()}
+    assert found.pop(99) == (None, None)
+    for k, p in enumerate(points):
+        squared = ((centres - p) ** 2).sum(axis=1)
+        assert found[k] == (squared.argmin(), pytest.approx(squared.min()))
+
+
+def test_vectors_are_not_shuffled_to_their_centres(spark, capsys):
+    frame = spark.createDataFrame([(0, [1.0, 2.0])], "id int, v array<double>")
+    centres = spark.createDataFrame([(0, [1.0, 2.0])], "label int, centre array<double>")
+    score.with_nearest_centre(frame, centres, "v", "label").explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Join" not in plan and "CartesianProduct" not in plan
+    empty = score.with_nearest_centre(frame, centres.limit(0), "v", "label").first()
+    assert (empty["prediction"], empty["distance"]) == (None, None)
 
 
 def test_distances_do_not_need_centred_vectors(feature_table):
@@ -153,7 +175,7 @@ def test_distances_do_not_need_centred_vectors(feature_table):
         rows = score.score(fitted, vectors).orderBy("id").collect()
         found.append(sorted(r["distance"] for r in rows))
     np.testing.assert_allclose(found[0], found[1], atol=1e-6)
-    assert fewer.stages[-1].std.size == model.stages[-1].std.size - 1
+    assert fewer.width == model.width - 1
 
 
 def test_grid_search(spark, blobs, tmp_path):
@@ -196,18 +218,116 @@ def test_model_and_pipeline_files(spark, blobs, model, feature_table, tmp_path):
     loaded = tables.load_model(str(tmp_path / "model"))
     assert isinstance(loaded, KMeansModel)
     np.testing.assert_array_equal(loaded.clusterCenters(), model.clusterCenters())
-    with pytest.warns(UserWarning):
-        pipeline = prepare.preparation_pipeline(feature_table)
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v")])
     tables.save_pipeline(pipeline, str(tmp_path / "pipeline"))
-    assert len(tables.load_pipeline(str(tmp_path / "pipeline")).getStages()) == len(pipeline.getStages())
+    assert len(tables.load_pipeline(str(tmp_path / "pipeline")).getStages()) == 1
     fitted = pipeline.fit(feature_table)
     tables.save_pipeline(fitted, str(tmp_path / "fitted"))
-    again = prepare.prepared(tables.load_pipeline_model(str(tmp_path / "fitted")), feature_table)
-    assert again.collect() == prepare.prepared(fitted, feature_table).collect()
+    stored = tables.load_pipeline_model(str(tmp_path / "fitted"))
+    assert stored.transform(feature_table).collect() == fitted.transform(feature_table).collect()
+    with pytest.warns(UserWarning):
+        preparation = prepare.fit_preparation(feature_table)
+    tables.save_preparation(preparation, str(tmp_path / "preparation"))
+    again = prepare.prepared(tables.load_preparation(str(tmp_path / "preparation")), feature_table)
+    before = prepare.prepared(preparation, feature_table)
+    assert sorted(again.collect()) == sorted(before.collect())
     tables.write_parquet(again, str(tmp_path / "prepared"))
     assert spark.read.parquet(str(tmp_path / "prepared")).count() == 60
 
 
+def test_failed_save_keeps_the_version_before(blobs, model, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    with pytest.raises(FileNotFoundError):
+        tables.load_model(path)
+    tables.save_model(model, path)
+    first = tables.current_version(path)
+
+    class Broken:
+        def write(self):
+            return self
+
+        def save(self, name):
+            model.write().save(name)
+            raise OSError("lost")
+
+    with pytest.raises(OSError):
+        tables.save_model(Broken(), path)
+    assert tables.current_version(path) == first
+    np.testing.assert_array_equal(tables.load_model(path).clusterCenters(), model.clusterCenters())
+    other = cluster.fit_kmeans(blobs, k=2, seed=1)
+    tables.save_model(other, path)
+    assert len(tables.load_model(path).clusterCenters()) == 2
+
+
+def mllib_vectors(table, categorical, numeric, centred, invalid="skip"):
+    """The same preparation with the stages of MLlib, which list the categories on the driver."""
+    stages = [
+        StringIndexer(inputCols=categorical, outputCols=[f"{c}_i" for c in categorical], handleInvalid=invalid),
+        OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_v" for c in categorical]),
+        VectorAssembler(inputCols=[*numeric, *[f"{c}_v" for c in categorical]], outputCol="f"),
+        StandardScaler(withMean=centred, inputCol="f", outputCol="scaled"),
+    ]
+    return Pipeline(stages=stages).fit(table)
+
+
+@pytest.mark.parametrize("centred", [False, True])
+@pytest.mark.parametrize("invalid", ["skip", "keep"])
+def test_vectors_like_the_stages_of_mllib(feature_table, centred, invalid):
+    train, test = feature_table.where("id % 3 <> 1"), feature_table.where("id % 2 = 0")
+    test = test.unionByName(test.withColumn("method", F.lit("TRACE")).withColumn("id", F.col("id") + 100))
+    reference = mllib_vectors(train, ["method", "file_extension"], ["a", "b", "c"], centred, invalid)
+    wanted = {r["id"]: r["scaled"].toArray() for r in reference.transform(test).collect()}
+    with pytest.warns(UserWarning):
+        own = prepare.fit_preparation(train, handle_invalid=invalid)
+    found = {r["id"]: r["scaled_features"].toArray() for r in prepare.prepared(own, test, centred).collect()}
+    assert found.keys() == wanted.keys() and len(found) > 20
+    for k in found:
+        if invalid == "keep":
+            # MLlib gives unknown values an element of their own; here they have none.
+            assert found[k].size == wanted[k].size == own.width
+        np.testing.assert_allclose(found[k], wanted[k], atol=1e-9)
+
+
+def test_unknown_categories_end_the_job_on_demand(feature_table):
+    with pytest.warns(UserWarning):
+        model = prepare.fit_preparation(feature_table, handle_invalid="error")
+    with pytest.raises(Exception, match="unknown category of file_extension: null"):
+        prepare.prepared(model, feature_table).collect()
+    with pytest.raises(ValueError, match="handle_invalid"):
+        prepare.fit_preparation(feature_table, handle_invalid="drop")
+
+
+def test_numbers_must_be_there(feature_table):
+    broken = feature_table.withColumn("a", F.when(F.col("id") != 7, F.col("a")))
+    with pytest.warns(UserWarning), pytest.raises(Exception, match="must not be null or NaN"):
+        prepare.fit_preparation(broken)
+
+
+def test_a_million_categories(spark):
+    """Ranks, rows and vectors without a list of the values anywhere."""
+    values = spark.range(1_200_000).select(
+        F.col("id"), F.when(F.col("id") < 200_000, "hot").otherwise(F.concat(F.lit("v"), "id")).alias("name")
+    )
+    index = categories.category_index(values, ["name"])
+    assert categories.widths(index) == {"name": 1_000_001}
+    order = index.orderBy(F.desc("count"), "value").limit(3).collect()
+    assert [(r["index"], r["value"], r["count"]) for r in order] == [
+        (0, "hot", 200_000), (1, "v1000000", 1), (2, "v1000001", 1)
+    ]
+    bounds = index.agg(F.min("index"), F.max("index"), F.count_distinct("index")).first()
+    assert tuple(bounds) == (0, 1_000_000, 1_000_001)
+    rows = categories.with_category_index(values, index, ["name"])
+    vectors = rows.select("id", "name_index", categories.one_hot(F.col("name_index"), 1_000_000).alias("v"))
+    assert vectors.schema["v"].metadata == {}
+    assert rows.count() == 1_200_000
+    few = vectors.where("id IN (5, 200000, 1199999)").orderBy("id").collect()
+    assert [r["v"].size for r in few] == [1_000_000] * 3
+    assert few[0]["v"].indices.tolist() == [0]
+    # The value of the last rank has no element.
+    ranks = {r["id"]: r["name_index"] for r in few}
+    assert all(r["v"].indices.tolist() == [i for i in [ranks[r["id"]]] if i < 1_000_000] for r in few)
+
+
 def scores(spark, pairs):
     return spark.createDataFrame([(float(s), float(l)) for s, l in pairs], "score double, label double")
 
@@ -249,10 +369,43 @@ def test_areas_match_the_metrics_object(spark):
     pairs = [(draw.randrange(9), draw.randrange(2)) for _ in range(100)]
     table = scores(spark, pairs)
     metrics = BinaryClassificationMetrics(table.rdd.map(lambda r: (r["score"], r["label"])))
-    roc = evaluate.area_under(evaluate.roc_curve(table)).first()[0]
-    pr = evaluate.area_under(evaluate.pr_curve(table)).first()[0]
-    assert roc == pytest.approx(metrics.areaUnderROC)
-    assert pr == pytest.approx(metrics.areaUnderPR)
+    areas = {r["curve"]: r["area"] for r in evaluate.areas_under_curves(table).collect()}
+    assert areas["roc"] == pytest.approx(metrics.areaUnderROC)
+    assert areas["pr"] == pytest.approx(metrics.areaUnderPR)
+
+
+def trapezoids(curve):
+    points = [(r["x"], r["y"]) for r in curve.orderBy("point").collect()]
+    return sum((c - a) * (d + b) / 2 for (a, b), (c, d) in zip(points, points[1:]))
+
+
+@pytest.mark.parametrize("case", ["continuous", "no positives", "no negatives", "one score", "empty"])
+def test_continuous_scores(spark, case):
+    """As many scores as rows, over several partitions; areas equal those of the curves."""
+    draw = random.Random(8)
+    label = {"no positives": lambda: 0, "no negatives": lambda: 1}.get(case, lambda: draw.randrange(2))
+    pairs = [(0.5 if case == "one score" else draw.random(), label()) for _ in range(300)]
+    table = scores(spark, [] if case == "empty" else pairs)
+    confusion = evaluate.confusion_by_threshold(table).collect()
+    if case == "continuous":
+        assert len(confusion) == 300
+        ordered = sorted(pairs, reverse=True)
+        for r in confusion:
+            above = ordered[: r["point"]]
+            assert (r["tp"], r["fp"]) == (sum(l for _, l in above), sum(1 - l for _, l in above))
+    areas = {r["curve"]: r["area"] for r in evaluate.areas_under_curves(table).collect()}
+    assert areas["roc"] == pytest.approx(trapezoids(evaluate.roc_curve(table)))
+    assert areas["pr"] == pytest.approx(trapezoids(evaluate.pr_curve(table)))
+
+
+def test_no_window_holds_all_scores(spark, capsys):
+    table = scores(spark, [(k / 7, k % 2) for k in range(50)])
+    for frame in (evaluate.areas_under_curves(table), evaluate.roc_curve(table), evaluate.precision_recall(table)):
+        frame.explain()
+        plan = capsys.readouterr().out
+        assert "Window" in plan and "[part#" in plan
+        windows = [line for line in plan.splitlines() if "Window " in line]
+        assert all("[part#" in line for line in windows)
 
 
 def test_evaluation_files(spark, blobs, model, tmp_path, capsys):

@@ -65,16 +65,16 @@ def test_evaluation_and_scoring_runs(spark, files, tmp_path):
 def test_stream_scores_like_a_batch(spark, files, tmp_path):
     requests = session.materialise(read_requests(spark, files["anomalous"], label="anomaly"))
     features = session.materialise(request_features(requests))
-    pipeline = prepare.fit_preparation(features)
-    model = cluster.fit_kmeans(prepare.prepared(pipeline, features), k=3, seed=1)
+    preparation = prepare.fit_preparation(features)
+    model = cluster.fit_kmeans(prepare.prepared(preparation, features), k=3, seed=1)
     source = str(tmp_path / "requests")
     requests.select(REQUESTS.fieldNames()).write.parquet(source)
     stream = spark.readStream.schema(REQUESTS).parquet(source)
     query = write_anomalies(
-        stream, pipeline, model, 0.5, str(tmp_path / "anomalies"), str(tmp_path / "state"), availableNow=True
+        stream, preparation, model, 0.5, str(tmp_path / "anomalies"), str(tmp_path / "state"), availableNow=True
     )
     query.awaitTermination(120)
-    batch = score_requests(requests, pipeline, model).where("distance >= 0.5")
+    batch = score_requests(requests, preparation, model).where("distance >= 0.5")
     streamed = spark.read.parquet(str(tmp_path / "anomalies"))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
