@@ -88,23 +88,34 @@ def with_category_index(
     return table
 
 
-_VECTOR = T.StructType([T.StructField("vector", VectorUDT())])
-
-
-def sparse_vector(size: Column, entries: Column) -> Column:
-    """Vector of an array of structs (i, x) sorted by i; entries of zero are left out.
-
-    SQL has no other way to a sparse vector than the layout of its type. Its metadata holds no
-    attributes, however wide it is.
-    """
+def sparse_layout(size: Column, entries: Column) -> Column:
+    """What a sparse vector is made of, from an array of structs (i, x) sorted by i without its
+    zeros; see ``as_vectors``."""
     used = F.filter(entries, lambda e: e["x"] != 0)
-    layout = F.struct(
+    return F.struct(
         F.lit(0).cast("byte").alias("type"),
         size.cast("int").alias("size"),
         F.transform(used, lambda e: e["i"].cast("int")).alias("indices"),
         F.transform(used, lambda e: e["x"]).alias("values"),
     )
-    return F.from_json(F.to_json(F.struct(layout.alias("vector"))), _VECTOR)["vector"]
+
+
+def as_vectors(table: DataFrame, *names: str) -> DataFrame:
+    """The table with its columns of layouts as vectors, without attributes in their metadata.
+
+    SQL makes no sparse vectors, but their type is stored as its layout: a table is written and
+    read back with the type. A stream, which cannot be written here, takes the longer way over
+    the text form of the layout.
+    """
+    if table.isStreaming:
+        for name in names:
+            kind = T.StructType([T.StructField("v", VectorUDT())])
+            text = F.to_json(F.struct(F.col(name).alias("v")))
+            table = table.withColumn(name, F.from_json(text, kind)["v"])
+        return table
+    stored = materialise(table)
+    fields = [T.StructField(f.name, VectorUDT()) if f.name in names else f for f in table.schema]
+    return table.sparkSession.read.schema(T.StructType(fields)).parquet(*stored.inputFiles())
 
 
 def one_hot_entry(index: Column, width: int, value: Column, offset: int = 0) -> Column:
@@ -117,8 +128,8 @@ def one_hot_entry(index: Column, width: int, value: Column, offset: int = 0) ->
 
 
 def one_hot(index: Column, width: int) -> Column:
-    """Indicator vector; the category of rank ``width`` and nulls have none."""
-    return sparse_vector(F.lit(width), F.array(one_hot_entry(index, width, F.lit(1.0))))
+    """Layout of an indicator vector; the category of rank ``width`` and nulls have none."""
+    return sparse_layout(F.lit(width), F.array(one_hot_entry(index, width, F.lit(1.0))))
 
 
 def all_known(columns: Sequence[str]) -> Column:

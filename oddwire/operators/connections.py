@@ -1,9 +1,10 @@
 """Network connection records: quarantine, attack classes and traffic features.
 
 A host or a service may take a large part of all connections, so no window spans a whole
-host or service. Time windows are cut into time slices, windows of the last n connections
-into blocks of ranks; rows near a border are copied into the next slice or block as context
-and dropped again afterwards, so every frame is complete.
+host or service. Time windows are running sums of rows that enter and leave, cut into time
+slices that begin with what the earlier ones left over. Windows of the last n connections are
+cut into blocks of ranks; rows near a border are copied into the next block as context and
+dropped again afterwards, so every frame is complete.
 
 A frame may hold very many rows of a hot service. Its sums are therefore differences of two
 running sums, each of which sees every row once, rather than a sliding frame that is added
@@ -26,22 +27,24 @@ def quarantine_connections(lines: DataFrame) -> DataFrame:
     ``number`` for a continuous field that is none; that field is null, and all fields are
     where the count is wrong. An empty field is null and no error.
     """
+    names = CONNECTIONS.fieldNames()
+    symbolic = [at for at, f in enumerate(CONNECTIONS) if not isinstance(f.dataType, T.DoubleType)]
+    # Every field is read once, in arrays; generated code would be too long to be compiled.
     parts = lines.select("value", F.split("value", ",").alias("_parts"))
-    complete = F.size("_parts") == len(CONNECTIONS)
-
-    def field(at: int, kind: T.DataType) -> Column:
-        part = F.nullif(F.get("_parts", F.lit(at)), F.lit(""))
-        return part.try_cast("double") if isinstance(kind, T.DoubleType) else part
-
-    fields = [field(at, f.dataType) for at, f in enumerate(CONNECTIONS)]
-    broken = F.lit(False)
-    for at, f in enumerate(CONNECTIONS):
-        if isinstance(f.dataType, T.DoubleType):
-            broken |= (F.get("_parts", F.lit(at)) != "") & fields[at].isNull()
-    return parts.select(
-        *[F.when(complete, c).alias(f.name) for c, f in zip(fields, CONNECTIONS)],
+    whole = F.when(F.size("_parts") == len(names), F.col("_parts"))
+    read = parts.select("value", whole.alias("_parts")).select(
+        "*", F.transform("_parts", lambda part: part.try_cast("double")).alias("_numbers")
+    )
+    unread = F.zip_with("_parts", "_numbers", lambda part, x: x.isNull() & (part != ""))
+    broken = F.size(F.filter(unread, lambda bad, at: bad & ~at.isin(symbolic))) > 0
+    fields = [
+        F.nullif(F.get("_parts", F.lit(at)), F.lit("")) if at in symbolic else F.get("_numbers", F.lit(at))
+        for at in range(len(names))
+    ]
+    return read.select(
+        *[field.alias(name) for field, name in zip(fields, names)],
         "value",
-        F.when(~complete, "field_count").when(broken, "number").alias("_corrupt_reason"),
+        F.when(F.col("_parts").isNull(), "field_count").when(broken, "number").alias("_corrupt_reason"),
     )
 
 
@@ -75,6 +78,65 @@ def _rate(part: Column, total: Column) -> Column:
     return part.cast("double") / total
 
 
+def _running(
+    rows: DataFrame, key: str, measures: dict[str, tuple[list[str], Column]], span: int, width: int
+) -> DataFrame:
+    """Add sums over the rows of the same keys whose ``_us`` is at most ``span`` less.
+
+    ``measures`` names each sum, the keys beside ``key`` that it is kept for, and what is summed.
+    A row enters at its time and leaves just after its time plus the span, so what is inside is
+    a running sum of both. Sums run inside time slices of any width, by (key, slice); each slice
+    begins with a row of what the slices before it have left over.
+    """
+    names = list(measures)
+    own = list(dict.fromkeys(k for keys, _ in measures.values() for k in keys))
+    none = {n: F.lit(0).cast("long") for n in names}
+    known = rows.where("_us IS NOT NULL")
+
+    def events(table: DataFrame, sign: int, delay: int, *kept: str) -> DataFrame:
+        time = F.col("_us") + delay
+        return table.select(
+            *kept,
+            key,
+            *own,
+            time.alias("_time"),
+            F.floor(time / width).alias("_slice"),
+            *[(sign * c).cast("long").alias(n) for n, (_, c) in measures.items()],
+        )
+
+    inside = events(rows, 1, 0, F.struct(*[F.col(c) for c in rows.columns]).alias("_row"))
+    moves = events(known, 1, 0).unionByName(events(known, -1, span + 1))
+    stream = inside.unionByName(events(known, -1, span + 1), allowMissingColumns=True)
+    for keys in {tuple(keys) for keys, _ in measures.values()}:
+        sums = [n for n, (k, _) in measures.items() if tuple(k) == keys]
+        counts = moves.groupBy(key, *keys, "_slice").agg(*[F.sum(n).alias(n) for n in sums])
+        earlier = (
+            Window.partitionBy(key, *keys)
+            .orderBy("_slice")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        carried = counts.select(
+            key,
+            *keys,
+            *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in own if k not in keys],
+            (F.col("_slice") * width).alias("_time"),
+            "_slice",
+            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) if n in sums else none[n].alias(n) for n in names],
+        )
+        stream = stream.unionByName(carried, allowMissingColumns=True)
+
+    def total(name: str) -> Column:
+        until_here = (
+            Window.partitionBy(key, "_slice", *measures[name][0])
+            .orderBy("_time")
+            .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return F.sum(name).over(until_here).alias(name)
+
+    summed = stream.select("_row", *map(total, names)).where("_row IS NOT NULL")
+    return summed.select("_row.*", *names)
+
+
 def recent_traffic(
     connections: DataFrame,
     host: str,
@@ -89,41 +151,40 @@ def recent_traffic(
 
     Adds count, serror_rate, rerror_rate, same_srv_rate, diff_srv_rate (connections to the
     same host) and srv_count, srv_serror_rate, srv_rerror_rate, srv_diff_host_rate
-    (connections to the same service). Two shuffles, by (host, slice) and (service, slice).
+    (connections to the same service). Two shuffles, by (host, slice) and (service, slice);
+    slices may be shorter than the window. Rows without a time are counted among themselves.
     """
-    if slice_seconds < seconds:
-        raise ValueError("a time slice must not be shorter than the window")
     width, span = slice_seconds * 1_000_000, seconds * 1_000_000
     timed = connections.select(
         "*",
         _micros(connections, ts).alias("_us"),
-        serror.cast("int").alias("_serror"),
-        rerror.cast("int").alias("_rerror"),
-    ).withColumn("_slice", F.floor(F.col("_us") / width))
-    own = F.struct(F.col("_slice").alias("_slice"), F.lit(True).alias("_subject"))
-    ahead = F.struct((F.col("_slice") + 1).alias("_slice"), F.lit(False).alias("_subject"))
-    near_end = (F.col("_slice") + 1) * width - F.col("_us") <= span
-    copies = F.when(near_end, F.array(own, ahead)).otherwise(F.array(own))
-    sliced = timed.withColumn("_copies", copies).drop("_slice").select("*", F.inline("_copies")).drop("_copies")
-
-    def past(value: str | Column, *keys: str) -> Column:
-        column = F.col(value) if isinstance(value, str) else value
-        return _trailing(column, [*keys, "_slice"], "_us", span)
-
+        F.coalesce(serror, F.lit(False)).cast("int").alias("_serror"),
+        F.coalesce(rerror, F.lit(False)).cast("int").alias("_rerror"),
+    )
     one = F.lit(1)
-    by_host = sliced.select(
-        "*",
-        past(one, host).alias("count"),
-        past("_serror", host).alias("_host_serror"),
-        past("_rerror", host).alias("_host_rerror"),
-        past(one, host, service).alias("_both"),
+    by_host = _running(
+        timed,
+        host,
+        {
+            "count": ([], one),
+            "_host_serror": ([], F.col("_serror")),
+            "_host_rerror": ([], F.col("_rerror")),
+            "_both": ([service], one),
+        },
+        span,
+        width,
+    )
+    by_service = _running(
+        by_host,
+        service,
+        {
+            "srv_count": ([], one),
+            "_srv_serror": ([], F.col("_serror")),
+            "_srv_rerror": ([], F.col("_rerror")),
+        },
+        span,
+        width,
     )
-    by_service = by_host.select(
-        "*",
-        past(one, service).alias("srv_count"),
-        past("_serror", service).alias("_srv_serror"),
-        past("_rerror", service).alias("_srv_rerror"),
-    ).where("_subject")
     host_count, srv_count = F.col("count"), F.col("srv_count")
     same = F.col("_both")
     return by_service.select(

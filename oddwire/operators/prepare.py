@@ -122,14 +122,13 @@ def fit_preparation(
     if drop_constant:
         numeric = varying_columns(known, numeric)
     rows = known.count()
-    kept = categories.value_counts(known, encoded) if encoded else index.limit(0).drop("index")
-    share = F.coalesce("kept", F.lit(0)) / F.lit(float(max(rows, 1)))
+    shares = index.where(F.col("column").isin(encoded))
+    if handle_invalid == "skip" and rows < table.count():
+        kept = categories.value_counts(known, encoded).withColumnRenamed("count", "kept")
+        shares = shares.join(kept, ["column", "value"], "left").withColumn("count", F.coalesce("kept", F.lit(0)))
+    share = F.col("count") / F.lit(float(max(rows, 1)))
+    shares = shares.select("column", "value", "index", share.alias("share"))
     variance = F.col("share") * (1 - F.col("share")) * F.lit(rows / max(rows - 1, 1))
-    shares = (
-        index.where(F.col("column").isin(encoded))
-        .join(kept.withColumnRenamed("count", "kept"), ["column", "value"], "left")
-        .select("column", "value", "index", share.alias("share"))
-    )
     scaled = shares.select("*", F.when(variance > 0, 1 / F.sqrt(variance)).otherwise(F.lit(0.0)).alias("scale"))
     last = 0 if handle_invalid == "keep" else 1
     return Preparation(
@@ -169,7 +168,7 @@ def _sparse(model: Preparation) -> Column:
             for c, width, offset in zip(model.encoded, model.widths, model.offsets())
         ]
         parts.append(F.array(*entries))
-    return categories.sparse_vector(F.lit(model.width), F.concat(*parts))
+    return categories.sparse_layout(F.lit(model.width), F.concat(*parts))
 
 
 def prepared(model: Preparation, table: DataFrame, centred: bool = False) -> DataFrame:
@@ -177,14 +176,16 @@ def prepared(model: Preparation, table: DataFrame, centred: bool = False) -> Dat
 
     Vectors are divided by the deviations. Clusters and squared Euclidean distances are the same
     about any origin, and vectors that are not centred stay as sparse as their one-hot part;
-    ``centred`` subtracts the fitted means, which makes every vector dense.
+    ``centred`` subtracts the fitted means, which makes every vector dense. Sparse vectors are
+    written as they are made, as iterations read them again and again.
     """
     require_columns(table, [*model.numeric.columns, *model.encoded])
     table = categories.with_category_index(
         table, model.index, model.encoded, model.handle_invalid, also=["scale"]
     )
     vector = _dense(model) if centred else _sparse(model)
-    return table.select("id", "label", vector.alias("scaled_features"))
+    vectors = table.select("id", "label", vector.alias("scaled_features"))
+    return vectors if centred else categories.as_vectors(vectors, "scaled_features")
 
 
 def prepare(table: DataFrame, centred: bool = False, **options) -> DataFrame:

@@ -55,9 +55,9 @@ def load_sets(
     tables.write_column_names(spark, f"{out}/column_names")
     train, testing, preparation = prepare.prepare_sets(train_features, test_features, refit=refit)
     tables.save_preparation(preparation, f"{out}/preparation")
-    return Sets(
-        union_sets(*requests), train_features, test_features, materialise(train), materialise(testing)
-    )
+    if refit:  # centred, so not written yet
+        train, testing = materialise(train), materialise(testing)
+    return Sets(union_sets(*requests), train_features, test_features, train, testing)
 
 
 def report_statistics(requests: DataFrame, out: str) -> None:

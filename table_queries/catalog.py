@@ -265,13 +265,14 @@ def one_hot(spark, sf_dir):
     index = categories.category_index(items, columns)
     widths = categories.widths(index)
     indexed = categories.with_category_index(items, index, columns)
-    vectors = {c: categories.one_hot(F.col(f"{c}_index"), widths[c] - 1) for c in columns}
-    return indexed.select(
+    layouts = [categories.one_hot(F.col(f"{c}_index"), widths[c] - 1).alias(c) for c in columns]
+    vectors = categories.as_vectors(indexed.select("l_orderkey", "l_linenumber", *layouts), *columns)
+    return vectors.select(
         "l_orderkey",
         "l_linenumber",
         *[
-            F.concat_ws(",", vector_to_array(v).cast("array<int>").cast("array<string>")).alias(c)
-            for c, v in vectors.items()
+            F.concat_ws(",", vector_to_array(c).cast("array<int>").cast("array<string>")).alias(c)
+            for c in columns
         ],
     )
 
@@ -472,7 +473,7 @@ def tune(spark, sf_dir):
 def traffic_anomalies(spark, sf_dir):
     """Page traffic from request text to scored rows; without SQL for the same reason."""
     table_ = materialise(features.request_features(derived.page_requests(spark, sf_dir)))
-    vectors = materialise(prepare.prepare(table_))
+    vectors = prepare.prepare(table_)
     model = cluster.fit_kmeans(vectors, k=8, max_iter=20, tol=1e-4, seed=42)
     return score.threshold_sweep(score.score(model, vectors))
 
@@ -510,7 +511,7 @@ def traffic_2s(spark, sf_dir):
 
 @query
 def traffic_6h(spark, sf_dir):
-    return _recent(spark, sf_dir, seconds=6 * 3600, slice_seconds=24 * 3600)
+    return _recent(spark, sf_dir, seconds=6 * 3600, slice_seconds=600)
 
 
 @query

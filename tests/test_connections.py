@@ -38,7 +38,7 @@ def recent_brute(rows, seconds):
     return result
 
 
-@pytest.mark.parametrize("seconds, slice_seconds", [(2, 60), (2, 2), (2, 3), (30, 30)])
+@pytest.mark.parametrize("seconds, slice_seconds", [(2, 60), (2, 2), (2, 3), (30, 30), (30, 1), (100, 7), (0, 5)])
 def test_recent_traffic(log, seconds, slice_seconds):
     rows, frame = log
     got = connections.recent_traffic(
@@ -106,14 +106,28 @@ def test_rows_without_host_or_service_are_kept(spark):
 
 def test_windows_must_fit(log):
     frame = log[1]
-    with pytest.raises(ValueError):
-        connections.recent_traffic(frame, "host", "service", "ts", F.lit(True), F.lit(True), 10, 5)
     with pytest.raises(ValueError):
         connections.last_connections(
             frame, "host", "service", "ts", "id", F.lit(True), F.lit(True), n=100, block_rows=99
         )
 
 
+def test_rows_without_time_are_counted_among_themselves(spark):
+    rows = [(1, "a", 10), (2, "a", None), (3, "a", 11), (4, "a", None), (5, None, 11)]
+    frame = spark.createDataFrame(rows, "id long, host string, s long").select(
+        "id", "host", F.lit("x").alias("service"), F.timestamp_seconds("s").alias("ts")
+    )
+    recent = connections.recent_traffic(
+        frame, "host", "service", "ts", F.lit(None).cast("boolean"), F.lit(True), seconds=5, slice_seconds=1
+    )
+    assert {r["id"]: (r["count"], r["srv_count"], r["serror_rate"], r["rerror_rate"]) for r in recent.collect()} == {
+        1: (1, 1, 0, 1), 2: (2, 2, 0, 1), 3: (2, 3, 0, 1), 4: (2, 2, 0, 1), 5: (1, 3, 0, 1)
+    }
+    assert connections.recent_traffic(
+        frame.limit(0), "host", "service", "ts", F.lit(True), F.lit(True)
+    ).count() == 0
+
+
 def line(fields=41, **changes):
     values = ["0"] * fields
     for name, value in changes.items():

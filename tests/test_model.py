@@ -170,7 +170,8 @@ def test_distances_do_not_need_centred_vectors(feature_table):
         fewer = prepare.fit_preparation(usable, drop_constant=True)
     found = []
     for centred in (False, True):
-        vectors = prepare.prepared(model, usable, centred)
+        # One partition in one order, so that both fits begin with the same rows.
+        vectors = prepare.prepared(model, usable, centred).repartition(1).sortWithinPartitions("id").cache()
         fitted = cluster.fit_kmeans(vectors, k=3, max_iter=30, tol=1e-9, seed=5)
         rows = score.score(fitted, vectors).orderBy("id").collect()
         found.append(sorted(r["distance"] for r in rows))
@@ -317,7 +318,8 @@ def test_a_million_categories(spark):
     bounds = index.agg(F.min("index"), F.max("index"), F.count_distinct("index")).first()
     assert tuple(bounds) == (0, 1_000_000, 1_000_001)
     rows = categories.with_category_index(values, index, ["name"])
-    vectors = rows.select("id", "name_index", categories.one_hot(F.col("name_index"), 1_000_000).alias("v"))
+    layout = categories.one_hot(F.col("name_index"), 1_000_000).alias("v")
+    vectors = categories.as_vectors(rows.select("id", "name_index", layout), "v")
     assert vectors.schema["v"].metadata == {}
     assert rows.count() == 1_200_000
     few = vectors.where("id IN (5, 200000, 1199999)").orderBy("id").collect()
