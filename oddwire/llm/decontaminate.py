@@ -142,7 +142,7 @@ def _item_words(min_match: int):
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(words.arrow(ends), words.arrow(flat.view(np.int64)))
 
 
 def _regions(min_match: int, wanted):
@@ -165,7 +165,7 @@ def _regions(min_match: int, wanted):
                 rows.append(row)
                 stretches.append(np.concatenate(parts))
                 seeds.append(np.unique(runs[hit]))
-            taken = batch.take(pa.array(rows, pa.int64()))
+            taken = batch.take(words.arrow(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [taken.column("row_key"), taken.column("doc_id"), _lists(stretches), _lists(seeds)],
                 ["row_key", "doc_id", "stretches", "seeds"],
@@ -185,7 +185,7 @@ def _tiled(min_match: int):
             names = ["row_key", "doc_id", "item_id", "item_size"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in names]
-                + [pa.array(covered, pa.int64()), pa.array(tiles, pa.int64())],
+                + [words.arrow(covered, pa.int64()), words.arrow(tiles, pa.int64())],
                 [*names, "covered", "tiles"],
             )
 

@@ -62,7 +62,7 @@ def _counts(flush: int):
             columns[3] += [0, *totals.values()]
             columns[4] += [0, *map(documents.__getitem__, totals)]
         kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        arrays = [words.arrow(c, k) for c, k in zip(columns, kinds)]
         arrays[2] = arrays[2].cast(pa.string())
         return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in COUNTS.split(", ")])
 
@@ -181,7 +181,7 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
             )
         yield pa.RecordBatch.from_arrays(
-            [batch.column(k) for k in ("lang", "source", "item")] + [pa.array(values, pa.int64())],
+            [batch.column(k) for k in ("lang", "source", "item")] + [words.arrow(values, pa.int64())],
             ["lang", "source", "item", "value"],
         )
 

@@ -110,7 +110,7 @@ def _first_copies(limit: int):
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_key"), batch.column("doc_id")]
-                + [pa.array(c, k) for c, k in zip(columns, kinds)],
+                + [words.arrow(c, k) for c, k in zip(columns, kinds)],
                 names=[field.split()[0] for field in FIRST.split(", ")],
             )
 
@@ -129,7 +129,7 @@ def _same_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 bucket = path
             groups.append(table.owner(hash_ & (2**64 - 1), content.as_py(), key))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("first_key"), pa.array(groups, pa.int64())], ["first_key", "group_key"]
+            [batch.column("first_key"), words.arrow(groups, pa.int64())], ["first_key", "group_key"]
         )
 
 

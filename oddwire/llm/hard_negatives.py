@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddwire.llm import words
 from oddwire.llm.shared import stored, with_row_key, written
 
 REFERENCES = 8
@@ -66,9 +67,9 @@ def _sums(scale: float, width: int):
             np.add.at(total, batch.column("reference").to_numpy(), np.nan_to_num(rows))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(np.arange(REFERENCES, dtype=np.int32), width)),
-                pa.array(np.tile(np.arange(width, dtype=np.int32), REFERENCES)),
-                pa.array(total.reshape(-1)),
+                words.arrow(np.repeat(np.arange(REFERENCES, dtype=np.int32), width)),
+                words.arrow(np.tile(np.arange(width, dtype=np.int32), REFERENCES)),
+                words.arrow(total.reshape(-1)),
             ],
             ["reference", "at", "total"],
         )
@@ -108,11 +109,11 @@ def _measured(scale: float, width: int, directions: np.ndarray):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in ("row_key", "id", "label", "is_anchor")]
                 + [
-                    pa.array([r.tobytes() for r in rows], pa.binary()),
-                    pa.array(norms),
-                    pa.array([a.tobytes() for a in angle], pa.binary()),
-                    pa.array(near.astype(np.int32)),
-                    pa.array(angle[np.arange(len(angle)), near]),
+                    words.arrow([r.tobytes() for r in rows], pa.binary()),
+                    words.arrow(norms),
+                    words.arrow([a.tobytes() for a in angle], pa.binary()),
+                    words.arrow(near.astype(np.int32)),
+                    words.arrow(angle[np.arange(len(angle)), near]),
                 ],
                 ["row_key", "id", "label", "is_anchor", "parts", "norm", "angles", "near", "angle"],
             )
@@ -282,7 +283,7 @@ class _Best:
             columns[3] += own.tolist()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor_key", "window", "id", "score"]
+            [words.arrow(c, k) for c, k in zip(columns, kinds)], ["anchor_key", "window", "id", "score"]
         )
 
 
@@ -436,6 +437,6 @@ def _windows(shares: tuple[int, int], count: int):
                 edges = [window(entry["score"], shares) for entry in own]
                 edges += [(1, 0)] * (count - len(edges))
                 made.append(np.array(edges, dtype=np.int64).tobytes())
-            yield batch.drop_columns(["own"]).append_column("windows", pa.array(made, pa.binary()))
+            yield batch.drop_columns(["own"]).append_column("windows", words.arrow(made, pa.binary()))
 
     return task

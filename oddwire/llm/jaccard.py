@@ -61,7 +61,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)])
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(
-        pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64))
+        words.arrow(ends.astype(np.int32)), words.arrow(flat.view(np.int64))
     )
 
 
@@ -87,9 +87,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column("row_key"),
                 batch.column("doc_id"),
-                pa.array(sizes, pa.int64()),
-                pa.array(np.array(first, np.uint64).view(np.int64)),
-                pa.array(np.array(second, np.uint64).view(np.int64)),
+                words.arrow(sizes, pa.int64()),
+                words.arrow(np.array(first, np.uint64).view(np.int64)),
+                words.arrow(np.array(second, np.uint64).view(np.int64)),
                 _lists(keys),
                 pa.nulls(rows, pa.int32()),
                 pa.nulls(rows, pa.binary()),
@@ -99,8 +99,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = total.reshape(-1, COUNTER_BLOCK)
     used = [k for k in range(len(parts)) if parts[k].any()]
     empty = [pa.nulls(len(used), pa.int64())] * 5 + [pa.nulls(len(used), pa.list_(pa.int64()))]
-    counts = pa.array([parts[k].tobytes() for k in used], pa.binary())
-    yield pa.RecordBatch.from_arrays([*empty, pa.array(used, pa.int32()), counts], names)
+    counts = words.arrow([parts[k].tobytes() for k in used], pa.binary())
+    yield pa.RecordBatch.from_arrays([*empty, words.arrow(used, pa.int32()), counts], names)
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def summed() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([current], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+            [words.arrow([current], pa.int32()), words.arrow([total.tobytes()], pa.binary())],
             ["block", "counts"],
         )
 
@@ -146,7 +146,7 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
             keep = maybe_in(wanted.value, batch.column("row_key").to_numpy())
-            chosen = batch.filter(pa.array(keep))
+            chosen = batch.filter(words.arrow(keep))
             texts = words.raw_texts(chosen.column("text"))
             sets = [words.shingle_set(text, SHINGLE_WORDS) for text in texts]
             yield pa.RecordBatch.from_arrays(
@@ -188,9 +188,9 @@ def _against_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         xs, rs, similarity = list(zip(*rows)) or [()] * 3
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(xs, pa.int64()),
-                pa.array(rs, pa.int64()),
-                pa.array(similarity, pa.float64()),
+                words.arrow(xs, pa.int64()),
+                words.arrow(rs, pa.int64()),
+                words.arrow(similarity, pa.float64()),
                 _lists(lost),
                 _lists(gained),
             ],
@@ -205,14 +205,14 @@ def _commonness(rows: DataFrame, ids: DataFrame, rarity) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
             keep = maybe_in(wanted.value, batch.column("row_key").to_numpy())
-            chosen = batch.filter(pa.array(keep))
+            chosen = batch.filter(words.arrow(keep))
             means = []
             for text in words.raw_texts(chosen.column("text")):
                 shingles = words.shingle_set(text, SHINGLE_WORDS)
                 ranks = rarity.value[_counters(shingles)]
                 means.append(float(ranks.mean()) if len(ranks) else 0.0)
             yield pa.RecordBatch.from_arrays(
-                [chosen.column("row_key"), pa.array(means, pa.float64())], ["id", "common"]
+                [chosen.column("row_key"), words.arrow(means, pa.float64())], ["id", "common"]
             )
 
     found = rows.select("row_key", "text").mapInArrow(task, "id long, common double")
@@ -275,7 +275,7 @@ def _prefixes(rarity):
                 rare = np.argsort(rarity.value[_counters(shingles)], kind="stable")
                 found.append(shingles[rare[:length]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key"), pa.array(sizes, pa.int64()), _lists(found)],
+                [batch.column("row_key"), words.arrow(sizes, pa.int64()), _lists(found)],
                 ["id", "n", "prefix"],
             )
 
@@ -295,8 +295,8 @@ def _entries(wanted):
             keep = maybe_in(wanted.value, flat)
             row = row[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[keep]), pa.array(at[keep].astype(np.int32))]
-                + [batch.column(k).take(pa.array(row)) for k in ("id", "cluster", "several", "n")],
+                [words.arrow(flat[keep]), words.arrow(at[keep].astype(np.int32))]
+                + [batch.column(k).take(words.arrow(row)) for k in ("id", "cluster", "several", "n")],
                 ["token", "at", "id", "cluster", "several", "n"],
             )
 
@@ -385,7 +385,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = zip(batch.column("r_set"), batch.column("y_set"))
         counts = [int(_common(_array(a), _array(b)).sum()) for a, b in pairs]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("r"), batch.column("y"), pa.array(counts, pa.int64())],
+            [batch.column("r"), batch.column("y"), words.arrow(counts, pa.int64())],
             ["r", "y", "overlap"],
         )
 
@@ -401,7 +401,7 @@ def _corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more = int(_common(_array(gained), other).sum())
             counts.append(overlap.as_py() - less + more)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(k) for k in ("x", "y", "x_n", "y_n")] + [pa.array(counts, pa.int64())],
+            [batch.column(k) for k in ("x", "y", "x_n", "y_n")] + [words.arrow(counts, pa.int64())],
             ["x", "y", "x_n", "y_n", "overlap"],
         )
 

@@ -36,8 +36,8 @@ def _blocks(log2_bits: int):
             places = (used % BLOCK).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(block[starts].astype(np.int32)) if len(used) else pa.array([], pa.int32()),
-                    pa.array(
+                    words.arrow(block[starts].astype(np.int32)) if len(used) else words.arrow([], pa.int32()),
+                    words.arrow(
                         [places[a:b].tobytes() for a, b in zip(starts, ends)] if len(used) else [],
                         pa.binary(),
                     ),
@@ -53,7 +53,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([current], pa.int32()), pa.array([np.packbits(total).tobytes()], pa.binary())],
+            [words.arrow([current], pa.int32()), words.arrow([np.packbits(total).tobytes()], pa.binary())],
             ["block", "bits"],
         )
 
@@ -95,7 +95,7 @@ def _maybe(table, number: Column) -> Column:
 
     @F.arrow_udf("boolean")
     def test(values: pa.Array) -> pa.Array:
-        return pa.array(maybe_in(table.value, values.to_numpy(zero_copy_only=False)))
+        return words.arrow(maybe_in(table.value, values.to_numpy(zero_copy_only=False)))
 
     return test(number)
 

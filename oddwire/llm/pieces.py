@@ -74,7 +74,7 @@ class Vocabulary:
         ends = "".join(map(re.escape, sorted(marks)))
         letters = rf" *[^\W\d_]+(?=[{ends}])|" if marks else ""
         self.words = re.compile(letters + (" *[^ ]+| +" if breaks else " *[^ \n]+| +|\n"))
-        self.table = pa.array([self.surfaces.get(k, b"") for k in range(size)], pa.binary())
+        self.table = words.arrow([self.surfaces.get(k, b"") for k in range(size)], pa.binary())
 
     def _add(self, surface: str, score: float, piece: int) -> None:
         nodes = self.trie
@@ -307,16 +307,16 @@ def encode(
                     scores.append(own_scores)
                     ids.append(own_ids)
                 part = part.append_column("ids", _id_lists([i[0] for i in ids]))
-                part = part.append_column("scores", pa.array(scores, pa.list_(pa.float64())))
+                part = part.append_column("scores", words.arrow(scores, pa.list_(pa.float64())))
                 counts, made = [1] * len(ids), part.column("ids")
                 if all_ids:
                     counts = [len(own_ids) for own_ids in ids]
                     made = _id_lists([i for own_ids in ids for i in own_ids])
-                    ends = pa.array(np.cumsum([0, *counts], dtype=np.int32))
+                    ends = words.arrow(np.cumsum([0, *counts], dtype=np.int32))
                     part = part.append_column("alternatives", pa.ListArray.from_arrays(ends, made))
                 if verify:
                     restored = own.vocabulary.restored(made, counts, texts)
-                    part = part.append_column("restored", pa.array(restored, pa.bool_()))
+                    part = part.append_column("restored", words.arrow(restored, pa.bool_()))
                 yield part
 
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
@@ -324,7 +324,7 @@ def encode(
 
 def _id_lists(rows: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "i4")))
+    return pa.ListArray.from_arrays(words.arrow(ends), words.arrow(np.frombuffer(b"".join(rows), "i4")))
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -342,7 +342,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for part in _slices(batch):
                 texts = vocabulary.decode(part.column("ids"))
-                yield part.append_column("decoded", pa.array(texts, pa.string()))
+                yield part.append_column("decoded", words.arrow(texts, pa.string()))
 
     field = T.StructField("decoded", T.StringType())
     return encoded.mapInArrow(task, T.StructType([*encoded.schema.fields, field]))

@@ -166,8 +166,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("quality"),
-                pa.array([i.tobytes() for i, _ in found], pa.binary()),
-                pa.array([v.tobytes() for _, v in found], pa.binary()),
+                words.arrow([i.tobytes() for i, _ in found], pa.binary()),
+                words.arrow([v.tobytes() for _, v in found], pa.binary()),
             ],
             ["quality", "index", "value"],
         )
@@ -221,8 +221,8 @@ def score(
             scores = []
             for index, value in map(features, words.raw_texts(batch.column("text"))):
                 scores.append(model.value.scores(index, value, np.zeros(1, np.int64))[0])
-            table = batch.append_column(names[0], pa.array(scores, pa.float64()))
-            yes = pa.array([int(s >= threshold) for s in scores], pa.int32())
+            table = batch.append_column(names[0], words.arrow(scores, pa.float64()))
+            yes = words.arrow([int(s >= threshold) for s in scores], pa.int32())
             yield table.append_column(names[1], yes)
 
     added = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]

@@ -78,9 +78,9 @@ def _sketch(size: int, log2_cells: int):
             several = np.minimum(counts, 2).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((row * blocks + block[starts]).astype(np.int32)),
-                    pa.array([places[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-                    pa.array([several[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    words.arrow((row * blocks + block[starts]).astype(np.int32)),
+                    words.arrow([places[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    words.arrow([several[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                 ],
                 ["block", "places", "counts"],
             )
@@ -109,7 +109,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def merged() -> pa.RecordBatch:
         bits = np.packbits(total >= 2).tobytes()
         return pa.RecordBatch.from_arrays(
-            [pa.array([current], pa.int32()), pa.array([bits], pa.binary())], ["block", "bits"]
+            [words.arrow([current], pa.int32()), words.arrow([bits], pa.binary())], ["block", "bits"]
         )
 
     for batch in batches:
@@ -159,10 +159,10 @@ def _candidates(size: int, log2_cells: int, shared):
                     second = words.runs(hashes, size, 1)[maybe] >> np.uint64(33)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(words.runs(hashes, size)[maybe].view(np.int64)),
-                            pa.array(second.astype(np.int32)),
-                            pa.array(np.full(len(maybe), key)),
-                            pa.array(maybe.astype(np.int32)),
+                            words.arrow(words.runs(hashes, size)[maybe].view(np.int64)),
+                            words.arrow(second.astype(np.int32)),
+                            words.arrow(np.full(len(maybe), key)),
+                            words.arrow(maybe.astype(np.int32)),
                         ],
                         ["h1", "h2", "row_key", "at"],
                     )
@@ -210,9 +210,9 @@ def _keep(size: int):
                 [
                     batch.column("row_key"),
                     batch.column("doc_id"),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_removed, pa.int64()),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
+                    words.arrow(n_words, pa.int64()),
+                    words.arrow(n_removed, pa.int64()),
+                    words.arrow(kept, pa.binary()).cast(pa.string()),
                 ],
                 ["row_key", "doc_id", "n_words", "n_removed", "kept_text"],
             )

@@ -61,16 +61,16 @@ def counted(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = list(words.raw_texts(batch.column("text")))
-            chars = pa.array([int(np.count_nonzero((t & 0xC0) != 0x80)) for t in texts], pa.int64())
-            one = pa.array(np.ones(len(batch), np.int64))
+            chars = words.arrow([int(np.count_nonzero((t & 0xC0) != 0x80)) for t in texts], pa.int64())
+            one = words.arrow(np.ones(len(batch), np.int64))
             for version in versions:
                 tokens = [count_tokens(text, version, folder) for text in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(k) for k in ("doc_id", "source", "lang")),
-                        pa.array([version] * len(batch), pa.string()),
+                        words.arrow([version] * len(batch), pa.string()),
                         one,
-                        pa.array(tokens, pa.int64()),
+                        words.arrow(tokens, pa.int64()),
                         chars,
                     ],
                     [field.split()[0] for field in COUNTS.split(", ")],

@@ -50,6 +50,11 @@ class Powers:
         Starts and ends rise. Time is linear in the values and memory that of a chunk: a slice
         over several chunks is the sum of its parts, each times the power of its place.
         """
+        if len(values) <= CHUNK:
+            part = values if of is None else of[values]
+            total = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(part * self.up[: len(part)], out=total[1:])
+            return (total[ends] - total[starts]) * self.down[starts]
         found = np.zeros(len(starts), dtype=np.uint64)
         for begin in range(0, len(values), CHUNK):
             part = values[begin : begin + CHUNK]
@@ -93,6 +98,46 @@ def raw_texts(column: pa.Array) -> Iterator[np.ndarray]:
         yield bytes_[ends[k] : ends[k + 1]] if known[k] else bytes_[:0]
 
 
+_NUMPY = {
+    pa.int32(): np.int32,
+    pa.int64(): np.int64,
+    pa.float32(): np.float32,
+    pa.float64(): np.float64,
+}
+_ARROW = {np.dtype(v): k for k, v in _NUMPY.items()}
+
+
+def _bits(flags) -> pa.Buffer:
+    return pa.py_buffer(np.packbits(np.asarray(flags, dtype=bool), bitorder="little").tobytes())
+
+
+def arrow(values, kind: pa.DataType | None = None) -> pa.Array:
+    """An Arrow array of numbers, flags, bytes, texts or lists of numbers, with None for nulls.
+
+    Built from buffers: Arrow's own conversion loads pandas into every worker, 45 MB each.
+    """
+    if kind is None:
+        kind = pa.bool_() if values.dtype == bool else _ARROW[values.dtype]
+    size = len(values)
+    valid = None
+    if not isinstance(values, np.ndarray) and any(v is None for v in values):
+        valid = _bits([v is not None for v in values])
+    if kind == pa.bool_():
+        return pa.Array.from_buffers(kind, size, [valid, _bits([bool(v) for v in values])])
+    if kind in _NUMPY:
+        plain = values if valid is None else [0 if v is None else v for v in values]
+        data = np.ascontiguousarray(plain, dtype=_NUMPY[kind])
+        return pa.Array.from_buffers(kind, size, [valid, pa.py_buffer(data)])
+    if pa.types.is_list(kind):
+        ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+        flat = arrow([x for v in values for x in v], kind.value_type)
+        return pa.ListArray.from_arrays(arrow(ends), flat)
+    plain = [v.encode() if isinstance(v, str) else v or b"" for v in values]
+    ends = np.cumsum([0, *map(len, plain)], dtype=np.int32)
+    buffers = [valid, pa.py_buffer(ends), pa.py_buffer(b"".join(plain))]
+    return pa.Array.from_buffers(kind, size, buffers)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20
 ) -> Iterator[pa.RecordBatch]:
@@ -108,6 +153,11 @@ def slices(
 
 def spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of each word."""
+    if len(text) <= CHUNK:
+        space = np.ones(len(text) + 2, dtype=np.int8)
+        space[1:-1] = _SPACE[text]
+        change = np.flatnonzero(space[1:] != space[:-1])
+        return change[::2], change[1::2]
     edges = [[], []]
     inside = False
     for begin in range(0, len(text), CHUNK):
