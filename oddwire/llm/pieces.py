@@ -39,7 +39,7 @@ ZIPF_OFFSET = 2.7
 #: Less than the rarest piece, for each byte of a character without one.
 BYTE_PENALTY = 5.0
 #: Words a worker remembers at least, at most twice as many; and the longest of them.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 REMEMBERED_LENGTH = 64
 
 _LEAST = -math.inf
@@ -215,6 +215,12 @@ class Encoder(dict):
             self[word] = found
         return found
 
+    def forget(self) -> None:
+        """Keep the words of the last stretch alone; what other tasks use lies in the same memory."""
+        self.older = {}
+        self.several.clear()
+        words.give_back()
+
     def alternatives(self, word: str) -> list[tuple[float, bytes]]:
         found = self.several.get(word)
         if found is None:
@@ -318,6 +324,7 @@ def encode(
                     restored = own.vocabulary.restored(made, counts, texts)
                     part = part.append_column("restored", words.arrow(restored, pa.bool_()))
                 yield part
+        own.forget()
 
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
 

@@ -224,6 +224,7 @@ def score(
             table = batch.append_column(names[0], words.arrow(scores, pa.float64()))
             yes = words.arrow([int(s >= threshold) for s in scores], pa.int32())
             yield table.append_column(names[1], yes)
+        words.give_back()
 
     added = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
