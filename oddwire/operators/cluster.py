@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.tuning import TrainValidationSplit, TrainValidationSplitModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FEATURES = "scaled_features"
@@ -21,8 +23,12 @@ def fit_kmeans(
     *,
     seed: int,
     features: str = FEATURES,
+    init_steps: int = 2,
 ) -> KMeansModel:
-    kmeans = KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed, featuresCol=features)
+    """More ``init_steps`` find clusters that lie close together among some that lie far apart."""
+    kmeans = KMeans(
+        k=k, maxIter=max_iter, tol=tol, seed=seed, featuresCol=features, initSteps=init_steps
+    )
     return kmeans.fit(table)
 
 
@@ -31,18 +37,45 @@ def silhouette(predictions: DataFrame, features: str = FEATURES) -> float:
     return ClusteringEvaluator(featuresCol=features).evaluate(predictions)
 
 
+def named_by_first(predictions: DataFrame, id: str = "id") -> DataFrame:
+    """Clusters named after their smallest id, so that two fits can be compared."""
+    # A row per cluster of the model, fewer than its centres hold numbers.
+    names = predictions.groupBy("prediction").agg(F.min(id).alias("_name"))
+    named = predictions.join(F.broadcast(names), "prediction")
+    return named.withColumn("prediction", F.col("_name")).select(*predictions.columns)
+
+
 def parameter_grid(
-    kmeans: KMeans, k_values: Sequence[int], max_iter_values: Sequence[int], tol_values: Sequence[float]
+    k_values: Sequence[int], max_iter_values: Sequence[int], tol_values: Sequence[float]
 ) -> list[dict]:
     """Grid in report order: tol outermost, then k, then maxIter."""
     return [
-        {kmeans.tol: tol, kmeans.k: k, kmeans.maxIter: max_iter}
+        {"k": int(k), "maxIter": int(max_iter), "tol": float(tol)}
         for tol in tol_values
         for k in k_values
         for max_iter in max_iter_values
     ]
 
 
+@dataclass(frozen=True)
+class GridSearch:
+    """Grid points, their metrics, and the best point fitted on the whole table."""
+
+    points: list[dict]
+    metrics: list[float]
+    bestModel: KMeansModel
+
+
+def split_share(id: Column, seed: int) -> Column:
+    """A number from 0 to 1 for each id, from the first 32 bits of the MD5 of ``seed:id``.
+
+    A row keeps its side of the split however often, and from whatever partitions, it is read;
+    rows with the same id are on the same side.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+
+
 def tune(
     table: DataFrame,
     k_values: Sequence[int] = (2,),
@@ -53,31 +86,39 @@ def tune(
     train_ratio: float = 0.8,
     parallelism: int = 2,
     features: str = FEATURES,
-) -> TrainValidationSplitModel:
+    id: str = "id",
+    init_steps: int = 2,
+) -> GridSearch:
     """Fit every grid point on one part and keep the one with the best silhouette on the
-    rest, the first of equals.
+    rest, the first of equals; it is fitted again on all rows.
 
-    The random split is drawn again whenever a part of the table is recomputed, so the table
-    should come from storage; see ``oddwire.session.materialise``.
+    The parts are told by the ids, see ``split_share``. The table is read once or more for every
+    point, so it should come from storage; see ``oddwire.session.materialise``.
     """
-    kmeans = KMeans(featuresCol=features, seed=seed)
-    search = TrainValidationSplit(
-        estimator=kmeans,
-        evaluator=ClusteringEvaluator(featuresCol=features),
-        estimatorParamMaps=parameter_grid(kmeans, k_values, max_iter_values, tol_values),
-        trainRatio=train_ratio,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    return search.fit(table)
+    in_training = split_share(F.col(id), seed) < train_ratio
+    training, validation = table.where(in_training), table.where(~in_training)
+    points = parameter_grid(k_values, max_iter_values, tol_values)
+
+    def fit(rows: DataFrame, point: dict) -> KMeansModel:
+        k, max_iter, tol = point["k"], point["maxIter"], point["tol"]
+        return fit_kmeans(rows, k, max_iter, tol, seed=seed, features=features, init_steps=init_steps)
 
+    @inheritable_thread_target(table.sparkSession)
+    def metric(point: dict) -> float:
+        return silhouette(fit(training, point).transform(validation), features)
 
-def tuning_grid(spark: SparkSession, model: TrainValidationSplitModel) -> DataFrame:
+    with ThreadPoolExecutor(parallelism) as threads:
+        metrics = list(threads.map(metric, points))
+    best = max(range(len(points)), key=lambda i: metrics[i])
+    return GridSearch(points, metrics, fit(table, points[best]))
+
+
+def tuning_grid(spark: SparkSession, search: GridSearch) -> DataFrame:
     """(grid_idx, k, maxIter, tol, silhouette), one row per grid point."""
-    rows = []
-    for i, (point, metric) in enumerate(zip(model.getEstimatorParamMaps(), model.validationMetrics)):
-        named = {param.name: value for param, value in point.items()}
-        rows.append((i, int(named["k"]), int(named["maxIter"]), float(named["tol"]), float(metric)))
+    rows = [
+        (i, point["k"], point["maxIter"], point["tol"], float(metric))
+        for i, (point, metric) in enumerate(zip(search.points, search.metrics))
+    ]
     schema = "grid_idx int, k int, maxIter int, tol double, silhouette double"
     return spark.createDataFrame(rows, schema)
 
@@ -92,8 +133,8 @@ def running_mean(grid: DataFrame) -> DataFrame:
     return grid.withColumn("avg", F.avg("silhouette").over(so_far))
 
 
-def tuning_results(spark: SparkSession, model: TrainValidationSplitModel) -> DataFrame:
-    return running_mean(tuning_grid(spark, model))
+def tuning_results(spark: SparkSession, search: GridSearch) -> DataFrame:
+    return running_mean(tuning_grid(spark, search))
 
 
 def best_by(results: DataFrame, metric: str) -> DataFrame:

@@ -81,8 +81,9 @@ def tune_and_report(
     search = cluster.tune(
         training, k_values, max_iter_values, tol_values, seed=seed, parallelism=parallelism
     )
-    tables.show_tuning_results(cluster.tuning_results(spark, search))
-    tables.write_tuning_results(spark, search, f"{out}/results_tuning")
+    results = cluster.tuning_results(spark, search)
+    tables.show_tuning_results(results)
+    tables.write_tuning_results(results, f"{out}/results_tuning")
     tables.save_model(search.bestModel, f"{out}/model")
     return search.bestModel
 

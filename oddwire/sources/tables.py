@@ -13,7 +13,6 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.tuning import TrainValidationSplitModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +22,10 @@ from oddwire.operators.prepare import Preparation, Statistics
 from oddwire.schema import FEATURE_COLUMNS, FEATURES
 
 
+SWEEP = "threshold double, detected long, actual long, error_rate double"
+EVALUATION = "threshold double, precision double, recall double"
+
+
 def write_features_csv(features: DataFrame, path: str) -> None:
     """Feature rows without a header row, ratios with two decimals."""
     columns = [
@@ -136,14 +139,22 @@ def load_preparation(path: str) -> Preparation:
     return Preparation(statistics, row["encoded"], row["widths"], row["handle_invalid"], index)
 
 
-def write_tuning_results(spark: SparkSession, model: TrainValidationSplitModel, path: str) -> None:
+def write_tuning_results(results: DataFrame, path: str) -> None:
     """Running means of the best tol: a row per maxIter, a column per k."""
-    results = cluster.tuning_results(spark, model)
     k_values = [r["k"] for r in results.select("k").distinct().orderBy("k").collect()]
     pivot = cluster.tuning_pivot(results, k_values).withColumnRenamed("maxIter", " ")
     pivot.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def read_tuning_results(spark: SparkSession, path: str) -> DataFrame:
+    """(maxIter, k, avg) of a tuning file; cells without a grid point are left out."""
+    wide = spark.read.csv(path, header=True)
+    first, *k_values = wide.columns
+    cells = F.explode(F.create_map(*[x for k in k_values for x in (F.lit(int(k)), F.col(f"`{k}`"))]))
+    long = wide.select(F.col(f"`{first}`").cast("int").alias("maxIter"), cells.alias("k", "avg"))
+    return long.withColumn("avg", F.col("avg").cast("double")).dropna(subset=["avg"])
+
+
 def write_threshold_sweep(sweep: DataFrame, path: str) -> None:
     named = sweep.orderBy("threshold").select(
         "threshold",
@@ -154,6 +165,11 @@ def write_threshold_sweep(sweep: DataFrame, path: str) -> None:
     named.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def read_threshold_sweep(spark: SparkSession, path: str) -> DataFrame:
+    """Sweep as it was written: the error rate has two decimals, NaN where nothing was detected."""
+    return spark.read.schema(SWEEP).csv(path, header=True, enforceSchema=True)
+
+
 def write_distances(scored: DataFrame, path: str) -> None:
     scored.select("distance").write.mode("overwrite").csv(path)
 
@@ -171,6 +187,11 @@ def write_evaluation(by_threshold: DataFrame, path: str) -> None:
     by_threshold.unpersist()
 
 
+def read_precision_recall(spark: SparkSession, path: str) -> DataFrame:
+    """The first table of an evaluation: a row per threshold."""
+    return spark.read.schema(EVALUATION).csv(f"{path}/precision_recall", header=True)
+
+
 def _show_all(report: DataFrame) -> None:
     """Print a report whole: one row per threshold or grid point, not per row of traffic."""
     report.show(max(report.count(), 1), truncate=False)

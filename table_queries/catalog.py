@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from oddwire.operators import (
 )
 from oddwire.schema import ANOMALY, CONNECTIONS, NORMAL
 from oddwire.session import materialise
+from oddwire.sources import tables
 from oddwire.sources.traffic import tag, union_sets
 from table_queries import derived
 from table_queries.derived import table
@@ -216,6 +218,14 @@ def request_features(spark, sf_dir):
     return features.request_features(derived.page_requests(spark, sf_dir))
 
 
+@query
+def feature_files(spark, sf_dir):
+    """The feature table through its CSV files, read with the fixed schema."""
+    path = derived.fresh(spark, "features") + ".csv"
+    tables.write_features_csv(features.request_features(derived.page_requests(spark, sf_dir)), path)
+    return tables.read_features_csv(spark, path)
+
+
 @query
 def labelled_union(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -304,6 +314,29 @@ def prepared_vectors(spark, sf_dir):
     )
 
 
+@query
+def prepare_train_test(spark, sf_dir):
+    """Fitted on one table, stored, loaded and applied to another: rows with a null or unknown
+    category go. A row per element of the vectors."""
+    train, test = derived.sold_and_returned(spark, sf_dir)
+    path = derived.fresh(spark, "preparation")
+    tables.save_preparation(prepare.fit_preparation(train), path)
+    vectors = prepare.prepared(tables.load_preparation(path), test)
+    summary = Summarizer.metrics("mean", "numNonZeros", "count").summary(F.col("scaled_features"))
+    row = vectors.select(summary.alias("s")).select(
+        F.col("s.count").alias("n_rows"),
+        F.arrays_zip(
+            vector_to_array("s.mean").alias("mean"), vector_to_array("s.numNonZeros").alias("used")
+        ).alias("elements"),
+    )
+    return row.select("n_rows", F.posexplode("elements").alias("element", "e")).select(
+        F.col("element").cast("long").alias("element"),
+        "n_rows",
+        F.round("e.mean", 6).alias("mean"),
+        F.col("e.used").cast("long").alias("used"),
+    )
+
+
 # Distances and detection
 
 
@@ -351,6 +384,15 @@ def anomaly_counts(spark, sf_dir):
     return sweep_report(summary)
 
 
+@query
+def sweep_files(spark, sf_dir):
+    """The sweep through its report file, with error rates of two decimals."""
+    path = derived.fresh(spark, "sweep")
+    scored = derived.embedding_distances(spark, sf_dir)
+    tables.write_threshold_sweep(score.threshold_sweep(scored, anomaly=F.col("label") == 0), path)
+    return sweep_report(tables.read_threshold_sweep(spark, path))
+
+
 # Evaluation
 
 
@@ -360,6 +402,15 @@ def precision_recall(spark, sf_dir):
     return rounded(by_threshold, 8, "precision", "recall")
 
 
+@query
+def evaluation_files(spark, sf_dir):
+    """Precision and recall through their report file."""
+    path = derived.fresh(spark, "evaluation")
+    by_threshold = evaluate.precision_recall(derived.document_scores(spark, sf_dir))
+    tables.write_evaluation(by_threshold, path)
+    return rounded(tables.read_precision_recall(spark, path), 8, "precision", "recall")
+
+
 @query
 def f_beta(spark, sf_dir):
     by_threshold = evaluate.precision_recall(derived.document_scores(spark, sf_dir))
@@ -443,35 +494,44 @@ def tuning_pivot(spark, sf_dir):
     return rounded(pivot.toDF("maxIter", *names), 6, *names)
 
 
-def _embedding_vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        "label",
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("scaled_features"),
-    )
+@query
+def tuning_files(spark, sf_dir):
+    """Running means of the best block through their report file."""
+    path = derived.fresh(spark, "tuning")
+    tables.write_tuning_results(cluster.running_mean(derived.price_grid(spark, sf_dir)), path)
+    return rounded(tables.read_tuning_results(spark, path), 6, "avg")
 
 
 @query
 def kmeans_fit(spark, sf_dir):
-    """Fit, assignment and distances; without SQL, the centres come from an iteration."""
-    vectors = _embedding_vectors(spark, sf_dir)
-    model = cluster.fit_kmeans(vectors, k=10, max_iter=20, tol=1e-4, seed=42)
-    return score.score(model, vectors).select("id", "label", "prediction", "distance")
+    """Fit, a stored and loaded model, assignment and distances; clusters that stand apart are
+    the labels."""
+    vectors = materialise(derived.separable_vectors(spark, sf_dir))
+    path = derived.fresh(spark, "model")
+    tables.save_model(cluster.fit_kmeans(vectors, k=10, max_iter=20, tol=1e-4, seed=42, init_steps=5), path)
+    scored = score.score(tables.load_model(path), vectors)
+    named = cluster.named_by_first(scored).select("id", "label", "prediction", "distance")
+    return rounded(named, 6, "distance")
+
+
+TUNE_SEED = 42
 
 
 @query
 def tune(spark, sf_dir):
-    """Grid search with its report; without SQL for the same reason."""
-    vectors = _embedding_vectors(spark, sf_dir)
+    """Grid search with its report; two clusters are the groups of labels, ten the labels."""
+    vectors = materialise(derived.separable_vectors(spark, sf_dir))
     search = cluster.tune(
-        vectors, k_values=[5, 10], max_iter_values=[10], tol_values=[1e-4], seed=42, parallelism=4
+        vectors, k_values=[2, 10], max_iter_values=[5, 20], tol_values=[1e-4],
+        seed=TUNE_SEED, parallelism=4, init_steps=5,
     )
-    return cluster.tuning_results(spark, search)
+    return rounded(cluster.tuning_results(spark, search), 10, "silhouette", "avg")
 
 
 @query
 def traffic_anomalies(spark, sf_dir):
-    """Page traffic from request text to scored rows; without SQL for the same reason."""
+    """Page traffic from request text to scored rows; without SQL, as the centres come
+    from an iteration."""
     table_ = materialise(features.request_features(derived.page_requests(spark, sf_dir)))
     vectors = prepare.prepare(table_)
     model = cluster.fit_kmeans(vectors, k=8, max_iter=20, tol=1e-4, seed=42)

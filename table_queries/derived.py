@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,11 @@ from oddwire.session import shared_folder
 from oddwire.sources.traffic import read_requests
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,7 +103,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> str:
         .select("host", "traffic", F.explode("lines").alias("value"))
     )
     blog = F.col("host").startswith("blog")
-    root = f"{shared_folder(spark)}/traffic-{uuid.uuid4().hex}"
+    root = fresh(spark, "traffic")
     for part, rows, compression in (("plain", ~blog, "none"), ("packed", blog, "gzip")):
         text = lines.where(rows).drop("host").write.partitionBy("traffic")
         text.option("compression", compression).text(f"{root}/form={part}")
@@ -141,6 +147,37 @@ def embedding_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.with_own_centre_distance(vectors, centres, "embedding", "label")
 
 
+def separable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with more coordinates: one for each label, which sets all labels equally far
+    apart, and one that sets the labels from 5 on much further off. So k-means finds these two
+    groups with two clusters and the labels with ten."""
+    own = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(F.col("label") == i, 300.0).otherwise(0.0))
+    group = F.array(F.when(F.col("label") >= 5, 10_000.0).otherwise(0.0))
+    vector = F.concat(F.col("embedding").cast("array<double>"), own, group)
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", array_to_vector(vector).alias("scaled_features")
+    )
+
+
+def sold_and_returned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Feature tables to fit and to transform: line items that were not returned, and all.
+
+    Returned ones have a method that is unknown to the first; second lines have no extension.
+    """
+    items = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS id",
+        "'normal' AS label",
+        "l_returnflag AS method",
+        "if(l_linenumber = 2, NULL, concat('line ', l_linenumber)) AS file_extension",
+        "l_linestatus AS content_type",
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        "l_tax",
+    )
+    return items.where("method <> 'R'"), items
+
+
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(score, label): thousands of characters of a document, and its quality label."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")

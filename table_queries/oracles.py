@@ -16,7 +16,7 @@ from oddwire.schema import (
     parameter_columns,
     ratio_columns,
 )
-from table_queries.catalog import DETECTION_THRESHOLD
+from table_queries.catalog import DETECTION_THRESHOLD, TUNE_SEED
 from table_queries.derived import FILE_PAGES
 
 STANDARD_LIST = ", ".join(f"'{name}'" for name in STANDARD_HEADERS)
@@ -304,6 +304,76 @@ def _prepared_vectors() -> str:
     FROM r JOIN numeric_part USING (rid) CROSS JOIN base LEFT JOIN own USING (rid)"""
 
 
+def _prepare_train_test() -> str:
+    numeric = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    counts = " UNION ALL ".join(
+        f"SELECT {i} AS col, {c} AS val, count(*) AS k, count(*) FILTER (WHERE file_extension IS NOT NULL) AS known"
+        f" FROM train WHERE {c} IS NOT NULL GROUP BY {c}"
+        for i, c in enumerate(CATEGORICAL_COLUMNS)
+    )
+    found = " UNION ALL ".join(
+        f"SELECT {i} AS col, {c} AS val, count(*) AS k FROM kept GROUP BY {c}"
+        for i, c in enumerate(CATEGORICAL_COLUMNS)
+    )
+    same = " AND ".join(f"{c} IN (SELECT {c} FROM train)" for c in CATEGORICAL_COLUMNS)
+    elements = " UNION ALL ".join(
+        f"SELECT {i} AS element, avg({c}) / (SELECT stddev_samp({c}) FROM known) AS mean, "
+        f"count(*) FILTER (WHERE {c} <> 0) AS used FROM kept"
+        for i, c in enumerate(numeric)
+    )
+    return f"""WITH t AS (
+        SELECT l_returnflag AS method, CASE WHEN l_linenumber <> 2 THEN 'line ' || l_linenumber END AS file_extension,
+            l_linestatus AS content_type, {", ".join(numeric)} FROM lineitem),
+    train AS (SELECT * FROM t WHERE method <> 'R'),
+    known AS (SELECT * FROM train WHERE file_extension IS NOT NULL),
+    kept AS (SELECT * FROM t WHERE {same}),
+    counts AS ({counts}),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY col ORDER BY k DESC, val) AS pos,
+            count(*) OVER (PARTITION BY col) AS size, known::DOUBLE / (SELECT count(*) FROM known) AS p FROM counts),
+    placed AS (SELECT *, row_number() OVER (ORDER BY col, pos) AS place FROM ranked WHERE pos < size),
+    total AS (SELECT (SELECT count(*) FROM kept) AS n_rows, (SELECT count(*) FROM known)::DOUBLE AS n),
+    found AS ({found}),
+    elements AS (
+        {elements}
+        UNION ALL SELECT {len(numeric) - 1} + place, coalesce(f.k, 0) / n_rows / sqrt(p * (1 - p) * n / (n - 1)), coalesce(f.k, 0)
+        FROM placed LEFT JOIN found f USING (col, val) CROSS JOIN total)
+    SELECT element::BIGINT AS element, n_rows, round(mean, 6) AS mean, used::BIGINT AS used FROM elements CROSS JOIN total"""
+
+
+def _tune() -> str:
+    """Silhouettes on the rows that the split holds back, for both meanings of a cluster."""
+
+    def silhouette(cluster: str) -> str:
+        return f"""(WITH c AS (SELECT *, {cluster} AS cl FROM held),
+            sizes AS (SELECT cl, count(DISTINCT vec_id)::DOUBLE AS n FROM c GROUP BY cl),
+            sums AS (SELECT cl, i, sum(x) AS y FROM c GROUP BY cl, i),
+            norms AS (SELECT vec_id, cl, sum(x * x) AS xi FROM c GROUP BY vec_id, cl),
+            psi AS (SELECT cl, sum(xi) AS psi FROM norms GROUP BY cl),
+            dots AS (SELECT c.vec_id, s.cl AS other, sum(x * y) AS d FROM c JOIN sums s USING (i) GROUP BY c.vec_id, s.cl),
+            means AS (
+                SELECT m.vec_id, m.cl, other, sz.n, m.xi + psi.psi / sz.n - 2 * d / sz.n AS mean
+                FROM norms m JOIN dots USING (vec_id) JOIN sizes sz ON sz.cl = other JOIN psi ON psi.cl = other),
+            ab AS (
+                SELECT vec_id, max(n) FILTER (WHERE other = cl) AS n,
+                    max(mean * n / nullif(n - 1, 0)) FILTER (WHERE other = cl) AS a,
+                    min(mean) FILTER (WHERE other <> cl) AS b FROM means GROUP BY vec_id, cl)
+            SELECT avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) FROM ab)"""
+
+    return f"""WITH rows AS (
+        SELECT vec_id, label, list_concat(embedding::DOUBLE[],
+            list_transform(range(0, 11), lambda i: CASE WHEN i = label THEN 300.0::DOUBLE
+                WHEN i = 10 AND label >= 5 THEN 10000.0::DOUBLE ELSE 0.0::DOUBLE END)) AS v FROM embeddings
+        WHERE ('0x' || substr(md5('{TUNE_SEED}:' || vec_id), 1, 8))::BIGINT >= 0.8 * 4294967296),
+    held AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM rows),
+    metrics AS (SELECT {silhouette('label >= 5')} AS s2, {silhouette('label')} AS s10),
+    grid AS (
+        SELECT unnest([0, 1, 2, 3])::INT AS grid_idx, unnest([2, 2, 10, 10])::INT AS k, unnest([5, 20, 5, 20])::INT AS "maxIter",
+            0.0001::DOUBLE AS tol, unnest([s2, s2, s10, s10]) AS silhouette FROM metrics)
+    SELECT grid_idx, k, "maxIter", tol, round(silhouette, 10) AS silhouette,
+        round(avg(silhouette) OVER (ORDER BY grid_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 10) AS avg FROM grid"""
+
+
 DISTANCES = """
     points AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
     centres AS (SELECT label, i, avg(x) AS c FROM points GROUP BY label, i),
@@ -482,6 +552,7 @@ def oracles() -> dict[str, str]:
                 WHEN regexp_matches(rtrim({url_query("split_part(line, ' ', 2)")}, '&'), '^&|&&') THEN 'parameter_key'
                 ELSE 'none' END AS reason FROM split""",
         "request_features": _request_features(),
+        "feature_files": _request_features(),
         "labelled_union": """SELECT doc_id AS id, 'normal' AS label, text FROM documents
             UNION ALL SELECT item_id, 'anomaly', text FROM benchmark""",
         "request_count": "SELECT 2 * count(*)::BIGINT AS num_requests FROM pages",
@@ -500,6 +571,10 @@ def oracles() -> dict[str, str]:
             for c in ("quantity", "extendedprice", "discount", "tax")
         ) + " FROM lineitem",
         "prepared_vectors": _prepared_vectors(),
+        "prepare_train_test": _prepare_train_test(),
+        "kmeans_fit": f"""WITH {DISTANCES} SELECT vec_id AS id, label, min(vec_id) OVER (PARTITION BY label) AS prediction,
+            round(distance, 6) AS distance FROM distances""",
+        "tune": _tune(),
         "centroid_distance": f"WITH {DISTANCES} SELECT vec_id, label, round(distance, 6) AS distance FROM distances",
         "nearest_centroid": f"""WITH {DISTANCES},
             pairs AS (
@@ -509,6 +584,7 @@ def oracles() -> dict[str, str]:
         "detect_anomalies": f"""WITH {DISTANCES} SELECT vec_id, label, round(distance, 6) AS distance
             FROM distances WHERE distance >= {DETECTION_THRESHOLD}""",
         "threshold_sweep": _sweep(10, 10),
+        "sweep_files": f"SELECT * REPLACE (round(error_rate, 2) AS error_rate) FROM ({_sweep(10, 10)})",
         "fine_threshold_sweep": _sweep(2, 50),
         "anomaly_counts": f"""WITH {DISTANCES}, t AS (
             SELECT count(*) FILTER (WHERE label = 0) AS total_anomalies,
@@ -517,6 +593,8 @@ def oracles() -> dict[str, str]:
             SELECT *, CASE WHEN detected > 0 THEN round(abs(actual - detected)::DOUBLE / detected * 100, 6) END AS error_rate FROM t""",
         "precision_recall": f"""WITH {SCORES} SELECT threshold, round(precision, 8) AS precision,
             round(recall, 8) AS recall FROM pr""",
+        "evaluation_files": f"""WITH {SCORES} SELECT threshold, round(precision, 8) AS precision,
+            round(recall, 8) AS recall FROM pr""",
         "f_beta": f"WITH {SCORES} SELECT beta, threshold, round(f, 8) AS f FROM fm",
         "best_f_beta": f"""WITH {SCORES} SELECT beta, threshold, round(f, 8) AS f FROM fm
             QUALIFY row_number() OVER (PARTITION BY beta ORDER BY f DESC, threshold DESC) = 1""",
@@ -560,6 +638,8 @@ def oracles() -> dict[str, str]:
         "tuning_pivot": f"""WITH {GRID}, best AS (SELECT tol FROM results ORDER BY results.avg DESC, grid_idx LIMIT 1)
             SELECT "maxIter", {', '.join(f'round(max(avg) FILTER (WHERE k = {k}), 6) AS k_{k}' for k in range(1, 8))}
             FROM results JOIN best USING (tol) GROUP BY "maxIter" """,
+        "tuning_files": f"""WITH {GRID}, best AS (SELECT tol FROM results ORDER BY results.avg DESC, grid_idx LIMIT 1)
+            SELECT "maxIter", k, round(avg, 6) AS avg FROM results JOIN best USING (tol)""",
         "traffic_2s": _recent(2),
         "traffic_6h": _recent(6 * 3600),
         "traffic_last100": LAST_100,

@@ -198,12 +198,27 @@ def test_grid_search(spark, blobs, tmp_path):
         (i, *[next(r["avg"] for r in block if (r["k"], r["maxIter"]) == (k, i)) for k in (2, 3)])
         for i in (5, 10)
     ]
-    tables.write_tuning_results(spark, search, str(tmp_path / "tuning"))
+    tables.write_tuning_results(table, str(tmp_path / "tuning"))
     written = [r[0] for r in spark.read.text(str(tmp_path / "tuning")).collect()]
     assert len(written) == 3 and written[0].endswith("2,3")
     tables.show_tuning_results(table, only_best=False)
 
 
+def test_split_does_not_depend_on_partitions(spark, blobs):
+    share = cluster.split_share(F.col("id"), 9)
+    few = {r["id"]: r["share"] for r in blobs.select("id", share.alias("share")).collect()}
+    many = {r["id"]: r["share"] for r in blobs.repartition(7).select("id", share.alias("share")).collect()}
+    assert few == many and 0.65 < sum(s < 0.8 for s in few.values()) / len(few) < 0.95
+    assert all(0 <= s < 1 for s in few.values())
+    nothing = spark.createDataFrame([(None,)], "id long").select(share.alias("share")).first()
+    assert 0 <= nothing["share"] < 1
+
+
+def test_names_of_clusters(spark):
+    rows = spark.createDataFrame([(5, 1), (3, 1), (4, 0)], "id long, prediction int")
+    assert sorted(tuple(r) for r in cluster.named_by_first(rows).collect()) == [(3, 3), (4, 4), (5, 3)]
+
+
 def test_best_takes_the_first_of_equals(spark):
     grid = spark.createDataFrame([(0, 0.5), (1, 0.9), (2, 0.9)], "grid_idx int, avg double")
     assert cluster.best_by(grid, "avg").first()["grid_idx"] == 1
