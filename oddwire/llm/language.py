@@ -23,7 +23,9 @@ from oddwire.llm.quality import held_out
 BUCKETS = 1 << 16
 #: Added to every count.
 SMOOTHING = 0.5
-ITERATIONS = 12
+#: A document's mixture is done once no other can exceed its log likelihood by more than the first,
+#: or a round adds less than the second.
+GAP, GAIN = 1e-4, 1e-6
 #: Bytes of text whose n-grams are looked up at once; documents are cut at words only.
 CHUNK_BYTES = 1 << 19
 #: Words whose mixtures are fitted at once.
@@ -118,15 +120,23 @@ def mixtures(
     """Language shares and log likelihood of each document, over its allowed languages only.
 
     ``likelihood`` has a row for each word, relative to the word's most likely language; the
-    words of document d are ``counts[d]`` rows from ``first[d]`` on.
+    words of document d are ``counts[d]`` rows from ``first[d]`` on. The likelihood has no other
+    maxima, and rises every round; each document goes on until it is at the top, see ``GAP``.
     """
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(ITERATIONS):
-        part = likelihood * np.repeat(share, counts, axis=0)
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-        share = np.add.reduceat(part, first, axis=0) / counts[:, None]
-    total = (likelihood * np.repeat(share, counts, axis=0)).sum(axis=1)
-    return share, np.add.reduceat(np.log(np.maximum(total, 1e-30)), first)
+    value = np.full(len(counts), -np.inf)
+    left, rows, n = np.arange(len(counts)), likelihood, counts
+    while len(left):
+        total = np.maximum((rows * np.repeat(share[left], n, axis=0)).sum(axis=1), 1e-30)
+        found = np.add.reduceat(np.log(total), first)
+        ratio = np.add.reduceat(rows / total[:, None], first, axis=0) / n[:, None]
+        gap = n * np.log((ratio * allowed[left]).max(axis=1))
+        more = (gap > GAP) & (found - value[left] > GAIN)
+        value[left] = found
+        share[left[more]] *= ratio[more]
+        rows, left, n = rows[np.repeat(more, n)], left[more], n[more]
+        first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+    return share, value
 
 
 def best_likelihood(

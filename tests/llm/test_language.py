@@ -1,3 +1,5 @@
+import math
+import re
 from pathlib import Path
 
 import numpy as np
@@ -44,6 +46,89 @@ def test_expectation_maximisation_climbs_to_the_mixture():
     assert share.sum() == pytest.approx(1)
 
 
+def plain_word_logs(text, profiles):
+    """Words by their 4-grams, each hashed with plain integers: the byte before a byte, itself
+    and the next two, which may be those of the next word."""
+    primes = language._PRIMES.tolist()
+    blanks = b" \t\n\v\f\r"
+    data = [32, *[32 if b in blanks else b + 32 if 65 <= b <= 90 else b for b in text.encode()], 32, 32]
+    for found in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode()):
+        logs = [0.0] * len(profiles.languages)
+        for i in range(*found.span()):
+            bucket = 0
+            for byte, prime in zip(data[i : i + 4], primes):
+                bucket = (bucket + byte * prime) % 2**32
+                bucket ^= bucket >> 15
+            bucket = bucket * primes[0] % 2**32 >> 16
+            for k in range(len(logs)):
+                logs[k] += float(profiles.logs[bucket, k])
+        yield logs
+
+
+def plain_mixture(rows, allowed):
+    """Expectation maximisation of one document, word by word."""
+    share = {k: 1 / len(allowed) for k in allowed}
+    value = -math.inf
+    while True:
+        new, found = dict.fromkeys(allowed, 0.0), 0.0
+        for row in rows:
+            total = sum(share[k] * row[k] for k in allowed)
+            found += math.log(total)
+            for k in allowed:
+                new[k] += share[k] * row[k] / total / len(rows)
+        if found - value < 1e-6:
+            return share, found
+        share, value = new, found
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
+def test_like_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    profiles = language.train(docs)
+    rows = [(r.doc_id, r.text) for r in docs.where("n_chars < 600").orderBy("doc_id").collect()]
+    rows = rows[:100] + [(-1 - i, t) for i, t in enumerate(messy.ODD) if len(t or "") < 600]
+    mixed = [r[1] for r in rows[:40]]
+    rows += [(-100 - i, f"{a} {b}") for i, (a, b) in enumerate(zip(mixed[::2], mixed[1::2]))]
+    got = {r.doc_id: r for r in language.identify(messy.documents(spark, rows), profiles).collect()}
+    assert len(got) == len(rows)
+    several = 0
+    for doc_id, text in rows:
+        words, row = messy.words(text), got[doc_id]
+        if not any(c.isalpha() for c in text or ""):
+            assert row.lang_pred == "und"
+            continue
+        logs = list(plain_word_logs(text, profiles))
+        assert len(logs) == len(words)
+        likelihood = [[math.exp(max(x - max(w), -60)) for x in w] for w in logs]
+        everything = range(len(profiles.languages))
+        full, _ = plain_mixture(likelihood, list(everything))
+        alone = max(everything, key=lambda k: sum(math.log(w[k]) for w in likelihood))
+        order = [alone, *sorted((k for k in everything if k != alone), key=lambda k: -full[k])]
+        penalty = math.log(max(len(words), 2)) / 2
+        tried = [plain_mixture(likelihood, order[: k + 1]) for k in everything]
+        values = [value - k * penalty for k, (_, value) in enumerate(tried)]
+        chosen = len(row.languages) - 1
+        assert values[chosen] > max(values) - 0.1
+        share, _ = tried[chosen]
+        assert set(row.languages) == {profiles.languages[k] for k in order[: chosen + 1]}
+        assert row.score == pytest.approx(max(share.values()), abs=0.03)
+        assert share[profiles.languages.index(row.lang_pred)] > max(share.values()) - 0.06
+        several += chosen > 0
+    assert several >= 5
+
+
+def test_slow_mixtures_reach_the_top():
+    draw = np.random.default_rng(8)
+    counts = np.array([3000, 40, 1])
+    likelihood = np.exp(-draw.exponential(0.3, size=(counts.sum(), 4)))
+    first = np.array([0, 3000, 3040])
+    share, found = language.mixtures(likelihood, first, counts, np.ones((3, 4)))
+    most = language.best_likelihood(likelihood, first, counts, share)
+    # What is left to gain is small beside the least penalty, log(2) / 2.
+    assert (most - found < 0.1).all()
+    assert share.sum(axis=1) == pytest.approx(np.ones(3))
+
+
 def test_no_training_rows(spark, tmp_path):
     docs = spark.createDataFrame([(1, None, "en"), (2, "abc", None)], "doc_id long, text string, lang string")
     profiles = language.train(docs)
