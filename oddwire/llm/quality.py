@@ -1,7 +1,8 @@
 """Document quality by a factorisation machine.
 
-A document is its distinct hashed words, binned statistics of its structure and its length. The
-score is ``sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2))``: all
+A document is its distinct hashed words, binned statistics of its structure, and its metadata: the
+binned length ``n_chars`` that the table states, with a bin of its own where it is null, negative or
+not a column of the table. The score is ``sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2))``: all
 pairwise interactions of low rank, in time linear in the features.
 
 The machine is fitted on at most ``SAMPLE_ROWS`` labelled rows, taken by a hash of their id; this
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,11 +72,22 @@ def statistics(text: np.ndarray, hashes: np.ndarray, lengths: np.ndarray) -> np.
 
 
 N_STATISTICS = 16
-N_FEATURES = WORD_BUCKETS + N_STATISTICS * BINS
+#: First feature of the stated length; the last of its bins stands for none.
+STATED = WORD_BUCKETS + N_STATISTICS * BINS
+N_FEATURES = STATED + BINS + 1
 
 
-def features(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and their values; a text without words has its statistics alone."""
+def stated_length(docs: DataFrame) -> Column:
+    """``n_chars`` as a whole number; null if it is missing, negative or no number."""
+    kinds = {field.name.lower(): field.dataType for field in docs.schema}
+    if not isinstance(kinds.get("n_chars"), (T.NumericType, T.StringType)):
+        return F.lit(None).cast("long")
+    length = F.col("n_chars").try_cast("long")
+    return F.when(length >= 0, length)
+
+
+def features(text: np.ndarray, n_chars: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and their values; a text without words has statistics and length alone."""
     starts, ends = words.spans(text)
     hashes = words.hashes(text, starts, ends)
     lower = words.lower(text)
@@ -88,8 +100,9 @@ def features(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bins = statistics(text, hashes, ends - starts)
     bins = np.clip((bins * BINS).astype(np.int64), 0, BINS - 1)
     own = WORD_BUCKETS + np.arange(N_STATISTICS) * BINS + bins
-    values = np.concatenate([weight, np.full(N_STATISTICS, STATISTIC_VALUE)])
-    return np.concatenate([buckets, own]).astype(np.int32), values.astype(np.float32)
+    length = BINS if n_chars is None else min(int(np.log2(1 + n_chars) / 24 * BINS), BINS - 1)
+    values = np.concatenate([weight, np.full(N_STATISTICS + 1, STATISTIC_VALUE)])
+    return np.concatenate([buckets, own, [STATED + length]]).astype(np.int32), values.astype(np.float32)
 
 
 @dataclass
@@ -162,7 +175,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(text) for text in words.raw_texts(batch.column("text"))]
+        texts = words.raw_texts(batch.column("text"))
+        found = [features(*row) for row in zip(texts, batch.column("length").to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("quality"),
@@ -176,7 +190,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on at most ``sample_rows`` labelled ids outside the held-out fold.
 
-    Labels without id or quality are left out; of contradictory labels of an id the higher counts.
+    Labels without id or quality are left out; of contradictory labels of an id the higher counts,
+    of several rows of an id the one with the least hash of its text, then text and length.
     """
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
@@ -185,11 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
+    row = F.struct(F.xxhash64("text").alias("hash"), "text", "length")
     rows = (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", "text", stated_length(docs).alias("length"))
         .join(F.broadcast(sample), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .select("quality", "text")
+        .groupBy("doc_id", "quality")
+        .agg(F.min(row).alias("row"))
+        .select("quality", "row.text", "row.length")
         .mapInArrow(_feature_rows, "quality int, index binary, value binary")
         .toArrow()
     )
@@ -210,21 +227,27 @@ def score(
 ) -> DataFrame:
     """All columns of the documents with score and prediction, under the given names.
 
-    Null, empty and blank texts are scored by their statistics. Columns of these two names are
-    replaced.
+    Null, empty and blank texts are scored by their statistics and stated length. Columns of these
+    two names are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(machine)
     docs = docs.drop(*names)
+    kept, stated = docs.schema.fields, "stated"
+    while stated in [field.name.lower() for field in kept]:
+        stated += "_"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 2000) for b in batches for k in range(0, len(b), 2000)):
             scores = []
-            for index, value in map(features, words.raw_texts(batch.column("text"))):
+            texts = words.raw_texts(batch.column("text"))
+            for index, value in map(features, texts, batch.column(stated).to_pylist()):
                 scores.append(model.value.scores(index, value, np.zeros(1, np.int64))[0])
-            table = batch.append_column(names[0], words.arrow(scores, pa.float64()))
+            table = batch.drop_columns([stated])
+            table = table.append_column(names[0], words.arrow(scores, pa.float64()))
             yes = words.arrow([int(s >= threshold) for s in scores], pa.int32())
             yield table.append_column(names[1], yes)
         words.give_back()
 
     added = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
+    docs = docs.withColumn(stated, stated_length(docs))
+    return docs.mapInArrow(task, T.StructType([*kept, *added]))

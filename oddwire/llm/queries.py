@@ -42,7 +42,7 @@ def op1_exact_dedup(spark, sf_dir):
 def op4_quality_classifier(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = quality.train(docs, labels)
-    return quality.score(docs.select("doc_id", "text"), machine).select(
+    return quality.score(docs.select("doc_id", "text", "n_chars"), machine).select(
         "doc_id", quality.held_out().alias("held_out"), "score", "predicted"
     )
 
