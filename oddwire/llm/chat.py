@@ -171,7 +171,7 @@ def linear_trees(rows: DataFrame) -> DataFrame:
     """
     way = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.select("conv_id", "role", "text", F.row_number().over(way).alias("n"))
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
+    tree = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("none"))
     return numbered.select(
         F.col("conv_id").alias("tree"),
         F.concat_ws("/", tree, F.col("n")).alias("node"),

@@ -55,6 +55,17 @@ def test_every_text_comes_back(spark):
     assert [t.text for t in got[5].turns] == ["1", "2"]
 
 
+def test_a_null_id_and_ids_of_any_text_stay_apart(spark):
+    rows = [(k, 1, "user", f"of {k}") for k in (None, "none", "=none", "", "=", "/1")]
+    rows += [("", 2, "user", "more"), ("/1", 2, "user", "more")]
+    frame = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = read(chat.conversations(chat.linear_trees(frame))).collect()
+    assert len(got) == 6
+    for r in got:
+        said = [f"of {r.tree}"] + ["more"] * (r.tree in ("", "/1"))
+        assert [t.text for t in r.turns] == said
+
+
 def test_long_and_empty_and_circular(spark):
     rows = [(1, f"{k}", f"{k - 1}" if k else None, "user", str(k), 0.0) for k in range(70)]
     (row,) = read(chat.conversations(spark.createDataFrame(rows, MESSAGES))).collect()
