@@ -293,11 +293,10 @@ def encode(
     asked for. Columns of these names are replaced; rows are treated one by one.
     """
     docs = docs.drop("ids", "scores", "alternatives", "restored")
-    added = [
-        T.StructField("ids", T.ArrayType(T.IntegerType())),
-        T.StructField("scores", T.ArrayType(T.DoubleType())),
-    ]
-    if all_ids:
+    added = [T.StructField("scores", T.ArrayType(T.DoubleType()))]
+    if not all_ids:
+        added.insert(0, T.StructField("ids", T.ArrayType(T.IntegerType())))
+    else:
         added.append(T.StructField("alternatives", T.ArrayType(T.ArrayType(T.IntegerType()))))
     if verify:
         added.append(T.StructField("restored", T.BooleanType()))
@@ -312,12 +311,12 @@ def encode(
                     own_scores, own_ids = own.encode(text.decode("utf-8", "surrogatepass"), all_ids)
                     scores.append(own_scores)
                     ids.append(own_ids)
-                part = part.append_column("ids", _id_lists([i[0] for i in ids]))
+                counts = [len(own_ids) for own_ids in ids]
+                made = _id_lists([i for own_ids in ids for i in own_ids])
+                if not all_ids:
+                    part = part.append_column("ids", made)
                 part = part.append_column("scores", words.arrow(scores, pa.list_(pa.float64())))
-                counts, made = [1] * len(ids), part.column("ids")
                 if all_ids:
-                    counts = [len(own_ids) for own_ids in ids]
-                    made = _id_lists([i for own_ids in ids for i in own_ids])
                     ends = words.arrow(np.cumsum([0, *counts], dtype=np.int32))
                     part = part.append_column("alternatives", pa.ListArray.from_arrays(ends, made))
                 if verify:
@@ -326,7 +325,8 @@ def encode(
                 yield part
         own.forget()
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
+    encoded = docs.mapInArrow(task, T.StructType([*docs.schema.fields, *added]))
+    return encoded.withColumn("ids", F.get("alternatives", F.lit(0))) if all_ids else encoded
 
 
 def _id_lists(rows: list[bytes]) -> pa.ListArray:
