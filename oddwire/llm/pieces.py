@@ -256,7 +256,7 @@ class Encoder(dict):
 
 @lru_cache(maxsize=2)
 def encoder(model: str, count: int) -> Encoder:
-    """One for all tasks of a worker, so that words stay known."""
+    """One for the tasks of a worker, so that words stay known until other operators use it."""
     return Encoder(Vocabulary(model), count)
 
 
@@ -303,6 +303,7 @@ def encode(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model, count)
+        words.keep("encoder", encoder.cache_clear)
         for batch in batches:
             for part in _slices(batch):
                 scores, ids = [], []
@@ -346,6 +347,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder(model, N_BEST).vocabulary
+        words.keep("encoder", encoder.cache_clear)
         for batch in batches:
             for part in _slices(batch):
                 texts = vocabulary.decode(part.column("ids"))

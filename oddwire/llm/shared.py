@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from oddwire.session import shared_folder
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT, _BATCH_BYTES = "67108864b", "4194304b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let 4 MB at most go to a Python worker at once, unless the session has a setting.
+
+    Spark's own 64 MB are held by the JVM, off its heap, and by the worker, for every running task.
+    """
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, _BATCH_BYTES)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -20,6 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(table: DataFrame, name: str) -> DataFrame:
     """Write a table and go on from the copy: lineage ends here and lost executors lose nothing."""
     spark = table.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
@@ -74,4 +88,5 @@ def with_row_key(docs: DataFrame, columns: list, key: str = "row_key") -> DataFr
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

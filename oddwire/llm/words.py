@@ -7,7 +7,7 @@ the separators occurs inside a multi-byte character.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ _MIX = _odd(2)
 
 
 #: Values hashed at a time; tables of powers are as long, whatever the texts are.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 class Powers:
@@ -147,10 +147,29 @@ def give_back() -> None:
         trim(0)
 
 
+#: How to free what tasks of one operator keep in a worker for the next of their kind.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, free: Callable[[], None]) -> None:
+    """Note that a worker keeps something until a task calls ``let_go``."""
+    _kept[name] = free
+
+
+def let_go() -> None:
+    """Free what earlier tasks of other operators keep in this worker."""
+    if _kept:
+        for free in _kept.values():
+            free()
+        _kept.clear()
+        give_back()
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20
 ) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``size`` bytes of a column, so that little is held at once."""
+    let_go()
     for batch in batches:
         rows = max(1, len(batch) * size // max(batch.column(column).nbytes, size))
         for start in range(0, len(batch), rows):

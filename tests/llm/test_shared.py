@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import messy
-from oddwire.llm import exact_dedup, jaccard, substrings, words
+from oddwire.llm import exact_dedup, jaccard, shared, substrings, words
 from oddwire.llm.members import without
 from oddwire.llm.shared import stored, with_row_key
 
@@ -130,3 +130,23 @@ def test_memory_of_a_very_long_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert base < 200e6 and peak < 320e6
+
+
+def test_what_a_worker_keeps_goes_when_another_operator_begins():
+    freed = []
+    words.keep("a", lambda: freed.append("a"))
+    words.keep("a", lambda: freed.append("last a"))
+    words.keep("b", lambda: freed.append("b"))
+    assert list(words.slices(iter([]))) == [] and freed == ["last a", "b"]
+    words.let_go()
+    assert freed == ["last a", "b"]
+
+
+def test_batches_are_small_unless_the_session_says_otherwise(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session = spark.newSession()
+    shared.small_batches(session)
+    assert session.conf.get(name) == "4194304b"
+    session.conf.set(name, "9m")
+    shared.small_batches(session)
+    assert session.conf.get(name) == "9m"
