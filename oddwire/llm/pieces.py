@@ -200,16 +200,16 @@ def packed(ids) -> bytes:
 class Encoder(dict):
     """Best segmentation by word, filled as words are met."""
 
-    def __init__(self, vocabulary: Vocabulary, count: int):
+    def __init__(self, vocabulary: Vocabulary, count: int, remembered: int):
         super().__init__()
-        self.vocabulary, self.count = vocabulary, count
+        self.vocabulary, self.count, self.remembered = vocabulary, count, remembered
         self.older: dict = {}
         self.several: dict[str, list] = {}
 
     def __missing__(self, word: str):
         found = self.older.get(word) or self.vocabulary.forward(word)
         if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.older = dict(self)
                 self.clear()
             self[word] = found
@@ -225,7 +225,7 @@ class Encoder(dict):
         found = self.several.get(word)
         if found is None:
             found = [(s, packed(ids)) for s, ids in self.vocabulary.n_best(word, self.count)]
-            if len(self.several) >= REMEMBERED // 10:
+            if len(self.several) >= self.remembered // 10:
                 self.several.clear()
             if len(word) <= REMEMBERED_LENGTH:
                 self.several[word] = found
@@ -255,9 +255,9 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(model: str, count: int) -> Encoder:
+def encoder(model: str, count: int, remembered: int = REMEMBERED) -> Encoder:
     """One for the tasks of a worker, so that words stay known until other operators use it."""
-    return Encoder(Vocabulary(model), count)
+    return Encoder(Vocabulary(model), count, remembered)
 
 
 def _smallest_sums(losses: list[list[float]], count: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -283,11 +283,13 @@ def encode(
     count: int = N_BEST,
     all_ids: bool = False,
     verify: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """All columns of the documents with ``ids`` (the best segmentation) and ``scores`` (N best,
     falling); with ``all_ids`` also ``alternatives``, the ids of each of the N best; with
     ``verify`` also ``restored``, whether decoding in the same task gives the text back from the
-    ids and from all alternatives that are returned.
+    ids and from all alternatives that are returned. A worker remembers ``remembered`` words, at
+    most twice as many: 300 bytes each, for time alone.
 
     Null and empty texts have no ids and the score 0. A short text has fewer segmentations than
     asked for. Columns of these names are replaced; rows are treated one by one.
@@ -302,7 +304,7 @@ def encode(
         added.append(T.StructField("restored", T.BooleanType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model, count)
+        own = encoder(model, count, remembered)
         words.keep("encoder", encoder.cache_clear)
         for batch in batches:
             for part in _slices(batch):

@@ -121,7 +121,7 @@ def op2_warc(spark, sf_dir):
 def op8_sentence_pieces(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_pieces = F.size("ids").cast("long").alias("n_pieces")
-    encoded = pieces.encode(docs, all_ids=True, verify=True)
+    encoded = pieces.encode(docs, all_ids=True, verify=True, remembered=200_000)
     return encoded.select("doc_id", n_pieces, "scores", "ids", "alternatives", "restored")
 
 
