@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ BLOCK_TERMS = 1 << 14
 #: Sources on the left of the pairs of one task, about.
 PAIR_SOURCES = 16
 #: Distinct (group, term) entries a task gathers before it sends them.
-FLUSH = 200_000
+FLUSH = 1_000_000
 
 _TERMS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -51,31 +52,40 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def _counts(flush: int):
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    names = [f.split()[0] for f in COUNTS.split(", ")]
+
     def send(groups: dict) -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
-        for (lang, source), (totals, documents) in groups.items():
-            rows = len(totals) + 1
-            columns[0] += [lang] * rows
-            columns[1] += [source] * rows
+        terms: list = []
+        for totals, documents in groups.values():
             # A row without a term says that the group occurs.
-            columns[2] += [None, *totals]
-            columns[3] += [0, *totals.values()]
-            columns[4] += [0, *map(documents.__getitem__, totals)]
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        arrays = [words.arrow(c, k) for c, k in zip(columns, kinds)]
-        arrays[2] = arrays[2].cast(pa.string())
-        return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in COUNTS.split(", ")])
+            totals[b""] = documents[b""] = 0
+            terms += totals
+        sizes = [len(totals) for totals, _ in groups.values()]
+        of = words.arrow(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
+        # Both counters met their terms in the same order.
+        numbers = [
+            np.fromiter(chain.from_iterable(pair[k].values() for pair in groups.values()), np.int64)
+            for k in (0, 1)
+        ]
+        ends = np.zeros(len(terms) + 1, dtype=np.int32)
+        np.cumsum(np.fromiter(map(len, terms), np.int32), out=ends[1:])
+        known = pa.py_buffer(np.packbits(ends[1:] > ends[:-1], bitorder="little"))
+        buffers = [known, pa.py_buffer(ends), pa.py_buffer(b"".join(terms))]
+        groups_of = [words.arrow([group[k] for group in groups], kinds[k]).take(of) for k in (0, 1)]
+        found = pa.Array.from_buffers(kinds[2], len(terms), buffers)
+        return pa.RecordBatch.from_arrays([*groups_of, found, *map(words.arrow, numbers)], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict = defaultdict(lambda: (Counter(), Counter()))
         for batch in words.slices(batches):
-            names = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-            for group, text in zip(names, words.raw_texts(batch.column("text"))):
-                own = Counter(terms_of(text.tobytes()))
-                del own[b""]
+            pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+            for group, text in zip(pairs, words.raw_texts(batch.column("text"))):
+                own = terms_of(text.tobytes())
                 totals, documents = groups[group]
+                # Iterators and lists are counted in C, mappings are not.
                 totals.update(own)
-                documents.update(own.keys())
+                documents.update(iter(dict.fromkeys(own)))
             if sum(len(totals) for totals, _ in groups.values()) > flush:
                 yield send(groups)
                 groups.clear()
@@ -94,6 +104,8 @@ def term_counts(docs: DataFrame, flush: int = FLUSH) -> DataFrame:
     )
     return (
         texts.mapInArrow(_counts(flush), COUNTS)
+        # Tasks have added up what they can, a second time before the exchange would be in vain.
+        .repartition("lang", "source", "term")
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from oddwire.llm import divergence
@@ -117,3 +118,27 @@ def test_price_of_columns(spark):
     frame = spark.createDataFrame(rows, "a long, b long, c long")
     made = frame.select("*", divergence._price(frame.a, frame.b, frame.c).alias("p")).collect()
     assert [r.p for r in made] == [divergence.price(r.a, r.b, r.c) for r in made]
+
+
+def test_rows_of_tasks_are_added_up_after_the_exchange_only(spark):
+    docs = spark.createDataFrame(ROWS, "text string, lang string, source string")
+    plan = divergence.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning", 1)
+    assert "HashAggregate" in above and "MapInArrow" in below
+    assert "Aggregate" not in below
+
+
+def test_counts_of_a_task_stay_with_their_terms():
+    texts = ["b a a", None, "c b ; b", "", "a"]
+    arrays = [["x", "x", "y", "z", "x"], ["p", "p", "p", "q", "p"]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(a, pa.string()) for a in (texts, *arrays)], ["text", "lang", "source"]
+    )
+    (sent,) = divergence._counts(100)(iter([batch]))
+    rows = sorted(map(tuple, (r.values() for r in sent.to_pylist())), key=str)
+    assert rows == sorted(
+        [("x", "p", None, 0, 0), ("x", "p", "b", 1, 1), ("x", "p", "a", 3, 2)]
+        + [("y", "p", None, 0, 0), ("y", "p", "c", 1, 1), ("y", "p", "b", 2, 1)]
+        + [("z", "q", None, 0, 0)],
+        key=str,
+    )
