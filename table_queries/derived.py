@@ -18,7 +18,7 @@ from oddwire.operators.assemble import assemble_requests, assign_ids
 from oddwire.operators.parse import parse_requests
 from oddwire.schema import ANOMALY, ATTACK_CLASSES, CONNECTION_FEATURES, NORMAL
 from oddwire.session import shared_folder
-from oddwire.sources.traffic import read_requests
+from oddwire.sources.traffic import log_name, named_line, read_requests
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -85,36 +85,41 @@ def _label() -> Column:
     return F.when(F.col("file").rlike("spam|cheap"), ANOMALY).otherwise(NORMAL)
 
 
-#: Pages of a traffic file, so that no host is written by one task alone.
+#: Page ids of a log, so that no host is written by one task alone.
 FILE_PAGES = 64
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> str:
     """The traffic of all pages as text in the shared folder, the files of blogs compressed.
 
-    A file holds the traffic of one host, up to ``FILE_PAGES`` page ids of it.
+    A log holds the traffic of one host, up to ``FILE_PAGES`` page ids of it. Logs are small and
+    their number grows with the pages, so a file holds all logs of the task that writes it, one
+    behind the other, with the log's name before each line.
     """
     traffic = page_traffic(spark, sf_dir)
     name = F.concat_ws("-", "host", F.floor(F.col("page_id") / FILE_PAGES))
+    # A carriage return ends a line of text as well, and what follows it needs its name, too.
+    line = F.regexp_replace(F.coalesce("line", F.lit("")), r"\r\z", "")
     lines = (
         traffic.withColumn("traffic", name)
         .repartition("traffic")
         .sortWithinPartitions("traffic", "page_id")
-        .select("host", "traffic", F.explode("lines").alias("value"))
+        .select("host", "traffic", F.explode("lines").alias("line"))
+        .select("host", "traffic", F.explode(F.split(line, r"\r\n|\r|\n")).alias("line"))
+        .select("host", named_line(F.col("traffic"), F.col("line")).alias("value"))
     )
     blog = F.col("host").startswith("blog")
     root = fresh(spark, "traffic")
     for part, rows, compression in (("plain", ~blog, "none"), ("packed", blog, "gzip")):
-        text = lines.where(rows).drop("host").write.partitionBy("traffic")
+        text = lines.where(rows).select("value").write.option("maxRecordsPerFile", 0)
         text.option("compression", compression).text(f"{root}/form={part}")
     return root
 
 
 def file_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests read back from the traffic files."""
-    requests = read_requests(spark, page_files(spark, sf_dir), split_lines=100)
-    name = F.regexp_extract("file", "/traffic=([^/]*)/", 1)
-    return requests.withColumn("file", name).withColumn("label", _label())
+    requests = read_requests(spark, page_files(spark, sf_dir), split_lines=100, named=True)
+    return requests.withColumn("file", log_name(F.col("file"))).withColumn("label", _label())
 
 
 def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 import gzip
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from oddwire.operators import assemble, features, parse, statistics
-from oddwire.sources.traffic import read_lines, read_requests, union_sets
+from oddwire.sources.traffic import log_name, named_line, read_lines, read_requests, union_sets
+from table_queries import derived
 from traffic_samples import BROWSER, expected, request, shop_traffic
 
 
@@ -263,3 +265,70 @@ def test_failfast_fails_whatever_is_read(spark, tmp_path, broken):
         with pytest.raises(Exception, match="malformed request"):
             use.collect()
     assert read_requests(spark, str(path), label="n", mode="PERMISSIVE").count() == 2
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("size", ["128m", "700"])
+def test_many_logs_in_one_file(spark, tmp_path, small_splits, packed, size):
+    sets = {f"shop é#{k}\tx": shop_traffic(k, 5 + k) for k in range(12)}
+    rows = [(name, n, line) for name, lines in sets.items() for n, line in enumerate(lines)]
+    path = str(tmp_path / "logs")
+    logs = spark.createDataFrame(rows, "name string, n long, line string").coalesce(1)
+    logs = logs.sortWithinPartitions("name", "n")
+    logs.select(named_line(F.col("name"), F.col("line"))).write.option(
+        "compression", "gzip" if packed else "none"
+    ).text(path)
+    small_splits(size)
+    requests = read_requests(spark, path, split_lines=20, named=True)
+    requests = requests.withColumn("name", log_name(F.col("file"))).cache()
+    assert requests.select("file").distinct().count() == len(sets)
+    for name, lines in sets.items():
+        assert found(requests.where(F.col("name") == name)) == expected(lines)
+
+
+def test_line_without_the_name_of_its_log_fails(spark, tmp_path):
+    path = write(tmp_path, "a.txt", ["a\tGET / HTTP/1.1", "a\t", "GET / HTTP/1.1"])
+    with pytest.raises(Exception, match="without the name of its log"):
+        read_lines(spark, path, named=True).collect()
+
+
+def test_files_of_pages_do_not_grow_with_their_logs(spark, tmp_path):
+    rows = [
+        (k, f"http://{'blog' if k % 3 else 'www'}{k % 7}.example.org/en/{k}?page={k}", f"<title>t{k}</title>\n{k} x\n\ny")
+        for k in range(0, 2000, 5)
+    ]
+    rows += [
+        (1, "http://blog1.example.org/a", "one\rtwo\r\nthree\r\r\n\rfour"),
+        (2, "http://blog1.example.org/b", "<title>two\nlines\r</title>\n"),
+        (3, "http://blog1.example.org/c", ""),
+        (3, "http://blog1.example.org/c", ""),
+        (4, "http://blog1.example.org/d", None),
+        (5, None, "text"),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(
+        str(tmp_path / "pages.parquet")
+    )
+    sf_dir = str(tmp_path)
+    logs: dict = {}
+    for r in derived.page_traffic(spark, sf_dir).orderBy("page_id").collect():
+        if r["lines"] is not None and r["host"] is not None:
+            name = f"{r['host']}-{r['page_id'] // derived.FILE_PAGES}"
+            logs[name] = logs.get(name, "") + "".join(f"{line}\n" for line in r["lines"])
+    assert len(logs) > 300
+    (tmp_path / "each").mkdir()
+    for name, text in logs.items():
+        (tmp_path / "each" / name).write_bytes(text.encode())
+    root = derived.page_files(spark, sf_dir)
+    files = list(Path(root).rglob("part-*"))
+    assert 0 < len(files) <= 16
+    assert {f.name.endswith(".gz") for f in files} == {True, False}
+
+    def plain(requests):
+        columns = ["name", "request_no", "line_no", "id", "uri", "headers", "body"]
+        return sorted((tuple(r) for r in requests.select(columns).collect()), key=str)
+
+    each = read_requests(spark, str(tmp_path / "each"), mode="PERMISSIVE")
+    each = each.withColumn("name", F.regexp_extract("file", "([^/]*)$", 1))
+    together = read_requests(spark, root, split_lines=100, named=True, mode="PERMISSIVE")
+    together = together.withColumn("name", log_name(F.col("file")))
+    assert plain(together) == plain(each)
