@@ -103,40 +103,42 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*empty, words.arrow(used, pa.int32()), counts], names)
 
 
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rank of each counter's count over all tasks, in steps of an eighth, as a byte a counter."""
     current, total = None, np.zeros(COUNTER_BLOCK, dtype=np.uint64)
 
-    def summed() -> pa.RecordBatch:
+    def ranked() -> pa.RecordBatch:
+        ranks = np.floor(8 * np.log2(1 + total.astype(np.float64))).astype(np.uint8)
         return pa.RecordBatch.from_arrays(
-            [words.arrow([current], pa.int32()), words.arrow([total.tobytes()], pa.binary())],
-            ["block", "counts"],
+            [words.arrow([current], pa.int32()), words.arrow([ranks.tobytes()], pa.binary())],
+            ["block", "ranks"],
         )
 
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
             if block != current:
                 if current is not None:
-                    yield summed()
+                    yield ranked()
                 current, total[:] = block, 0
             total += np.frombuffer(counts.as_py(), np.uint8)
     if current is not None:
-        yield summed()
+        yield ranked()
 
 
 def _rarity(profiles: DataFrame) -> np.ndarray:
-    """Rank of each counter's count, in steps of an eighth; shingles are ordered by it and hash."""
+    """Rank of each counter; shingles are ordered by it and hash. Ranks alone reach the driver."""
     rows = (
         profiles.where("block IS NOT NULL")
         .select("block", "counts")
         .repartition("block")
         .sortWithinPartitions("block")
-        .mapInArrow(_add_counts, "block int, counts binary")
+        .mapInArrow(_ranks, "block int, ranks binary")
         .toArrow()
     )
-    counts = np.zeros((max((1 << LOG2_COUNTERS) // COUNTER_BLOCK, 1), COUNTER_BLOCK))
-    for block, row in zip(rows.column("block"), rows.column("counts")):
-        counts[block.as_py()] = np.frombuffer(row.as_py(), np.uint64)
-    return np.floor(8 * np.log2(1 + counts.reshape(-1))).astype(np.uint8)
+    ranks = np.zeros((max((1 << LOG2_COUNTERS) // COUNTER_BLOCK, 1), COUNTER_BLOCK), np.uint8)
+    for block, row in zip(rows.column("block"), rows.column("ranks")):
+        ranks[block.as_py()] = np.frombuffer(row.as_py(), np.uint8)
+    return ranks.reshape(-1)
 
 
 def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
     found = rows.select("row_key", "text").mapInArrow(task, "id long, shingles array<long>")
     sets = written(found.join(ids, "id", "left_semi"), "sets")
-    wanted.unpersist()
+    wanted.destroy()
     return sets
 
 
@@ -332,7 +334,7 @@ def index_candidates(index: DataFrame) -> DataFrame:
         ),
         "index-blocks",
     )
-    wanted.unpersist()
+    wanted.destroy()
     name = F.struct("size_block", "place", "part", "group")
     left = blocks.select("token", name.alias("b1"), "least_n", "rest", "entries")
     right = blocks.select(
@@ -491,7 +493,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         .join(labels, "id"),
         "index",
     )
-    rarity.unpersist()
+    rarity.destroy()
     candidates = index_candidates(index)
     between = cluster_links(candidates, leaders, rows)
     joined = components(clusters.toDF("a", "b").union(between))

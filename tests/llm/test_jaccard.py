@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 import messy
 from oddwire.llm import jaccard
 from oddwire.llm.components import components
@@ -109,3 +112,18 @@ def test_components(spark):
     frame = spark.createDataFrame([*links, (None, 4)], "a long, b long")
     got = dict(components(frame).collect())
     assert got == {k: 10 for k in range(10, 41)} | {1: 1, 2: 1, 3: 1, 50: 1}
+
+
+def test_driver_gets_a_byte_a_counter():
+    """Counts of several tasks are added and ranked in a task; ranks alone go on."""
+    counts = np.zeros((3, jaccard.COUNTER_BLOCK), np.uint8)
+    counts[0, :3], counts[1, 1:4], counts[2, 5] = 255, 255, 9
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([2, 2, 7], pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())],
+        ["block", "counts"],
+    )
+    got = [r for made in jaccard._ranks(iter([batch])) for r in made.to_pylist()]
+    assert [r["block"] for r in got] == [2, 7]
+    ranks = [np.frombuffer(r["ranks"], np.uint8) for r in got]
+    assert all(len(r) == jaccard.COUNTER_BLOCK for r in ranks)
+    assert ranks[0][:5].tolist() == [64, 71, 71, 64, 0] and ranks[1][5] == 26
