@@ -7,8 +7,9 @@ which therefore meets complete segmentations in falling order of score.
 No piece crosses from a character other than a space to a space, nor from a letter to most marks
 (found out when a vocabulary is read), so the lattice of a text is a chain of small ones, a space
 run and a word or the end of one each. Words are
-remembered by the task; the N best of a text are the N best sums over its words, and only the
-words with the N - 1 smallest gaps between best and second can take part in them.
+remembered by the task, and those that it does not know yet go through the forward pass together,
+one place of all of them at a time. The N best of a text are the N best sums over its words, and
+only the words with the N - 1 smallest gaps between best and second can take part in them.
 
 The vocabulary file holds byte-pair ranks, no probabilities, so a piece scores by Zipf's law of
 its rank. Characters without a piece become UTF-8 bytes; decoding restores every text exactly.
@@ -41,8 +42,13 @@ BYTE_PENALTY = 5.0
 #: Words a worker remembers at least, at most twice as many; and the longest of them.
 REMEMBERED = 80_000
 REMEMBERED_LENGTH = 64
+#: Words that go through the forward pass together at most; fewer than the least go one by one.
+TOGETHER, LEAST_TOGETHER = 4096, 32
 
 _LEAST = -math.inf
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: No character, and part of no piece.
+_BETWEEN = 0x1FFFFF
 
 
 class Vocabulary:
@@ -75,6 +81,7 @@ class Vocabulary:
         letters = rf" *[^\W\d_]+(?=[{ends}])|" if marks else ""
         self.words = re.compile(letters + (" *[^ ]+| +" if breaks else " *[^ \n]+| +|\n"))
         self.table = words.arrow([self.surfaces.get(k, b"") for k in range(size)], pa.binary())
+        self._number_nodes()
 
     def _add(self, surface: str, score: float, piece: int) -> None:
         nodes = self.trie
@@ -136,6 +143,134 @@ class Vocabulary:
         ids.reverse()
         return packed(chain.from_iterable(ids)), best[size], best[size] - second[size]
 
+    def _number_nodes(self) -> None:
+        """The trie as arrays: score and id (-1: none) by node, and a hash table of the steps.
+
+        A step is a node's number and a character, in one number; a slot holds a step and its end.
+        """
+        steps, scores, ids = [], [0.0], [-1]
+        open_ = [(0, self.trie)]
+        for node, further in open_:
+            for character, (score, own, nodes) in further.items():
+                steps.append(node << 21 | ord(character))
+                open_.append((len(scores), nodes))
+                scores.append(score)
+                ids.append(own[0] if own else -1)
+        self.node_scores, self.node_ids = np.array(scores), np.array(ids, np.int32)
+        self.log2_slots = (2 * len(steps)).bit_length()
+        self.steps = np.full(1 << self.log2_slots, -1, np.int64)
+        self.step_ends = np.zeros(1 << self.log2_slots, np.int64)
+        left = np.array(steps, np.int64)
+        ends = np.arange(1, len(scores))
+        slots = self._slots(left)
+        while len(left):
+            free = self.steps[slots] == -1
+            self.steps[slots[free]] = left[free]
+            placed = self.steps[slots] == left
+            self.step_ends[slots[placed]] = ends[placed]
+            left, ends = left[~placed], ends[~placed]
+            slots = (slots[~placed] + 1) % len(self.steps)
+
+    def _slots(self, steps: np.ndarray) -> np.ndarray:
+        return (steps.view(np.uint64) * _SPREAD >> np.uint64(64 - self.log2_slots)).view(np.int64)
+
+    def _further(self, nodes: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The node that each one's character leads to, or -1."""
+        steps = nodes << 21 | characters
+        slots = self._slots(steps)
+        held = self.steps[slots]
+        found = np.where(held == steps, self.step_ends[slots], -1)
+        open_ = np.flatnonzero((held != steps) & (held != -1))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) % len(self.steps)
+            held = self.steps[slots[open_]]
+            same = held == steps[open_]
+            found[open_[same]] = self.step_ends[slots[open_[same]]]
+            open_ = open_[~same & (held != -1)]
+        return found
+
+    def _all_arcs(self, characters: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, end, score and id (-1: the bytes of a character) of each arc of many words, which
+        lie one after the other with ``_BETWEEN`` behind each."""
+        starts = np.flatnonzero(characters != _BETWEEN)
+        own = characters[starts]
+        nodes = self._further(np.zeros(len(starts), np.int64), own)
+        ids = np.where(nodes >= 0, self.node_ids[nodes], -1)
+        utf8 = 1 + (own > 0x7F) + (own > 0x7FF) + (own > 0xFFFF)
+        scores = np.where(ids >= 0, self.node_scores[nodes], self.byte_score * utf8)
+        found = [(starts, starts + 1, scores, ids)]
+        ends = starts
+        while len(starts):
+            on = np.flatnonzero(nodes >= 0)
+            starts, ends, nodes = starts[on], ends[on] + 1, nodes[on]
+            nodes = self._further(nodes, characters[ends])
+            ids = np.where(nodes >= 0, self.node_ids[nodes], -1)
+            on = np.flatnonzero(ids >= 0)
+            found.append((starts[on], ends[on] + 1, self.node_scores[nodes[on]], ids[on]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def forward_together(self, cut: list[str]) -> list[tuple[bytes, float, float]]:
+        """What ``forward`` gives for each of many words, by the same sums in the same order."""
+        sizes = np.array([len(word) for word in cut])
+        lasts = np.cumsum(sizes + 1) - 1
+        firsts = lasts - sizes
+        text = "".join(cut).encode("utf-32-le", "surrogatepass")
+        characters = np.full(int(lasts[-1]) + 1, _BETWEEN)
+        inside = np.ones(len(characters), bool)
+        inside[lasts] = False
+        characters[inside] = np.frombuffer(text, np.uint32)
+        starts, ends, scores, ids = self._all_arcs(characters)
+        # arcs by their place in the word; those of one place have different ends
+        places = (np.arange(len(characters)) - np.repeat(firsts, sizes + 1))[starts]
+        order = np.argsort(places, kind="stable")
+        starts, ends, scores, ids = starts[order], ends[order], scores[order], ids[order]
+        best, second = np.full((2, len(characters)), _LEAST)
+        best[firsts] = 0.0
+        back = np.zeros(len(characters), np.int64)
+        at = 0
+        for stop in np.cumsum(np.bincount(places)).tolist():
+            here, to, score = starts[at:stop], ends[at:stop], scores[at:stop]
+            value, rest = best[here] + score, second[here] + score
+            top = best[to]
+            better = value > top
+            rest = np.where(better, np.maximum(top, rest), np.maximum(second[to], value))
+            second[to] = rest
+            best[to] = np.where(better, value, top)
+            on = np.flatnonzero(better)
+            back[to[on]] = at + on
+            at = stop
+        packed_ids, counts, spelt = self._paths(firsts, lasts, back, starts, ids)
+        stops = (4 * np.cumsum(counts)).tolist()
+        reached = best[lasts]
+        gaps = reached - second[lasts]
+        found = [
+            (packed_ids[begin:stop], score, gap)
+            for begin, stop, score, gap in zip([0, *stops], stops, reached.tolist(), gaps.tolist())
+        ]
+        for k in np.flatnonzero(spelt).tolist():
+            found[k] = self.forward(cut[k])
+        return found
+
+    @staticmethod
+    def _paths(firsts, lasts, back, starts, ids) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Ids on the best paths of all words, how many each has, and which words need bytes."""
+        rows, at = np.arange(len(firsts)), lasts
+        counts, spelt = np.zeros(len(firsts), np.int64), np.zeros(len(firsts), bool)
+        taken = []
+        while len(rows):
+            arc = back[at]
+            taken.append((rows, ids[arc]))
+            counts[rows] += 1
+            spelt[rows[ids[arc] < 0]] = True
+            at = starts[arc]
+            on = np.flatnonzero(at > firsts[rows])
+            rows, at = rows[on], at[on]
+        last = np.cumsum(counts) - 1
+        made = np.zeros(int(last[-1]) + 1, np.int32)
+        for step, (rows, own) in enumerate(taken):
+            made[last[rows] - step] = own
+        return made.tobytes(), counts, spelt
+
     def n_best(self, word: str, count: int) -> list[tuple[float, tuple[int, ...]]]:
         """The best segmentations of a word by A-star from its end, in falling order of score.
 
@@ -209,12 +344,32 @@ class Encoder(dict):
     def __missing__(self, word: str):
         found = self.older.get(word) or self.vocabulary.forward(word)
         if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= self.remembered:
-                self.older = dict(self)
-                self.clear()
-            self[word] = found
+            self.remember(word, found)
         return found
 
+    def remember(self, word: str, found: tuple) -> None:
+        if len(self) >= self.remembered:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text with a space before it; an empty text has none."""
+        return self.vocabulary.words.findall(" " + text) if text else []
+
+    def learn(self, cuts: list[list[str]]) -> None:
+        """Segment the words of some texts that are not known yet, many together."""
+        new = [
+            word
+            for word in set().union(*cuts)
+            if word not in self and word not in self.older and len(word) <= REMEMBERED_LENGTH
+        ]
+        for start in range(0, len(new), TOGETHER):
+            some = new[start : start + TOGETHER]
+            if len(some) >= LEAST_TOGETHER:
+                for word, found in zip(some, self.vocabulary.forward_together(some)):
+                    self.remember(word, found)
+
     def forget(self) -> None:
         """Keep the words of the last stretch alone; what other tasks use lies in the same memory."""
         self.older = {}
@@ -234,11 +389,14 @@ class Encoder(dict):
     def encode(self, text: str, every: bool = True) -> tuple[list[float], list[bytes]]:
         """Scores of the N best segmentations of a text, and the packed ids of each (of the best
         alone without ``every``). An empty text has one, without pieces."""
-        if not text:
+        return self.encode_words(self.cut(text), every)
+
+    def encode_words(self, cut: list[str], every: bool = True) -> tuple[list[float], list[bytes]]:
+        if not cut:
             return [0.0], [b""]
-        cut = self.vocabulary.words.findall(" " + text)
-        ids, scores, gaps = map(list, zip(*[self[word] for word in cut]))
-        score = sum(scores)
+        found = [self[word] for word in cut]
+        ids, gaps = [own[0] for own in found], [own[2] for own in found]
+        score = sum([own[1] for own in found])
         close = []
         while len(close) < self.count - 1 and (gap := min(gaps)) < math.inf:
             close.append(gaps.index(gap))
@@ -310,10 +468,13 @@ def encode(
             for part in _slices(batch):
                 scores, ids = [], []
                 texts = [text.tobytes() for text in words.raw_texts(part.column("text"))]
-                for text in texts:
-                    own_scores, own_ids = own.encode(text.decode("utf-8", "surrogatepass"), all_ids)
-                    scores.append(own_scores)
-                    ids.append(own_ids)
+                for some in _groups(texts):
+                    cuts = [own.cut(text.decode("utf-8", "surrogatepass")) for text in some]
+                    own.learn(cuts)
+                    for cut in cuts:
+                        own_scores, own_ids = own.encode_words(cut, all_ids)
+                        scores.append(own_scores)
+                        ids.append(own_ids)
                 counts = [len(own_ids) for own_ids in ids]
                 made = _id_lists([i for own_ids in ids for i in own_ids])
                 if not all_ids:
@@ -343,6 +504,19 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+def _groups(texts: list[bytes], size: int = 1 << 17) -> Iterator[list[bytes]]:
+    """Texts of ``size`` bytes together at most, or one longer text: all words of a group are held."""
+    some, held = [], 0
+    for text in texts:
+        if some and held + len(text) > size:
+            yield some
+            some, held = [], 0
+        some.append(text)
+        held += len(text)
+    if some:
+        yield some
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """All columns with ``decoded``, the text of ``ids``; null ids give a null."""
     encoded = encoded.drop("decoded")

@@ -96,3 +96,33 @@ def test_one_wrong_alternative_is_not_restored():
     ids[0][1] = ids[0][1][:-4]
     wrong = pieces._id_lists([i for own in ids for i in own])
     assert encoder.vocabulary.restored(wrong, counts, data) == [False, True, True]
+
+
+def test_words_together_like_one_by_one():
+    """Pieces, bytes, lone surrogates and long words; the packed ids, scores and gaps are equal."""
+    encoder = pieces.Encoder(pieces.Vocabulary(pieces.MODEL), 3, 500)
+    vocabulary = encoder.vocabulary
+    cut = [" another", " th€", "  x", "\n", "a", "\U0001f600" * 5, " \ud800x", "กข", "e" * 64]
+    cut += [f" {a}{b}tion" for a in "the an" for b in ("", "ü", "ou", "\x7f", "ࠀ")]
+    assert vocabulary.forward_together(cut) == [vocabulary.forward(word) for word in cut]
+    assert vocabulary.forward_together([" a"]) == [vocabulary.forward(" a")]
+
+
+def test_new_words_of_a_group_are_learnt_together(monkeypatch):
+    encoder = pieces.Encoder(pieces.Vocabulary(pieces.MODEL), 3, 200)
+    texts = [" ".join(f"wo{k}rd{j}" for k in range(40)) for j in range(12)]
+    wanted = [pieces.Encoder(encoder.vocabulary, 3, 10_000).encode(text) for text in texts]
+    one_by_one = []
+    forward = pieces.Vocabulary.forward
+    monkeypatch.setattr(
+        pieces.Vocabulary, "forward", lambda self, w: one_by_one.append(w) or forward(self, w)
+    )
+    got = []
+    for some in pieces._groups([text.encode() for text in texts], 1000):
+        cuts = [encoder.cut(text.decode()) for text in some]
+        encoder.learn(cuts)
+        got += map(encoder.encode_words, cuts)
+    assert got == wanted
+    assert not one_by_one
+    sizes = [[len(t) for t in g] for g in pieces._groups([b"a" * 5, b"", b"b" * 9, b"c"], 6)]
+    assert sizes == [[5, 0], [9], [1]]
